@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.session import ship
+
 _own_folder: list[str] = []
 
 
@@ -48,6 +50,7 @@ class Table:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -67,11 +70,5 @@ def one_text_per_id(signals: DataFrame, *more: str) -> DataFrame:
     return signals.where(F.col("id").isNotNull()).groupBy("id").agg(best).select("id", *[F.col(f"_m.{c}").alias(c) for c in cols])
 
 
-def fan_out(df: DataFrame, factor: int = 1) -> DataFrame:
-    """At least as many partitions as the cluster has cores, for heavy work on a small input."""
-    n = max(df.sparkSession.sparkContext.defaultParallelism, 1) * factor
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
 def tokenizer_dir() -> str:
     return os.environ.get("LOOMSTONE_TOKENIZERS", "/opt/tokenizers")

@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm import bpe, conversations, lookalikes, mixing, splitting
-from loomstone.llm.common import fan_out, kind_key, one_text_per_id, table
+from loomstone.llm import bpe, conversations, lookalikes, mail, mixing, privacy, splitting, vectors
+from loomstone.llm.common import kind_key, one_text_per_id, table
+
+
+ALIKE = 0.72
+"""Two signals are alike above this cosine."""
+SECRET = b"loomstone"
+"""The key of surrogates in ``p5_surrogates``; a deployment sets its own."""
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Alike pairs of which one is among the five most similar of the other."""
+    v = vectors.Vectors(table(spark, d, "capture_signals"))
+    found = vectors.pairs_by_id(v, vectors.most_similar(v, 5, ALIKE))
+    return found.select(F.col("a").alias("signal_a"), F.col("b").alias("signal_b"))
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar other signals of every signal, alike or not."""
+    v = vectors.Vectors(table(spark, d, "capture_signals"))
+    lists = vectors.most_similar(v, 5)
+    ids = v.base.select("rid", "id")
+    x = lists.join(ids.withColumnsRenamed({"rid": "a", "id": "signal_id"}), "a").join(ids.withColumnsRenamed({"rid": "b", "id": "neighbour_id"}), "b")
+    return x.select("signal_id", "neighbour_id", "cosine")
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every signal whose text is too large."""
-    return splitting.split(one_text_per_id(table(spark, d, "capture_signals")), "id", "redacted_text").withColumnRenamed("id", "signal_id")
+    signals = table(spark, d, "capture_signals").where(splitting.is_oversized(F.col("redacted_text")))
+    return splitting.split(one_text_per_id(signals), "id", "redacted_text").withColumnRenamed("id", "signal_id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +57,76 @@ def p3_turns(spark: SparkSession, d: str) -> DataFrame:
     return turns.join(texts, ["session_id", "uuid"]).select("session_id", "turn_no", "uuid", "role", "text")
 
 
+def _mails(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "capture_signals").where(F.col("id").isNotNull() & mail.is_mail(F.col("source")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The kinds of foreign parts in each mail. All rows of a signal hold one text: rows are reduced
+    where they lie and only what was found moves."""
+    m = _mails(spark, d)
+    found = mail.parts(m, "id", "redacted_text", mail.fit_mails(m, "redacted_text"))
+    return found.select(F.col("id").alias("signal_id"), "foreign_part").distinct()
+
+
+def p4_new_text(spark: SparkSession, d: str) -> DataFrame:
+    """What the sender of each mail newly wrote."""
+    m = _mails(spark, d)
+    one = one_text_per_id(m)
+    return mail.reduce(one, "id", "redacted_text", mail.fit_mails(m, "redacted_text")).withColumnRenamed("id", "signal_id")
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    """``(k, text)`` of all texts that may hold personal data; ``k`` names the place."""
+    signals = table(spark, d, "capture_signals").where(F.col("id").isNotNull())
+    a = signals.select(F.struct(F.lit("signal").alias("place"), F.col("id").alias("record_id"), F.lit(0).alias("item_no")).alias("k"), F.col("redacted_text").alias("text"))
+    sessions = table(spark, d, "interview_sessions").where(F.col("id").isNotNull())
+    x = sessions.select("id", F.explode("answers").alias("a")).where(F.col("a.question_index").isNotNull())
+    b = x.select(F.struct(F.lit("answer").alias("place"), F.col("id").alias("record_id"), F.col("a.question_index").alias("item_no")).alias("k"), F.col("a.transcript").alias("text"))
+    return a.unionByName(b)
+
+
+def _names(spark: SparkSession, d: str) -> privacy.NameModel:
+    return privacy.fit_names(table(spark, d, "capture_signals"), "redacted_text", table(spark, d, "known_people"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The kinds of personal data in each record."""
+    found = privacy.kinds(_places(spark, d), "k", "text", _names(spark, d))
+    return found.select("k.place", "k.record_id", "k.item_no", F.col("kind").alias("pii_kind")).distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with placeholders for what it held, and the log of them."""
+    one = _places(spark, d).groupBy("k").agg(F.max("text").alias("text"))
+    r = privacy.redacted(one, "k", "text", _names(spark, d))
+    return r.select("k.place", "k.record_id", "k.item_no", "text", "log")
+
+
+def p5_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with surrogates, the same for the same entity throughout."""
+    r = privacy.with_surrogates(_places(spark, d), "k", "text", _names(spark, d), SECRET)
+    return r.select("k.place", "k.record_id", "k.item_no", "text")
+
+
+def _grouped(spark: SparkSession, d: str) -> DataFrame:
+    v = vectors.Vectors(table(spark, d, "capture_signals"))
+    return vectors.groups_by_id(v, vectors.clusters(v, ALIKE))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every member of every group of three or more signals."""
+    return _grouped(spark, d).select(F.col("first_id").alias("first_signal_id"), F.col("id").alias("signal_id"))
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Each group with its size and its three most typical members, those of the densest cells."""
+    g = _grouped(spark, d)
+    w = Window.partitionBy("first_id").orderBy(F.desc("density"), "id")
+    top = g.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 3)
+    return top.groupBy(F.col("first_id").alias("first_signal_id"), F.col("n").alias("n_signals")).agg(F.sort_array(F.collect_list(F.struct("r", "id"))).getField("id").alias("typical_ids"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return bpe.encode(table(spark, d, "documents"), "text", "doc_id")
@@ -66,7 +159,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_turns, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p3_turns, p4_found, p4_new_text, p5_found, p5_redacted, p5_surrogates, p6_found, p6_clusters, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
 
 
 BLANK = r"chr(32), chr(9), chr(13), chr(10)"

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from loomstone.plans import relational, similar, texts
+
+_catalogs = (relational.catalog, texts.catalog, similar.catalog)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for c in _catalogs for k, v in c.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for c in _catalogs for k, v in c.sql.items()}

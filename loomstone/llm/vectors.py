@@ -26,9 +26,9 @@ from loomstone.llm.common import Table, cut
 DIM = 128
 SAMPLE = 49_152
 """At most about so many vectors fit the trees; every vector is indexed."""
-LEAF = 640
+LEAF = 1280
 TREES = 4
-VISITS = 14
+VISITS = 18
 SEED = 20
 
 

@@ -99,7 +99,7 @@ def digit_count(c: Column) -> Column:
 def fenced_json(c: Column) -> Column:
     """The inside of one code fence, or the text itself, trimmed."""
     inner = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.trim(F.when(inner != "", inner).otherwise(c))
+    return F.regexp_replace(F.when(inner != "", inner).otherwise(c), f"^{SPACE}+|{SPACE}+$", "")
 
 
 def clean_title(title: Column, fallback: Column, n: int = 80) -> Column:

@@ -54,7 +54,11 @@ def _ms(ts: pd.Timestamp) -> int:
 
 
 def _frame(key: str, out: list[tuple[str, str, int, str | None]]) -> pd.DataFrame:
-    return pd.DataFrame({"key": [key] * len(out), "ref": [o[0] for o in out], "outcome": [o[1] for o in out], "at": pd.to_datetime([o[2] for o in out], unit="ms"), "text": [o[3] for o in out]})
+    def column(values: list) -> pd.Series:
+        return pd.Series(values, dtype=object)
+
+    at = pd.Series(pd.to_datetime([o[2] for o in out], unit="ms"), dtype="datetime64[ns]")
+    return pd.DataFrame({"key": column([key] * len(out)), "ref": column([o[0] for o in out]), "outcome": column([o[1] for o in out]), "at": at, "text": column([o[3] for o in out])})
 
 
 def replay(events: DataFrame) -> DataFrame:

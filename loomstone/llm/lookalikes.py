@@ -33,13 +33,18 @@ for _c in "ЗзιυνӏΙ":
     LOOKALIKES.pop(_c, None)  # drawn differently enough, or like another letter in many fonts
 LOOKALIKES["Ι"] = "I"
 LOOKALIKES["ν"] = "v"
+# The same letters with marks, from the rule that a letter and its marks are drawn one by one.
+for _o in [*range(0x370, 0x530), *range(0x1F00, 0x2000)]:
+    _d = unicodedata.normalize("NFD", chr(_o))
+    if len(_d) > 1 and _d[0] in LOOKALIKES:
+        LOOKALIKES[chr(_o)] = unicodedata.normalize("NFC", LOOKALIKES[_d[0]] + _d[1:])
 
 # Characters without a mark of their own.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯﻿"
 JOINERS = "‌‍"
 SPACES = "              　"
 HYPHENS = "‐‑"
-LINE_ENDS = "\r\u0085  "
+LINE_ENDS = "\u0085  "
 
 _wide = "！-￮"
 _ligatures = "ﬀ-ﬆ"
@@ -60,7 +65,7 @@ def _shapes(c: str) -> bool:
 
 
 def _canonical(segment: str) -> str:
-    s = segment.translate(TABLE) if "\r" not in segment else segment.replace("\r\n", "\n").replace("\r", "\n").translate(TABLE)
+    s = segment.translate(TABLE)
     s = _compat.sub(lambda m: unicodedata.normalize("NFKC", m[0]), s)
     s = unicodedata.normalize("NFC", s)
     # What composition or the width rule has made may look like a Latin letter in its turn.
@@ -72,6 +77,8 @@ def canonical_form(text: str | None) -> str | None:
     """The form of a text; null stays null. Texts that look the same have the same form, and a form is its own form."""
     if text is None or text.isascii() and "\r" not in text:
         return text
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
     if _joiner.search(text):
         text = _joiner.sub(lambda m: m[0] if _shapes(text[m.start() - 1 : m.start()]) and _shapes(text[m.end() : m.end() + 1]) else "", text)
     out = SEGMENT.sub(lambda m: _canonical(m[0]), text)

@@ -64,6 +64,21 @@ def _shapes(c: str) -> bool:
     return 0x1F000 <= o <= 0x1FAFF or 0x2600 <= o <= 0x27BF or o in (0xFE0F, 0x2640, 0x2642, 0x2695) or 0x0600 <= o <= 0x08FF or 0x0900 <= o <= 0x0DFF or 0x1800 <= o <= 0x18AF
 
 
+# Arabic letters that never join the letter after them.
+_ENDS_JOINING = "ءآأؤإاةدذرزوىٱ"
+
+
+def _needed(text: str, i: int) -> bool:
+    """Whether the joiner at ``i`` changes what is seen. Between Arabic letters a joiner does nothing where
+    the letters join anyway, a non-joiner nothing where they do not."""
+    before, after = text[i - 1 : i] if i else "", text[i + 1 : i + 2]
+    if not (_shapes(before) and _shapes(after)):
+        return False
+    if "\u0620" <= before <= "\u064a" and "\u0620" <= after <= "\u064a":
+        return (before in _ENDS_JOINING) == (text[i] == "\u200d")
+    return True
+
+
 def _canonical(segment: str) -> str:
     s = segment.translate(TABLE)
     s = _compat.sub(lambda m: unicodedata.normalize("NFKC", m[0]), s)
@@ -80,7 +95,8 @@ def canonical_form(text: str | None) -> str | None:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if _joiner.search(text):
-        text = _joiner.sub(lambda m: m[0] if _shapes(text[m.start() - 1 : m.start()]) and _shapes(text[m.end() : m.end() + 1]) else "", text)
+        whole = text
+        text = _joiner.sub(lambda m: m[0] if _needed(whole, m.start()) else "", text)
     out = SEGMENT.sub(lambda m: _canonical(m[0]), text)
     # Quick check of the spliced text: canonical order of marks across segments, rare decompositions.
     return out if unicodedata.is_normalized("NFC", out) else _canonical(out)

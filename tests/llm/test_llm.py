@@ -456,8 +456,9 @@ def test_hot_source_ends_exactly(spark):
 SAME = [
     ("naïve file", "naïve ﬁle"), ("User 12", "Ｕｓｅｒ　１２"), ("the case", "thе саѕе"), ("non-breaking", "non‑breaking"), ("a b", "a b"), ("a b", "a b"),
     ("zero", "ze​ro﻿"), ("soft", "so­ft"), ("フォルダ", "ﾌｫﾙﾀﾞ"), ("line\nend", "line\r\nend"), ("ệ", "ệ"), ("ệ", "ệ"), ("Ångström", "Ångström"), ("TOP", "ΤΟΡ"),
+    ("مرحبا", "مرحب\u200dا"), ("دا", "د\u200cا"),
 ]
-DIFFERENT = [("User", "uSER"), ("a", "à"), ("1", "2"), ("a b", "ab"), ("a\nb", "a b"), ("x²", "x2"), ("don’t", "don't"), ("👩‍💻", "👩💻"), ("a-b", "a–b"), ("a.", "a"), ("к", "k")]
+DIFFERENT = [("User", "uSER"), ("a", "à"), ("1", "2"), ("a b", "ab"), ("a\nb", "a b"), ("x²", "x2"), ("don’t", "don't"), ("👩‍💻", "👩💻"), ("a-b", "a–b"), ("a.", "a"), ("к", "k"), ("بب", "ب\u200cب")]
 
 
 def test_forms():

@@ -56,6 +56,7 @@ ONE = {**LOOKALIKES, **dict.fromkeys(INVISIBLE, ""), **dict.fromkeys(SPACES, " "
 TABLE = str.maketrans(ONE)
 _compat = re.compile(f"[{_wide}{_ligatures}]+")
 _joiner = re.compile(f"[{JOINERS}]")
+_invisible = re.compile(f"[{INVISIBLE}]+")
 
 
 def _shapes(c: str) -> bool:
@@ -95,7 +96,7 @@ def canonical_form(text: str | None) -> str | None:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if _joiner.search(text):
-        whole = text
+        whole = text = _invisible.sub("", text)  # so that a joiner stands beside what it joins
         text = _joiner.sub(lambda m: m[0] if _needed(whole, m.start()) else "", text)
     out = SEGMENT.sub(lambda m: _canonical(m[0]), text)
     # Quick check of the spliced text: canonical order of marks across segments, rare decompositions.

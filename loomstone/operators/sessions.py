@@ -143,3 +143,32 @@ def chain_groups(first_texts: DataFrame) -> DataFrame:
     original = F.min(F.when(~F.col("stripped"), F.struct("ord", "slug", "first_text"))).over(w)
     group = T.continuation_group(original["slug"], original["first_text"])
     return first_texts.withColumn("continuation_group_id", F.when(F.count(F.lit(1)).over(w) >= 2, group))
+
+
+def dispatches(lines: DataFrame) -> DataFrame:
+    """``(path, uuid, tool_use_id, prompt)`` of the agent calls in raw transcript lines."""
+    x = lines.select("path", "uuid", F.explode("blocks").alias("b")).where((F.col("b.type") == "tool_use") & F.col("b.name").isin("Agent", "Task") & F.col("b.id").isNotNull())
+    return x.select("path", "uuid", F.col("b.id").alias("tool_use_id"), F.get_json_object("b.input", "$.prompt").alias("prompt")).where("prompt <> ''")
+
+
+def resolve_folders(wanted: DataFrame, folders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids ``(display_name, id)`` of the wanted mail folders, and the wanted names that do not exist."""
+    w = wanted.select("display_name").distinct()
+    f = folders.groupBy("display_name").agg(F.min("id").alias("id"))
+    return w.join(f, "display_name"), w.join(f, "display_name", "left_anti")
+
+
+def export(sessions: DataFrame, events: DataFrame, allow: list[str], deny: list[str], redact) -> tuple[DataFrame, DataFrame]:
+    """Events of the sessions that pass all checks, their texts through ``redact`` (a column function) and
+    summaries cut to 80 again, and the audit of every session.
+
+    ``sessions (session_id, n_transcripts, slug_blocked, first_text, meta_missing, cwd)``. The audit has
+    ``(session_id, drop_reason)``, null for kept ones.
+    """
+    before = sessions.select("session_id", keep_or_drop(F.col("n_transcripts"), F.col("slug_blocked"), F.col("first_text"), F.col("meta_missing"), F.col("cwd"), allow, deny).alias("early"))
+    text_events = events.where((F.col("depth") == 0) & F.col("kind").isin("user_text", "assistant_text"))
+    after = post_check(text_events, allow, deny).select("session_id", F.col("drop_reason").alias("late"))
+    audit = before.join(after, "session_id", "left").select("session_id", F.coalesce("early", "late").alias("drop_reason"))
+    kept = events.join(audit.where("drop_reason is null").select("session_id"), "session_id", "left_semi")
+    red = kept.withColumn("text", redact(F.col("text"))).withColumn("summary", F.substring(redact(F.col("summary")), 1, 80))
+    return red, audit

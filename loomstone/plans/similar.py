@@ -59,9 +59,11 @@ def vector_topk(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     v = t.embeddings.where("vec_id is not null and size(embedding) > 0").select("vec_id", "embedding")
-    queries = v.where("vec_id % 100 = 0").withColumn("slot", F.pmod(F.col("vec_id") / 100, F.lit(16)).cast("int"))
-    rows = v.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int"))
-    routed = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("q", F.lit(True)).unionByName(rows.withColumn("q", F.lit(False)))
+    n = v.count()
+    slots, parts = max(1, n // 500_000), max(1, n // 20_000)  # blocks of some thousand queries and some ten thousand rows
+    queries = v.where("vec_id % 100 = 0").withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int"))
+    rows = v.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+    routed = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("q", F.lit(True)).unionByName(rows.withColumn("q", F.lit(False)))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.q], pdf[~pdf.q]

@@ -191,3 +191,20 @@ def build_documents(sessions: DataFrame, events: DataFrame) -> DataFrame:
         D.iso_millis(created).alias("createdAt"), D.iso_millis(F.col("last_activity_at")).alias("lastActivityAt"), F.col("model").alias("model"), F.col("account").alias("account"), F.col("cwds"), F.col("gitBranches"), F.col("mcp_servers").alias("mcpServers"),
     )
     return x.select("session_id", created.alias("created_at"), F.to_json(head).alias("header"))
+
+
+def discover_sessions(spark: SparkSession, root: str, max_depth: int = 4) -> DataFrame:
+    """``(folder, meta)`` of the session folders ``local_*`` under a root, links not followed, with the text of
+    the side file ``<folder>.json`` beside each, null where there is none. The walk is over folder names only."""
+    found, level = [], [root]
+    for _ in range(max_depth):
+        below = [e for d in level for e in os.scandir(d) if e.is_dir(follow_symlinks=False)]
+        found += [e.path for e in below if e.name.startswith("local_")]
+        level = [e.path for e in below]
+    side = [(f, f + ".json" if os.path.isfile(f + ".json") else None) for f in sorted(found)]
+    folders = spark.createDataFrame(side, "folder string, file string")
+    files = [s for _, s in side if s]
+    if not files:
+        return folders.select("folder", F.lit(None).cast("string").alias("meta"))
+    texts = spark.read.text(files, wholetext=True).select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("file"), F.col("value").alias("meta"))
+    return folders.join(texts, "file", "left").select("folder", "meta")

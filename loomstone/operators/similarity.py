@@ -9,8 +9,6 @@ multiplied as blocks. Nothing is approximate: the result is that of comparing al
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,22 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.session import ship
-
-_folders: list[str] = []
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the folder that ``spark.checkpoint.dir`` names: lineage ends there."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _folders:
-            _folders.append(tempfile.mkdtemp(prefix="loomstone-core-"))
-        folder = _folders[0]
-    path = f"{folder.rstrip('/')}/loomstone-core/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
+from loomstone.storage import cut
 
 def _unit(vectors) -> np.ndarray:
     x = np.stack([np.asarray(v, np.float64) for v in vectors])
@@ -67,7 +50,7 @@ def link_counts(df: DataFrame, key: str, vector: str, min_cosine: float, pivots:
 
 def _blocks(df: DataFrame, key: str, vector: str, min_cosine: float, pivots: int, pairs: bool) -> DataFrame:
     rows = df.where(F.col(key).isNotNull() & (F.size(vector) > 0)).groupBy(F.col(key).alias("k")).agg(F.max(vector).alias("v"))
-    rows = written(rows, "vectors")
+    rows = cut(rows, "vectors").df
     kind = rows.schema["k"].dataType.simpleString()
     pivots = max(1, min(pivots, rows.count() // 1000))
     chosen = rows.orderBy(F.xxhash64("k")).limit(pivots).select("v").collect()
@@ -83,7 +66,7 @@ def _blocks(df: DataFrame, key: str, vector: str, min_cosine: float, pivots: int
             cell = cos.argmax(axis=1)
             yield b.assign(cell=cell.astype(np.int32), angle=np.arccos(np.clip(cos[np.arange(len(b)), cell], -1, 1)))
 
-    placed = written(rows.mapInPandas(assign, f"k {kind}, v array<float>, cell int, angle double"), "placed")
+    placed = cut(rows.mapInPandas(assign, f"k {kind}, v array<float>, cell int, angle double"), "placed").df
     radius = {r.cell: r.r for r in placed.groupBy("cell").agg(F.max("angle").alias("r")).collect()}  # one row per pivot
     limit = math.acos(max(-1.0, min(1.0, min_cosine))) + 1e-9
     between = np.arccos(np.clip(pivot @ pivot.T, -1, 1))
@@ -97,8 +80,8 @@ def _blocks(df: DataFrame, key: str, vector: str, min_cosine: float, pivots: int
     routes = [(i, j, s, t) for i, j in meets for s in range(slices[i]) for t in range(slices[j]) if i != j or s <= t]
     route = [(n, c, s, side) for n, (i, j, s0, t0) in enumerate(routes) for c, s, side in ((i, s0, 0), (j, t0, 1))]
     plan = spark.createDataFrame(route, "block int, cell int, slice int, side int")
-    cut = F.create_map(*[F.lit(x) for kv in slices.items() for x in kv])
-    sliced = placed.withColumn("slice", F.pmod(F.xxhash64("k"), cut[F.col("cell")]).cast("int"))
+    by_cell = F.create_map(*[F.lit(x) for kv in slices.items() for x in kv])
+    sliced = placed.withColumn("slice", F.pmod(F.xxhash64("k"), by_cell[F.col("cell")]).cast("int"))
     sent = sliced.join(F.broadcast(plan), ["cell", "slice"]).select("block", "side", "k", "v")  # blocks of pivots only
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -127,15 +110,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     round's table is written, so lineage stays short and a lost executor repeats one round at most.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
-    e = written(e, "edges")
+    table = cut(e, "edges")
     before = None
     while True:
+        e = table.df
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         pair = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        e = written(large.join(low2, "u").select(F.explode(pair).alias("x")).select("x.u", "x.v").where("u != v").distinct(), "edges")
+        new = cut(large.join(low2, "u").select(F.explode(pair).alias("x")).select("x.u", "x.v").where("u != v").distinct(), "edges")
+        table.drop()
+        table, e = new, new.df
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))

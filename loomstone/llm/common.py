@@ -3,51 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.session import ship
+from loomstone.storage import Table, cut
 
-_own_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names one.
-
-    Only where it is unset (tests, a laptop) a temporary folder of this process is used.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="loomstone-"))
-    return _own_folder[0]
-
-
-def cut(df: DataFrame, name: str) -> "Table":
-    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there,
-    so a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loomstone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return Table(spark, path)
-
-
-class Table:
-    """A written intermediate table; ``drop`` it once nothing reads it any more."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.df = spark.read.parquet(path)
-
-    def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
+__all__ = ["Table", "cut", "kind_key", "one_text_per_id", "table", "tokenizer_dir"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)

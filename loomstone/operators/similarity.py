@@ -38,23 +38,24 @@ def links(df: DataFrame, key: str, vector: str, min_cosine: float, pivots: int =
     ``link_counts``, which gives one row per vector.
     """
     ship(df.sparkSession)
-    return _blocks(df, key, vector, min_cosine, pivots, pairs=True)
+    return _blocks(df, key, vector, min_cosine, pivots, "pairs")
 
 
 def link_counts(df: DataFrame, key: str, vector: str, min_cosine: float, pivots: int = PIVOTS) -> DataFrame:
     """``(key, n_links)`` of every row that has a pair: how many, without the pairs."""
     ship(df.sparkSession)
-    part = _blocks(df, key, vector, min_cosine, pivots, pairs=False)
+    part = _blocks(df, key, vector, min_cosine, pivots, "counts")
     return part.groupBy("a").agg(F.sum("n").alias("n_links")).select(F.col("a").alias(key), "n_links")
 
 
-def _blocks(df: DataFrame, key: str, vector: str, min_cosine: float, pivots: int, pairs: bool) -> DataFrame:
+def _blocks(df: DataFrame, key: str, vector: str, min_cosine: float, pivots: int, what: str) -> DataFrame:
+    """``what``: all pairs, or the counts of each row, or ties, which join in each block what pairs join."""
     rows = df.where(F.col(key).isNotNull() & (F.size(vector) > 0)).groupBy(F.col(key).alias("k")).agg(F.max(vector).alias("v"))
     rows = cut(rows, "vectors").df
     kind = rows.schema["k"].dataType.simpleString()
     pivots = max(1, min(pivots, rows.count() // 1000))
     chosen = rows.orderBy(F.xxhash64("k")).limit(pivots).select("v").collect()
-    out_schema = f"a {kind}, b {kind}, cosine double" if pairs else f"a {kind}, n bigint"
+    out_schema = {"pairs": f"a {kind}, b {kind}, cosine double", "counts": f"a {kind}, n bigint", "ties": f"a {kind}, b {kind}"}[what]
     if not chosen:
         return df.sparkSession.createDataFrame([], out_schema)
     pivot = _unit([r.v for r in chosen])
@@ -87,18 +88,31 @@ def _blocks(df: DataFrame, key: str, vector: str, min_cosine: float, pivots: int
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "cosine": []} if pairs else {"a": [], "n": []})
+            return pd.DataFrame({"pairs": {"a": [], "b": [], "cosine": []}, "counts": {"a": [], "n": []}, "ties": {"a": [], "b": []}}[what])
         cos = _unit(left["v"]) @ _unit(right["v"]).T
         ka, kb = left["k"].to_numpy(), right["k"].to_numpy()
         same = set(ka) == set(kb)
         i, j = np.nonzero(cos > min_cosine)
         ok = ka[i] < kb[j] if same else ka[i] != kb[j]
         i, j = i[ok], j[ok]
-        if pairs:
+        if what == "pairs":
             lo, hi = np.where(ka[i] < kb[j], ka[i], kb[j]), np.where(ka[i] < kb[j], kb[j], ka[i])
             return pd.DataFrame({"a": lo, "b": hi, "cosine": cos[i, j]})
-        n = pd.concat([pd.Series(ka[i]), pd.Series(kb[j])]).value_counts()
-        return pd.DataFrame({"a": n.index, "n": n.to_numpy()})
+        if what == "counts":
+            n = pd.concat([pd.Series(ka[i]), pd.Series(kb[j])]).value_counts()
+            return pd.DataFrame({"a": n.index, "n": n.to_numpy()})
+        names, at = np.unique(np.concatenate([ka, kb]), return_inverse=True)  # in order, so the smallest is the first
+        a, b = at[i], at[len(ka) + j]
+        low = np.arange(len(names))
+        while True:
+            before = low.copy()
+            np.minimum.at(low, a, low[b])
+            np.minimum.at(low, b, low[a])
+            low = low[low]
+            if (low == before).all():
+                break
+        tied = np.nonzero(low != np.arange(len(names)))[0]
+        return pd.DataFrame({"a": names[low[tied]], "b": names[tied]})
 
     return sent.groupBy("block").applyInPandas(multiply, out_schema)
 
@@ -106,13 +120,12 @@ def _blocks(df: DataFrame, key: str, vector: str, min_cosine: float, pivots: int
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)``: the smallest node each node is joined to, directly or through others.
 
-    Alternating large and small stars: about as many rounds as the logarithm of the longest path; a
-    round's table is written, so lineage stays short and a lost executor repeats one round at most.
+    Alternating large and small stars until only stars are left: about as many rounds as the logarithm
+    of the longest path; a round's table is written, so lineage stays short and a lost executor repeats one round at most.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     table = cut(e, "edges")
-    before = None
-    while True:
+    while not _stars(table.df):
         e = table.df
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -121,17 +134,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         pair = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         new = cut(large.join(low2, "u").select(F.explode(pair).alias("x")).select("x.u", "x.v").where("u != v").distinct(), "edges")
         table.drop()
-        table, e = new, new.df
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-        before = now
+        table = new
+    e = table.df
+    roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every node hangs on one root that hangs on none."""
+    n = e.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("u")).first()
+    return n.n == n.u and e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi").limit(1).count() == 0
 
 
 def clusters(df: DataFrame, key: str, vector: str, min_cosine: float, least: int = 3) -> DataFrame:
     """``(cluster_id, key, n)`` of the members of every component of ``least`` or more rows."""
-    c = components(links(df, key, vector, min_cosine))
+    ship(df.sparkSession)
+    c = components(_blocks(df, key, vector, min_cosine, PIVOTS, "ties"))
     sizes = c.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return c.join(sizes, "root").select(F.col("root").alias("cluster_id"), F.col("node").alias(key), "n")
 

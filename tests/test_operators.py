@@ -35,7 +35,7 @@ def test_links_against_brute_force(spark):
     want = brute(rows, 0.9)
     for pivots in (1, 16):
         saved, similarity.PIVOTS = similarity.PIVOTS, pivots
-        got = {(r.a, r.b): r.cosine for r in similarity._blocks(df, "id", "v", 0.9, pivots, True).collect()}
+        got = {(r.a, r.b): r.cosine for r in similarity._blocks(df, "id", "v", 0.9, pivots, "pairs").collect()}
         similarity.PIVOTS = saved
         assert got.keys() == want.keys()
     n = {r.id: r.n_links for r in similarity.link_counts(df, "id", "v", 0.9).collect()}

@@ -162,9 +162,21 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p3_turns, p4_found, p4_new_text, p5_found, p5_redacted, p5_surrogates, p6_found, p6_clusters, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
 
 
-BLANK = r"chr(32), chr(9), chr(13), chr(10)"
+_USABLE = """
+        WITH RECURSIVE latest AS (
+          SELECT id, is_deleted, embedding, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, is_deleted DESC NULLS LAST) AS rn FROM capture_signals WHERE id IS NOT NULL),
+        v AS (SELECT id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM latest
+              WHERE rn = 1 AND NOT coalesce(is_deleted, false) AND len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 128
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        alike AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) > 0.72)"""
 
 ORACLE = {
+    "p1_found": _USABLE + """
+        SELECT DISTINCT least(a, b) AS signal_a, greatest(a, b) AS signal_b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM alike) WHERE r <= 5""",
+    "p6_found": _USABLE + """,
+        reach AS (SELECT a AS node, a AS other FROM alike UNION SELECT r.node, x.b FROM reach r JOIN alike x ON x.a = r.other),
+        g AS (SELECT node, min(other) AS first_signal_id, count(*) AS n FROM reach GROUP BY 1)
+        SELECT first_signal_id, node AS signal_id FROM g WHERE n >= 3""",
     "p2_found": r"""
         SELECT id AS signal_id FROM (SELECT id, any_value(redacted_text) AS t FROM capture_signals WHERE id IS NOT NULL GROUP BY id)
         WHERE length(t) > 6000 OR len(regexp_extract_all(t, '[^ \t\r\n]+')) > 800""",

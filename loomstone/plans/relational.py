@@ -297,6 +297,49 @@ def signals_per_day(t: Tables) -> DataFrame:
     return s.groupBy(F.date_trunc("day", "captured_at").alias("day"), label(F.col("source")).alias("source_key")).agg(F.count(F.lit(1)).alias("n"), F.sum(good).alias("tokens"))
 
 
+@query("""SELECT 'signals_7d' AS metric, CAST(count(*) AS DOUBLE) AS value FROM capture_signals WHERE captured_at >= (SELECT max(captured_at) FROM capture_signals) - INTERVAL 7 DAY
+          UNION ALL SELECT 'sources_7d', CAST(count(DISTINCT source) AS DOUBLE) FROM capture_signals WHERE captured_at >= (SELECT max(captured_at) FROM capture_signals) - INTERVAL 7 DAY
+          UNION ALL SELECT 'last_synthesis_epoch', CAST(epoch_us(max(created_at)) // 1000000 AS DOUBLE) FROM synthesis_clusters
+          UNION ALL SELECT 'session_completion_rate', round(count(*) FILTER (status = 'completed') / count(*), 6) FROM interview_sessions
+          UNION ALL SELECT 'open_sessions', CAST(count(DISTINCT id) FILTER (status NOT IN ('completed', 'skipped', 'timed_out')) AS DOUBLE) FROM interview_sessions
+          UNION ALL SELECT 'candidates:' || status, CAST(count(*) AS DOUBLE) FROM article_candidates WHERE status IS NOT NULL GROUP BY status""")
+def dashboard_metrics(t: Tables) -> DataFrame:
+    def metric(df: DataFrame, name: str, value) -> DataFrame:
+        return df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
+
+    s = t.capture_signals
+    recent = s.where(F.col("captured_at") >= now_of(s, "captured_at") - F.expr("INTERVAL 7 DAYS"))
+    i = t.interview_sessions
+    rows = [
+        metric(recent, "signals_7d", F.count(F.lit(1))),
+        metric(recent, "sources_7d", F.countDistinct("source")),
+        metric(t.synthesis_clusters, "last_synthesis_epoch", F.max(F.unix_timestamp("created_at"))),
+        metric(i, "session_completion_rate", F.round(F.count_if(F.col("status") == "completed") / F.count(F.lit(1)), 6)),
+        metric(i, "open_sessions", F.countDistinct(F.when(~F.col("status").isin("completed", "skipped", "timed_out"), F.col("id")))),
+        t.article_candidates.where("status is not null").groupBy(F.concat(F.lit("candidates:"), "status").alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value")),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query(f"WITH {POST_CHECK} SELECT session_id, drop_reason IS NULL AS kept, coalesce(drop_reason, '') AS reason FROM verdict")
+def audit_rows(t: Tables) -> DataFrame:
+    """Kept sessions by id, then dropped ones by reason and id."""
+    v = S.post_check(_text_events(t), ALLOW, DENY)
+    return v.select("session_id", F.col("drop_reason").isNull().alias("kept"), F.coalesce("drop_reason", F.lit("")).alias("reason")).orderBy(F.desc("kept"), "reason", "session_id")
+
+
+@query(f"""WITH {LATEST}, e AS (SELECT DISTINCT id AS candidate_id, unnest(evidence_chunk_ids) AS signal_id FROM article_candidates)
+           SELECT candidate_id, string_agg(signal_id, '|' ORDER BY captured_at DESC NULLS LAST, signal_id) AS evidence FROM e JOIN latest ON latest.id = signal_id WHERE is_deleted = false GROUP BY 1""")
+def ordered_evidence(t: Tables) -> DataFrame:
+    """The evidence of each candidate, the latest first; one candidate's list is as long as its own array."""
+    x = evidence_semi_join(t)
+    key = F.struct((-F.coalesce(F.unix_micros("captured_at"), F.lit(-(2**62)))).alias("at"), "signal_id")
+    return x.groupBy("candidate_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda k: k["signal_id"]), "|").alias("evidence"))
+
+
 # --- windows, sets, upkeep -----------------------------------------------------------------
 
 

@@ -158,8 +158,19 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p6_past(spark: SparkSession, d: str) -> DataFrame:
+    """Each cluster of past weeks with the group that now holds most of its members, and how many."""
+    past = table(spark, d, "synthesis_clusters").where(F.col("id").isNotNull())
+    one = past.groupBy("id").agg(F.max("cluster_label").alias("cluster_label"), F.max("signal_ids").alias("s"))
+    members = one.select(F.col("id").alias("cluster_id"), "cluster_label", F.size("s").alias("n_past"), F.explode(F.array_distinct("s")).alias("id"))
+    now = _grouped(spark, d).select("first_id", "id", F.col("n").alias("n_now"))
+    met = members.join(now, "id").groupBy("cluster_id", "cluster_label", "n_past", "first_id", "n_now").agg(F.count(F.lit(1)).alias("n_shared"))
+    best = met.groupBy("cluster_id", "cluster_label", "n_past").agg(F.max(F.struct("n_shared", F.col("first_id"), "n_now")).alias("b"))
+    return best.select("cluster_id", "cluster_label", "n_past", F.col("b.first_id").alias("first_signal_id"), "b.n_now", "b.n_shared")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p3_turns, p4_found, p4_new_text, p5_found, p5_redacted, p5_surrogates, p6_found, p6_clusters, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p3_turns, p4_found, p4_new_text, p5_found, p5_redacted, p5_surrogates, p6_found, p6_clusters, p6_past, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
 
 
 _USABLE = """

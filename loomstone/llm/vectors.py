@@ -181,7 +181,7 @@ class Forest:
 
 def _fit(v: Vectors, sample: int, trees: int, leaf: int, seed: int) -> Forest:
     share = min(1.0, sample / max(v.n, 1))
-    chosen = v.reps.where(F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else v.reps
+    chosen = v.reps.where(F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else v.reps
     q = [bytes(r[0]) for r in chosen.select("q").limit(2 * sample).toLocalIterator()] if v.n else []
     x = unpack(q, v.dim) if q else np.zeros((0, v.dim), np.float32)
     return Forest(x, v.n, trees, leaf, seed)

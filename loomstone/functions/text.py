@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: blank characters.
-SPACE = r"[\t\n\x0b\f\r    -     　﻿]"
+SPACE = r"[\t\n\x0b\f\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 # Words that carry no topic in a gap phrase.
 GAP_STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "will", "with"]

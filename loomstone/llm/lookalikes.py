@@ -40,19 +40,19 @@ for _o in [*range(0x370, 0x530), *range(0x1F00, 0x2000)]:
         LOOKALIKES[chr(_o)] = unicodedata.normalize("NFC", LOOKALIKES[_d[0]] + _d[1:])
 
 # Characters without a mark of their own.
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯﻿"
-JOINERS = "‌‍"
-SPACES = "              　"
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\ufeff"
+JOINERS = "\u200c\u200d"
+SPACES = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 HYPHENS = "‐‑"
-LINE_ENDS = "\u0085  "
+LINE_ENDS = "\u0085\u2028\u2029"
 
 _wide = "！-￮"
 _ligatures = "ﬀ-ﬆ"
-_marks = "̀-ͯ᪰-᫿᷀-᷿⃐-⃿゙゚︠-︯"
+_marks = "\u0300-\u036f\u1ab0-᫿\u1dc0-\u1dff\u20d0-⃿\u3099\u309a\ufe20-\ufe2f"
 # Anything that some rule may change; Hangul jamo and the letters with canonical decompositions elsewhere come by quick check.
-_unstable = f"{_marks}{_wide}{_ligatures}{INVISIBLE}{JOINERS}{SPACES}{HYPHENS}{LINE_ENDS}" + "".join(LOOKALIKES) + "µᄀ-ᇿΩKÅ̀-̈́ʹ;·ά-῿〈〉豈-﫿"
+_unstable = f"{_marks}{_wide}{_ligatures}{INVISIBLE}{JOINERS}{SPACES}{HYPHENS}{LINE_ENDS}" + "".join(LOOKALIKES) + "µᄀ-ᇿΩKÅ\u0340-\u0344ʹ;·ά-῿〈〉豈-﫿"
 SEGMENT = re.compile(f"[^\\s]?[{_unstable}]+[{_marks}]*")
-ONE = {**LOOKALIKES, **dict.fromkeys(INVISIBLE, ""), **dict.fromkeys(SPACES, " "), **dict.fromkeys(HYPHENS, "-"), **dict.fromkeys("\u0085  ", "\n"), "µ": "μ"}
+ONE = {**LOOKALIKES, **dict.fromkeys(INVISIBLE, ""), **dict.fromkeys(SPACES, " "), **dict.fromkeys(HYPHENS, "-"), **dict.fromkeys("\u0085\u2028\u2029", "\n"), "µ": "μ"}
 TABLE = str.maketrans(ONE)
 _compat = re.compile(f"[{_wide}{_ligatures}]+")
 _joiner = re.compile(f"[{JOINERS}]")

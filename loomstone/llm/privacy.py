@@ -2,8 +2,8 @@
 
 Numbers and addresses are found by their forms, written or spoken, with their checks (Luhn,
 octets, groups). Names of persons are found by a name model: the given and family names of a
-table of known people, those that stand in mail headers and after titles in a bounded sample of
-the texts, and the word endings several of these share.
+table of known people, those that stand in mail headers and after titles in any of the texts, and
+the word endings several of these share.
 
 Replacement is either the placeholder of the kind or a surrogate: a made-up entity of the same
 kind, format and script, derived by a keyed hash from the canonical entity, so that the same
@@ -28,8 +28,8 @@ from loomstone.llm.common import cut
 
 KINDS = ("email", "phone", "sin", "cc", "ip", "address", "person")
 PLACEHOLDERS = {k: f"[REDACTED_{k.upper()}]" for k in KINDS}
-NAME_SAMPLE = 12_000
-"""At most about so many texts fit the name model; every text is searched with it."""
+RARE = 5 / 12_000
+"""A word written small in more than this share of the texts is a common one; five texts are no evidence in any case."""
 
 
 class Entity(NamedTuple):
@@ -130,41 +130,75 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _COMMON = re.compile(r"(?<![\w@＠.+-])[^\W\d_]+(?![\w@＠+-]|\.\w)")
 
 
+def _low(n: int) -> int:
+    """In so many of ``n`` texts a common word is at most written small by chance."""
+    return max(5, int(n * RARE))
+
+
+def _count(texts: Iterable[str | None]) -> tuple[int, dict[str, list[int]]]:
+    """How many texts there are, and of each word how often it stands as given and as family name in
+    headers and after titles, and in how many texts it is written small."""
+    n, counts = 0, {}
+    for t in texts:
+        if not t:
+            continue
+        n += 1
+        for m in _HEADER.finditer(t):
+            pair = [x for x in m.groups() if x]
+            if len(pair) == 2 and "redacted" not in m[0].lower():
+                for i, w in enumerate(pair):
+                    counts.setdefault(w.lower(), [0, 0, 0])[i] += 1
+        for w in set(_COMMON.findall(t)):
+            if w[0].islower():
+                counts.setdefault(w, [0, 0, 0])[2] += 1
+    return n, counts
+
+
 class NameModel:
     """Given names, family names and the endings of each that several names share."""
 
     def __init__(self, known: Iterable[tuple[str | None, str | None]], texts: Iterable[str | None]):
+        n, counts = _count(texts)
+        low = _low(n)
+        # As over tables: a word written small in few texts that stands beside no name tells nothing.
+        self._settle(known, ((w, *c) for w, c in counts.items() if c[0] or c[1] or c[2] > low), low)
+
+    @classmethod
+    def of_counts(cls, known: Iterable[tuple[str | None, str | None]], counts: Iterable[tuple[str, int, int, int]], n: int) -> NameModel:
+        """From ``(word, times a given name, times a family name, texts with it written small)`` over ``n`` texts."""
+        model = cls.__new__(cls)
+        model._settle(known, counts, _low(n))
+        return model
+
+    def _settle(self, known: Iterable[tuple[str | None, str | None]], counts: Iterable[tuple[str, int, int, int]], low: int) -> None:
+        known = list(known)
         given = {g.lower() for g, _ in known if g}
         family = {f.lower() for _, f in known if f}
         seen_g: Counter = Counter()
         seen_f: Counter = Counter()
         words: Counter = Counter()
-        for t in texts:
-            if not t:
-                continue
-            for m in _HEADER.finditer(t):
-                pair = [x for x in m.groups() if x]
-                if len(pair) == 2 and "redacted" not in m[0].lower():
-                    seen_g[pair[0].lower()] += 1
-                    seen_f[pair[1].lower()] += 1
-            words.update(w for w in set(_COMMON.findall(t)) if w[0].islower())
+        for w, g, f, n in counts:
+            for counter, times in ((seen_g, g), (seen_f, f), (words, n)):
+                if times:
+                    counter[w] = times
         # A word often written small, and not in an address, is a common word and no name.
-        self.given = {g for g in given | set(seen_g) if len(g) > 2 and (g in given or words[g] <= 5 + 2 * seen_g[g])}
-        self.family = {f for f in family | set(seen_f) if len(f) > 2 and (f in family or words[f] <= 5 + 2 * seen_f[f])}
+        self.given = {g for g in given | set(seen_g) if len(g) > 2 and (g in given or words[g] <= low + 2 * seen_g[g])}
+        self.family = {f for f in family | set(seen_f) if len(f) > 2 and (f in family or words[f] <= low + 2 * seen_f[f])}
         for n in self.given | self.family:
             del words[n]
-        self.common = {w for w, n in words.items() if n > 5}
-        self.given_end = self._endings(self.given, words)
-        self.family_end = self._endings(self.family, words)
+        self.common = {w for w, n in words.items() if n > low}
+        self.given_end = self._endings(self.given, self.common)
+        self.family_end = self._endings(self.family, self.common)
 
     @staticmethod
-    def _endings(names: set[str], words: Counter) -> set[str]:
-        """Endings of three and four letters that at least four names share, and by far more names than common words."""
+    def _endings(names: set[str], words: set[str]) -> set[str]:
+        """Endings of three and four letters that at least four names and a hundredth of them share, and by far more names than common words."""
         ends: set[str] = set()
+        least = max(4, len(names) // 100)
         for k in (3, 4):
             of = Counter(n[-k:] for n in names if len(n) >= k + 2)
-            common = Counter(w[-k:] for w, n in words.items() if n > 5 and len(w) >= k + 2)
-            ends |= {e for e, n in of.items() if n >= 4 and common[e] * 4 <= n}
+            common = Counter(w[-k:] for w in words if len(w) >= k + 2)
+            ends |= {e for e, n in of.items() if n >= least and common[e] * 4 <= n}
         return ends
 
     def is_given(self, w: str) -> bool:
@@ -407,20 +441,33 @@ def surrogate(kind: str, canon: str, raw: str, key: bytes, attempt: int = 0) ->
 # --- over tables ---------------------------------------------------------------------------
 
 
-def fit_names(texts: DataFrame, text: str, known: DataFrame, sample: int = NAME_SAMPLE) -> NameModel:
-    """A name model from ``known (given_name, family_name)``, a small fixed table, and a sample of the
-    texts: those that a hash of the text picks, about ``sample`` of them and never twice as many."""
-    n = max(texts.count(), 1)
-    share = min(1.0, sample / n)
-    picked = texts.select(F.col(text).alias("t")).where(F.col("t").isNotNull())
-    if share < 1:
-        picked = picked.where(F.pmod(F.xxhash64("t"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    pairs = [(r.given_name, r.family_name) for r in known.select("given_name", "family_name").limit(100_000).toLocalIterator()]
-    return NameModel(pairs, [r.t for r in picked.limit(2 * sample).toLocalIterator()])
+def fit_names(texts: DataFrame, text: str, known: DataFrame) -> NameModel:
+    """A name model from ``known (given_name, family_name)``, a small fixed table, and all the texts.
+
+    Each distinct text counts once. Words are counted where the texts lie and only words and their
+    counts move; the driver gets the names and the common words, which ``RARE`` bounds.
+    """
+    one = texts.select(F.col(text).alias("t")).where(F.length("t") > 0).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, counts = _count(b.column(0).to_pylist())
+            counts[""] = [0, 0, n]  # no word: the texts
+            cols = [pa.array([c[i] for c in counts.values()], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *cols], ["w", "g", "f", "n"])
+
+    sums = [F.sum(c).alias(c) for c in ("g", "f", "n")]
+    words = cut(one.mapInArrow(run, "w string, g bigint, f bigint, n bigint").groupBy("w").agg(*sums), "words")
+    n = sum(r.n for r in words.df.where("w = ''").collect())
+    kept = words.df.where("w <> ''").where((F.col("g") > 0) | (F.col("f") > 0) | (F.col("n") > _low(n)))
+    counts = [tuple(r) for r in kept.collect()]
+    words.drop()
+    pairs = [(r.given_name, r.family_name) for r in known.select("given_name", "family_name").toLocalIterator()]
+    return NameModel.of_counts(pairs, counts, n)
 
 
 def _mapped(df: DataFrame, key: str, text: str, model: NameModel, schema: str, each) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    shared = df.sparkSession.sparkContext.broadcast(model)  # the names and the common words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

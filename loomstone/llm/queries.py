@@ -87,7 +87,7 @@ def _places(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _names(spark: SparkSession, d: str) -> privacy.NameModel:
-    return privacy.fit_names(table(spark, d, "capture_signals"), "redacted_text", table(spark, d, "known_people"))
+    return privacy.fit_names(_places(spark, d), "text", table(spark, d, "known_people"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -371,6 +371,18 @@ def test_privacy_table(spark):
     assert privacy.kinds(df.limit(0), "id", "t", privacy.fit_names(df.limit(0), "t", spark.createDataFrame([], "given_name string, family_name string"))).count() == 0
 
 
+def test_names_are_learned_from_all_texts(spark):
+    letters = "bcdfghjklm"
+    rare = [(f"Ora{a}{b}", f"Tib{b}{a}u") for a in letters[:5] for b in letters[:5]]  # each in one header of 40,000 texts
+    rows = spark.range(40_000).selectExpr("concat('text ', id, IF(id % 100 = 0, ' plimt', ''), IF(id < 10, ' dronk', '')) AS t")
+    df = rows.unionByName(spark.createDataFrame([(f"From: {g} {f}\nSent: now",) for g, f in rare] + [("text 7 dronk",)] * 50, "t string"))
+    m = privacy.fit_names(df, "t", spark.createDataFrame(KNOWN, "given_name string, family_name string"))
+    assert {g.lower() for g, _ in rare} <= m.given and {f.lower() for _, f in rare} <= m.family
+    assert [e.kind for e in privacy.find(f"Later {rare[7][1]} agreed", m)] == ["person"]
+    assert {"text", "plimt"} <= m.common and "dronk" not in m.common  # ten of 40,000 texts, and copies count once
+    assert not {"orabb", "odran"} & m.common
+
+
 # --- tokens --------------------------------------------------------------------------------
 
 

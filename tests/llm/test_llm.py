@@ -258,6 +258,27 @@ def test_gain_tells_foreign_from_new():
     assert d.gain("We accept no liability for delays or viruses.") > 0.4 > d.gain("The patch window at the depot was replaced twice.")
 
 
+def test_foreign_parts_without_a_pattern():
+    m = mail.MailModel()
+    notice = "This message and any enclosures may hold confidential material and is meant only for the named recipient."
+    wrapped = notice.replace("material and", "material\nand")
+    for text, want in [
+        (f"{NEW}\n\n{notice}", {"disclaimer"}),
+        (f"{notice}\n\n{NEW}", {"disclaimer"}),
+        (f"{NEW}\n\n{wrapped}", {"disclaimer"}),
+        (f"{NEW} {notice}", {"disclaimer"}),
+        (f"{NEW}\n\nSent with my tablet, please excuse typos", {"signature"}),
+        (f"{NEW}\n\nWarm wishes,\n[REDACTED_PERSON]\nIT Manager", {"signature"}),
+        (f"{NEW}\n\n[REDACTED_PERSON]\nIT Manager", {"signature"}),
+        (f"{NEW}\n\n-- \n{NEW}", set()),
+        (f"{NEW}\n\nThanks,", set()),
+        (f"{NEW}\n\nThis material is confidential, so keep it in the depot.", set()),
+        (f"{NEW}\n\nPlease delete the old rows and tell the clerk.\n\n{NEW}", set()),
+    ]:
+        assert {s.kind for s in mail.foreign(text, m)} == want, text
+        assert NEW in mail.newly_written(text, m)
+
+
 def test_mail_table(spark):
     df = spark.createDataFrame([(str(i), t, "clash") for i, (t, _) in enumerate(CASES)] + [(None, CASES[4][0], "c"), ("4", CASES[4][0], "c")], "id string, redacted_text string, foreign_part string")
     m = mail.fit_mails(df, "redacted_text")

@@ -120,7 +120,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Each group with its size and its three most typical members, those of the densest cells."""
+    """Each group with its size and its three most typical members, those with the most alike rows in one leaf."""
     g = _grouped(spark, d)
     w = Window.partitionBy("first_id").orderBy(F.desc("density"), "id")
     top = g.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 3)

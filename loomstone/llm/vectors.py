@@ -96,6 +96,10 @@ class Vectors:
         self.reps = self.base.select("rid", "q").join(self.copies.where("member != rep").select(F.col("member").alias("rid")), "rid", "left_anti")
         self.n = self.base.count()
 
+    def copy_counts(self) -> DataFrame:
+        """``(rep, n)``: how many rows hold each vector that occurs more than once."""
+        return self.copies.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+
     def first_copies(self, k: int) -> DataFrame:
         """``(rep, member, ord)`` of the first k copies of each vector by id."""
         w = Window.partitionBy("rep").orderBy("id")
@@ -187,10 +191,13 @@ def _fit(v: Vectors, sample: int, trees: int, leaf: int, seed: int) -> Forest:
     return Forest(x, v.n, trees, leaf, seed)
 
 
-def _visits(v: Vectors, forest: Forest, count: int) -> DataFrame:
+def _visits(v: Vectors, forest: Forest, count: int, weighted: bool = False) -> DataFrame:
     """``(bucket, rid, q, leaves)``: each vector once per bucket it visits; in ``leaves`` the lowest bit
-    marks a leaf the vector lies in."""
+    marks a leaf the vector lies in. ``weighted`` adds ``w``, how many copies the vector stands for."""
     dim = v.dim
+    reps = v.reps
+    if weighted:
+        reps = reps.join(v.copy_counts().withColumnRenamed("rep", "rid"), "rid", "left").select("rid", "q", F.coalesce("n", F.lit(1)).alias("w"))
     shared = v.reps.sparkSession.sparkContext.broadcast(forest)  # bounded by the sample: under 2 * SAMPLE / 8 planes a tree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +214,9 @@ def _visits(v: Vectors, forest: Forest, count: int) -> DataFrame:
                 code = (leaf * 2 + own).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(code))
                 take = pa.array(row[first])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), part.column(0).take(take), q.take(take), lists], ["bucket", "rid", "q", "leaves"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), part.column(0).take(take), q.take(take), lists, *([part.column(2).take(take)] if weighted else [])], ["bucket", "rid", "q", "leaves", *(["w"] if weighted else [])])
 
-    return v.reps.mapInArrow(run, "bucket int, rid bigint, q binary, leaves array<int>")
+    return reps.mapInArrow(run, "bucket int, rid bigint, q binary, leaves array<int>" + ", w bigint" * weighted)
 
 
 def _leaf_blocks(pdf: pd.DataFrame, dim: int):
@@ -305,17 +312,18 @@ def pairs_by_id(v: Vectors, lists: DataFrame) -> DataFrame:
 
 
 def _cells(v: Vectors, forest: Forest, visits: int, min_cosine: float) -> DataFrame:
-    """``(rid, cell, density)``: the dense cells each vector lies in. The leaves are the quantised
-    features; a dense cell is the vectors of a bucket's leaves that alike pairs join, named by its
-    smallest row id. ``density``: the most vectors alike to this one seen in one leaf. Vectors
-    without an alike one have no row."""
+    """``(rid, cell, density)``: the cells each vector lies in. A cell is the vectors of a bucket's
+    leaves that alike pairs join, named by its smallest row id. ``density``: the most rows alike to
+    this one seen in one leaf, copies of it and of the others counted. Vectors without an alike one
+    have no row."""
     dim = v.dim
 
     def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
         rid = pdf["rid"].to_numpy()
         n = len(rid)
         up = np.arange(n)
-        density = np.zeros(n, np.int32)
+        weight = pdf["w"].to_numpy().astype(np.float64)
+        density = np.zeros(n, np.int64)
 
         def root(i: int) -> int:
             while up[i] != i:
@@ -327,7 +335,8 @@ def _cells(v: Vectors, forest: Forest, visits: int, min_cosine: float) -> DataFr
             near = cos > min_cosine
             near &= queries[:, None] != members[None, :]
             links = near.sum(axis=1, dtype=np.int32)
-            density[queries] = np.maximum(density[queries], links)
+            rows = (near @ weight[members] + weight[queries] - 1).astype(np.int64)
+            density[queries] = np.maximum(density[queries], np.where(links > 0, rows, 0))
             # Each vector's first alike member, then the rest by rows: as many unions as rows and runs, not as pairs.
             todo = np.nonzero(links)[0]
             seen = np.zeros(len(members), bool)
@@ -354,7 +363,7 @@ def _cells(v: Vectors, forest: Forest, visits: int, min_cosine: float) -> DataFr
         both = np.union1d(keep, np.nonzero(np.bincount(all_roots, minlength=n)[all_roots] > 1)[0])
         return pd.DataFrame({"rid": rid[both], "cell": rid[all_roots[both]], "density": density[both]})
 
-    return _visits(v, forest, visits).groupBy("bucket").applyInPandas(join_up, "rid bigint, cell bigint, density int")
+    return _visits(v, forest, visits, weighted=True).groupBy("bucket").applyInPandas(join_up, "rid bigint, cell bigint, density bigint")
 
 
 def _jump(up: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -399,17 +408,22 @@ def clusters(v: Vectors, min_cosine: float, trees: int = TREES, visits: int = VI
     vectors joined by alike pairs, directly or through others, have the same label.
 
     Cells that share a vector are adjacent; a vector of several cells ties them to the smallest of
-    them, and minimum labels run over these ties only. Exact copies are alike. An empty collection
-    gives no row.
+    them, and minimum labels run over these ties only. Exact copies are alike and have one density. An
+    empty collection gives no row.
     """
     forest = _fit(v, sample, trees, leaf, seed)
     cells = _cells(v, forest, visits, min_cosine)
-    copies = v.copies.select(F.col("member").alias("rid"), F.col("rep").alias("cell"), F.lit(1).alias("density"))
-    cells = cut(cells.unionByName(copies), "cells").df
+    copies = v.copies.select(F.col("member").alias("rid"), F.col("rep").alias("cell"), F.lit(0).cast("bigint").alias("density"))
+    own = v.copy_counts().select(F.col("rep").alias("rid"), F.col("rep").alias("cell"), (F.col("n") - 1).alias("density"))
+    cells = cut(cells.unionByName(copies).unionByName(own), "cells").df
     of = cells.groupBy("rid").agg(F.min("cell").alias("low"), F.max("cell").alias("high"), F.max("density").alias("density"))
     of = cut(of, "cell_of").df
     ties = cells.join(of.where("low != high").select("rid", "low"), "rid").where("cell != low").select(F.col("cell").alias("u"), F.col("low").alias("v")).distinct()
     labels = smallest_labels(ties)
+    # Each copy has the density of the vector it is a copy of.
+    of_rep = of.join(v.copy_counts().select(F.col("rep").alias("rid")), "rid").select(F.col("rid").alias("rep"), F.col("density").alias("d"))
+    dense = v.copies.join(of_rep, "rep").select(F.col("member").alias("rid"), "d")
+    of = of.join(dense, "rid", "left").withColumn("density", F.coalesce("d", "density")).drop("d")
     return of.join(labels, F.col("low") == F.col("node"), "left").select("rid", F.coalesce("label", "low").alias("label"), "density")
 
 

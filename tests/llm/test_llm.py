@@ -97,6 +97,18 @@ def test_neighbours_and_clusters_against_brute_force(spark):
     assert {i for _, i in got} >= {f"copy{i:02d}" for i in range(9)}
 
 
+def test_density_counts_copies(spark):
+    rows = signal_rows(200)
+    x = usable(rows)
+    ids = sorted(x)
+    m = np.stack([x[i] for i in ids])
+    alike = (m @ m.T > 0.72).sum(axis=1) - 1  # all in one leaf
+    v = vectors.Vectors(spark.createDataFrame(rows, SIGNALS))
+    got = {r.id: r.density for r in vectors.groups_by_id(v, vectors.clusters(v, 0.72)).collect()}
+    assert len(got) > 20 and got == {i: n for i, n in zip(ids, alike) if i in got}
+    assert len({got[i] for i in [rows[0][0], *(f"copy{i:02d}" for i in range(9))]}) == 1
+
+
 def test_vectors_of_nothing_and_of_one(spark):
     for rows in ([], [("a", TS, False, [1.0] * 128, "x", 1)]):
         v = vectors.Vectors(spark.createDataFrame(rows, SIGNALS))

@@ -3,12 +3,14 @@
 A text above the limit is cut at the strongest boundary near its middle (paragraph, line,
 sentence, clause, word, and only where there is none of these, between two characters); each
 half that is still above the limit less the room for the overlap is cut again. Then each piece
-but the first is given the last words of the one before as overlap.
+but the first is given the last words of the one before as overlap, or its last characters where no
+word begins in the room for it.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,9 +55,16 @@ def _cut_point(text: str, lo: int, hi: int) -> int:
     return mid
 
 
+def _within(text: str, at: int) -> bool:
+    """Whether ``at`` lies inside a character: before a mark or joiner, behind a joiner, or between surrogates."""
+    c = text[at]
+    return unicodedata.combining(c) > 0 or unicodedata.category(c) in ("Mn", "Me", "Mc") or c == "\u200d" or text[at - 1] == "\u200d" or "\U0001f3fb" <= c <= "\U0001f3ff" or "\udc00" <= c <= "\udfff"
+
+
 def bisect(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap_words: int = OVERLAP_WORDS, overlap_chars: int = OVERLAP_CHARS) -> list[tuple[int, int, int]]:
     """Pieces ``(start, own, end)``: ``text[own:end]`` are its own characters, which tile the text,
-    ``text[start:own]`` repeats the last words of the piece before."""
+    ``text[start:own]`` repeats the last words of the piece before, or where none of them begins in the
+    last ``overlap_chars`` code points, these code points, less those of a character begun before them."""
     starts = [m.start() for m in WORD.finditer(text)]
 
     def words(lo: int, hi: int) -> int:
@@ -85,6 +94,12 @@ def bisect(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, ov
             spans = spans[1:]  # that word began before the overlap's room
         if spans:
             start = spans[max(0, len(spans) - overlap_words)]
+        elif overlap_words > 0 and not text[floor:nlo].isspace():
+            start = floor
+            while lo < start < nlo and _within(text, start):
+                start += 1
+            if start == nlo:  # one character fills the room
+                start = floor
         out.append((start, nlo, nhi))
     return out
 
@@ -93,7 +108,8 @@ def split(df: DataFrame, key: str, text: str, max_words: int = MAX_WORDS, max_ch
     """``(key, piece_no, n_pieces, start, own_start, end, n_words, piece)`` of every oversized text.
 
     Offsets are code points from 0. The limits hold for a piece with its overlap; the overlap is
-    ``overlap_words`` words, fewer where they would be more than ``overlap_chars`` code points.
+    ``overlap_words`` words, fewer where they would be more than ``overlap_chars`` code points, and the last
+    ``overlap_chars`` code points where no word begins in them.
     Texts within the limits, null and empty texts give no piece. Keys may be null or repeated: each
     row is split for itself. Other columns are not read. An empty table gives an empty table.
     Only oversized texts leave the JVM.

@@ -156,6 +156,16 @@ def test_cut_prefers_the_strongest_boundary():
     assert splitting.bisect(text, 8, 60, 2, 20)[0][2] == text.index("six")
 
 
+def test_overlap_without_blanks():
+    for text in ("x" * 20_000, "e\u0301" * 9_000, "short words here. " * 100 + "y" * 12_000):
+        pieces = splitting.bisect(text)
+        assert len(pieces) > 2
+        for (_, lo, _), (start, own, end) in zip(pieces, pieces[1:]):
+            assert lo <= start < own and own - start <= 750 and end - start <= 6_000
+            assert text[start] != "\u0301"
+            assert len(splitting.WORD.findall(text[start:end])) <= 800
+
+
 def test_split_table(spark):
     long_word = "x" * 20_000
     rows = [("a", "w " * 801, 1), ("b", "w " * 800, 1), ("c", None, 1), ("d", "", 1), (None, long_word, 1), ("e", long_word, 1), ("e", long_word, 1)]

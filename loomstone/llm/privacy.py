@@ -171,6 +171,7 @@ class NameModel:
         return model
 
     def _settle(self, known: Iterable[tuple[str | None, str | None]], counts: Iterable[tuple[str, int, int, int]], low: int) -> None:
+        self.no_names: set[str] = set()
         known = list(known)
         given = {g.lower() for g, _ in known if g}
         family = {f.lower() for _, f in known if f}
@@ -217,17 +218,18 @@ class NameModel:
     def names_among(self, words: set[str]) -> bool:
         """Whether some of these small words may be a name."""
         hit = False
-        for w in words - _no_names:
+        for w in words - self.no_names:
             if self.is_given(w) or self.is_family(w):
                 hit = True
             else:
-                _no_names.add(w)
-        if len(_no_names) > 300_000:  # a worker's cache of answers, no limit of the search
-            _no_names.clear()
+                self.no_names.add(w)
+        if len(self.no_names) > 300_000:  # a worker's cache of answers, no limit of the search
+            self.no_names.clear()
         return hit
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"no_names": set()}  # answers stay in the worker
 
-_no_names: set[str] = set()
 
 # A name's places: two words in a row (with a double given name or a middle initial), family name first, or an initial.
 _PAIR = re.compile(

@@ -405,6 +405,20 @@ def test_surrogates_stay_distinct(spark):
     assert len(made) == 3000 == len(set(made))
 
 
+def test_models_answer_for_themselves():
+    import pickle
+
+    text = "Later Quorvan Zellith agreed"
+    assert privacy.find(text, privacy.NameModel([], [])) == []
+    m = privacy.NameModel([("Quorvan", "Zellith")], [])
+    assert [e.kind for e in privacy.find(text, m)] == ["person"]
+    assert not pickle.loads(pickle.dumps(m)).no_names and m.no_names
+    line = "Zzyq Vorn Plexid Uttram"
+    plain, taught = mail.MailModel(), mail.MailModel([f"Kind regards,\n[REDACTED_PERSON]\n{line}"] * 3)
+    assert not plain.suspected(line, "signature") and taught.suspected(line, "signature")
+    assert not pickle.loads(pickle.dumps(taught)).suspicions
+
+
 def test_privacy_table(spark):
     df = spark.createDataFrame([("a", FOUND[0][0], "clash"), ("a", FOUND[0][0], "clash"), ("b", None, "c"), (None, FOUND[0][0], "c")], "id string, t string, kind string")
     m = privacy.fit_names(df, "t", spark.createDataFrame(KNOWN, "given_name string, family_name string"))

@@ -50,6 +50,7 @@ _SPOKEN = re.compile(rf"\b(?:plus[ ,-]+)?(?:(?:double|triple)[ -]+)?(?:{_dw})(?:
 
 _EMAIL = re.compile(r"[A-Za-z0-9À-ÿ][A-Za-z0-9À-ÿ._%+-]*[@＠](?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 _AT = r"\s*(?:\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|<at>)\s*"
+_BRACKET_AT = re.compile(_AT, re.I)
 _DOT = r"\s*(?:\[\s*dot\s*\]|\(\s*dot\s*\)|\{\s*dot\s*\}|<dot>|\.)\s*"
 _EMAIL_BRACKET = re.compile(rf"[\w.+%-]+{_AT}[\w-]+(?:{_DOT}[\w-]+)+", re.I)
 _EMAIL_SPOKEN = re.compile(r"\b[\w+-]+(?: (?:dot|underscore|dash|hyphen|plus|point|tiret) [\w+-]+)* (?:at|arobase|arobas) [\w-]+(?: (?:dot|point) [\w-]+)+", re.I)
@@ -280,7 +281,8 @@ _NOT_NAME = set(
 
 # --- detection -----------------------------------------------------------------------------
 
-_SPOKEN_MARKS = {w for w in DIGIT_WORDS if len(w) > 2}
+_SPOKEN_MARKS = set(DIGIT_WORDS)
+_TITLES = {"dr", "mr", "mrs", "ms", "mme", "prof"}
 
 
 def find(text: str | None, model: NameModel) -> list[Entity]:
@@ -295,7 +297,7 @@ def find(text: str | None, model: NameModel) -> list[Entity]:
     words = set(_WORDS.findall(low))
     if "@" in text or "＠" in text:
         found += [Entity(*m.span(), "email") for m in _EMAIL.finditer(text)]
-    if "at" in words and ("[at]" in low or "(at)" in low or "dot" in words) or "arobase" in words or "arobas" in words:
+    if "at" in words and ("dot" in words or "point" in words or _BRACKET_AT.search(low)) or "arobase" in words or "arobas" in words:
         found += [Entity(*m.span(), "email") for p in (_EMAIL_BRACKET, _EMAIL_SPOKEN) for m in p.finditer(text)]
     for run in _DIGITS.finditer(text):
         for m in _NUMBER.finditer(text, max(0, run.start() - 3), min(len(text), run.end() + 2)):
@@ -315,7 +317,7 @@ def find(text: str | None, model: NameModel) -> list[Entity]:
                 found.append(Entity(*m.span(), "ip"))
     if ":" in text and ("::" in text or text.count(":") >= 7):
         found += [Entity(*m.span(), "ip") for m in _IP6.finditer(text) if len(m[0]) > 4]
-    if len(words & _SPOKEN_MARKS) >= 2:
+    if not words.isdisjoint(_SPOKEN_MARKS):
         for m in _SPOKEN.finditer(text):
             d = spoken_digits(m[0])
             kind = "sin" if len(d) == 9 else "phone" if len(d) in (7, 10, 11, 12) else "cc" if 13 <= len(d) <= 19 else None
@@ -325,7 +327,7 @@ def find(text: str | None, model: NameModel) -> list[Entity]:
         found += [Entity(*m.span(), "address") for m in _ADDRESS.finditer(text)]
     if "stra" in low or "str." in low or "platz" in low or "gasse" in low or "allee" in low:
         found += [Entity(*m.span(), "address") for m in _STRASSE.finditer(text)]
-    if model.names_among(words):
+    if not words.isdisjoint(_TITLES) or model.names_among(words):
         found += [Entity(s, e, "person") for s, e in _names(text, model)]
     if len(found) < 2:
         return found

@@ -405,6 +405,18 @@ def test_surrogates_stay_distinct(spark):
     assert len(made) == 3000 == len(set(made))
 
 
+def test_checks_before_a_pattern_are_no_narrower():
+    for text, kind in [
+        ("write name [ at ] host.com now", "email"),
+        ("write name {at} host.com now", "email"),
+        ("write jo at mail point example now", "email"),
+        ("met Dr Quorvan Zellith there", "person"),
+        ("say five five five five five five five five five five", "phone"),
+        ("say un un un un un un un un un un", "phone"),
+    ]:
+        assert [e.kind for e in privacy.find(text, MODEL)] == [kind], text
+
+
 def test_models_answer_for_themselves():
     import pickle
 

@@ -8,21 +8,48 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
+_leaving: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names one.
+    """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only where it is unset (tests, a laptop) a temporary folder of this process is used.
+    Only a session whose executors are this machine (tests, a laptop) may do without: it gets a temporary
+    folder of this process. Elsewhere a missing setting is an error, as no other executor could read what one wrote.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        own = sc._jsc.sc().getCheckpointDir()
+        named = own.get() if own.isDefined() else None
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="loomstone-"))
     return _own_folder[0]
 
 
+def _delete(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if at_exit:
+        fs.deleteOnExit(p)
+    else:
+        fs.delete(p, True)
+
+
+def own_tables(spark: SparkSession) -> str:
+    """The folder of this application's tables."""
+    return f"{shared_folder(spark)}/loomstone/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Drop all intermediate tables of this application, once no result that reads them is needed any more."""
+    _delete(spark, own_tables(spark))
+
+
 class Table:
     """A written intermediate table; ``drop`` it once nothing reads it any more."""
 
@@ -31,14 +58,21 @@ class Table:
         self.df = spark.read.parquet(path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(self.spark, self.path)
 
 
 def cut(df: DataFrame, name: str) -> Table:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there,
-    so a lost executor costs no recomputation of what came before."""
-    path = f"{shared_folder(df.sparkSession)}/loomstone/{name}-{uuid.uuid4().hex}"
+    so a lost executor costs no recomputation of what came before.
+
+    Results are lazy and read these tables, so they stay until ``Table.drop``, ``release`` or the end of
+    the driver, whichever comes first.
+    """
+    spark = df.sparkSession
+    own = own_tables(spark)
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return Table(df.sparkSession, path)
+    if own not in _leaving:
+        _leaving.add(own)
+        _delete(spark, own, at_exit=True)
+    return Table(spark, path)

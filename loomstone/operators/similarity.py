@@ -1,9 +1,11 @@
 """Exact joins of vectors above a cosine, and clusters from them.
 
-Vectors are gathered in cells around pivots. By the triangle inequality of angles two cells can
-only hold a pair above the threshold if the angle of their pivots is at most the threshold's angle
-plus both cells' radii; all other pairs of cells are never met. The cells that remain are
-multiplied as blocks. Nothing is approximate: the result is that of comparing all pairs.
+Vectors are laid along the direction in which a sample is widest and cut into slices of bounded size.
+Unit vectors whose cosine is above t lie within sqrt(2 - 2t) of each other, and so do their places on the line:
+slices farther apart never meet. The pairs of slices that are left are multiplied as blocks. Each row finds its
+blocks for itself; the driver sees the slices' bounds only. Nothing is approximate: the result is that of comparing
+all pairs, and where the bound prunes nothing the work is that of all pairs, in blocks. For collections
+beyond some millions of vectors an index, which loses a little, is the better operator.
 """
 
 from __future__ import annotations
@@ -19,88 +21,106 @@ from pyspark.sql import functions as F
 from loomstone.session import ship
 from loomstone.storage import cut
 
+SLICE = 8_000
+"""Rows of a slice, about; a block is two slices."""
+FEW = 500
+"""Small tables are cut into slices of so many rows, at most eight, so that cores share the work."""
+SAMPLE = 2_000
+"""Rows that decide the direction; they change the pruning, not the result."""
+
+
 def _unit(vectors) -> np.ndarray:
     x = np.stack([np.asarray(v, np.float64) for v in vectors])
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-PIVOTS = 64
-"""At most so many cells: one for every thousand vectors, around pivots sampled from them."""
-
-
-def links(df: DataFrame, key: str, vector: str, min_cosine: float, pivots: int = PIVOTS) -> DataFrame:
+def links(df: DataFrame, key: str, vector: str, min_cosine: float) -> DataFrame:
     """``(a, b, cosine)``, a < b: pairs of rows whose cosine is above ``min_cosine`` (strictly).
 
     Float values, sums in double. Null keys and null or empty vectors are left out; a vector of
-    zeros has no pair; vectors of another length than the most common are an error. Repeated keys
-    are one row. The pairs are what was asked for; where a group of n alike vectors is large, use
-    ``link_counts``, which gives one row per vector.
+    zeros has no pair; vectors of different lengths are an error. Repeated keys are one row. The
+    pairs are what was asked for; where a group of n alike vectors is large, use ``link_counts``, which
+    gives one row per vector.
     """
-    ship(df.sparkSession)
-    return _blocks(df, key, vector, min_cosine, pivots, "pairs")
+    return _blocks(df, key, vector, min_cosine, "pairs")
 
 
-def link_counts(df: DataFrame, key: str, vector: str, min_cosine: float, pivots: int = PIVOTS) -> DataFrame:
+def link_counts(df: DataFrame, key: str, vector: str, min_cosine: float) -> DataFrame:
     """``(key, n_links)`` of every row that has a pair: how many, without the pairs."""
-    ship(df.sparkSession)
-    part = _blocks(df, key, vector, min_cosine, pivots, "counts")
+    part = _blocks(df, key, vector, min_cosine, "counts")
     return part.groupBy("a").agg(F.sum("n").alias("n_links")).select(F.col("a").alias(key), "n_links")
 
 
-def _blocks(df: DataFrame, key: str, vector: str, min_cosine: float, pivots: int, what: str) -> DataFrame:
+def _direction(rows: DataFrame) -> np.ndarray | None:
+    chosen = rows.orderBy(F.xxhash64("k")).limit(SAMPLE).select("v").collect()  # bounded
+    if not chosen:
+        return None
+    x = _unit([r.v for r in chosen])
+    return np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][0]
+
+
+def _blocks(df: DataFrame, key: str, vector: str, min_cosine: float, what: str, size: int = SLICE) -> DataFrame:
     """``what``: all pairs, or the counts of each row, or ties, which join in each block what pairs join."""
+    spark = df.sparkSession
+    ship(spark)
     rows = df.where(F.col(key).isNotNull() & (F.size(vector) > 0)).groupBy(F.col(key).alias("k")).agg(F.max(vector).alias("v"))
     rows = cut(rows, "vectors").df
     kind = rows.schema["k"].dataType.simpleString()
-    pivots = max(1, min(pivots, rows.count() // 1000))
-    chosen = rows.orderBy(F.xxhash64("k")).limit(pivots).select("v").collect()
     out_schema = {"pairs": f"a {kind}, b {kind}, cosine double", "counts": f"a {kind}, n bigint", "ties": f"a {kind}, b {kind}"}[what]
-    if not chosen:
-        return df.sparkSession.createDataFrame([], out_schema)
-    pivot = _unit([r.v for r in chosen])
+    n = rows.count()
+    direction = _direction(rows)
+    if direction is None:
+        return spark.createDataFrame([], out_schema)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = _unit(b["v"])
-            cos = x @ pivot.T
-            cell = cos.argmax(axis=1)
-            yield b.assign(cell=cell.astype(np.int32), angle=np.arccos(np.clip(cos[np.arange(len(b)), cell], -1, 1)))
-
-    placed = cut(rows.mapInPandas(assign, f"k {kind}, v array<float>, cell int, angle double"), "placed").df
-    radius = {r.cell: r.r for r in placed.groupBy("cell").agg(F.max("angle").alias("r")).collect()}  # one row per pivot
-    limit = math.acos(max(-1.0, min(1.0, min_cosine))) + 1e-9
-    between = np.arccos(np.clip(pivot @ pivot.T, -1, 1))
-    meets = [(i, j) for i in radius for j in radius if i <= j and between[i, j] <= limit + radius[i] + radius[j]]
-    spark = df.sparkSession
-    if not meets:
-        return spark.createDataFrame([], out_schema)
-    # Each row goes to the pairs of cells it takes part in; a cell is cut into slices of bounded size.
-    sizes = {r.cell: r["count"] for r in placed.groupBy("cell").count().collect()}
-    slices = {c: max(1, math.ceil(n / 4000)) for c, n in sizes.items()}
-    routes = [(i, j, s, t) for i, j in meets for s in range(slices[i]) for t in range(slices[j]) if i != j or s <= t]
-    route = [(n, c, s, side) for n, (i, j, s0, t0) in enumerate(routes) for c, s, side in ((i, s0, 0), (j, t0, 1))]
-    plan = spark.createDataFrame(route, "block int, cell int, slice int, side int")
-    by_cell = F.create_map(*[F.lit(x) for kv in slices.items() for x in kv])
-    sliced = placed.withColumn("slice", F.pmod(F.xxhash64("k"), by_cell[F.col("cell")]).cast("int"))
-    sent = sliced.join(F.broadcast(plan), ["cell", "slice"]).select("block", "side", "k", "v")  # blocks of pivots only
+            yield b.assign(p=_unit(b["v"]) @ direction if len(b) else np.zeros(0))
+
+    placed = cut(rows.mapInPandas(project, f"k {kind}, v array<float>, p double"), "placed").df
+    slices = max(math.ceil(n / size), min(8, math.ceil(n / FEW)))
+    inner = placed.approxQuantile("p", [i / slices for i in range(1, slices)], 1 / (20 * slices)) if slices > 1 else []
+    bounds = np.array(sorted(inner))
+    low, high = np.r_[-np.inf, bounds], np.r_[bounds, np.inf]
+    reach = math.sqrt(max(0.0, 2 - 2 * max(-1.0, min(1.0, min_cosine)))) + 1e-9
+    # Slice i meets the slices first[i] to last[i]; bounds are in order, so these are neighbours.
+    first, last = np.searchsorted(high, low - reach, "left"), np.searchsorted(low, high + reach, "right") - 1
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = b["p"].to_numpy()
+            a, z = np.searchsorted(bounds, x, "left"), np.searchsorted(bounds, x, "right")
+            # One place on the line may hold many rows and so several bounds: its rows spread over these slices.
+            at = a + b["salt"].to_numpy() % (z - a + 1)
+            yield pd.DataFrame({"k": b["k"], "v": b["v"], "slice": at.astype(np.int32), "first": first[at].astype(np.int32), "last": last[at].astype(np.int32)})
+
+    salted = placed.select("k", "v", "p", F.pmod(F.xxhash64("k"), F.lit(1 << 30)).cast("int").alias("salt"))
+    routed = salted.mapInPandas(route, f"k {kind}, v array<float>, slice int, first int, last int")
+    met = routed.select("k", "v", "slice", F.explode(F.sequence("first", "last")).alias("other"))
+    sent = met.select("k", "v", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), (F.col("slice") > F.col("other")).alias("right"))
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        left, right = (pdf, pdf) if same else (pdf[~pdf["right"]], pdf[pdf["right"]])
+        nothing = {"pairs": {"a": [], "b": [], "cosine": []}, "counts": {"a": [], "n": []}, "ties": {"a": [], "b": []}}[what]
         if not len(left) or not len(right):
-            return pd.DataFrame({"pairs": {"a": [], "b": [], "cosine": []}, "counts": {"a": [], "n": []}, "ties": {"a": [], "b": []}}[what])
-        cos = _unit(left["v"]) @ _unit(right["v"]).T
+            return pd.DataFrame(nothing)
         ka, kb = left["k"].to_numpy(), right["k"].to_numpy()
-        same = set(ka) == set(kb)
-        i, j = np.nonzero(cos > min_cosine)
-        ok = ka[i] < kb[j] if same else ka[i] != kb[j]
-        i, j = i[ok], j[ok]
+        x, y = _unit(left["v"]), _unit(right["v"]).T
+        parts = []
+        for lo in range(0, len(x), 512):  # a strip of the block at a time
+            cos = x[lo : lo + 512] @ y
+            i, j = np.nonzero(cos > min_cosine)
+            c = cos[i, j]
+            i = i + lo
+            ok = ka[i] < kb[j] if same else ka[i] != kb[j]
+            parts.append((i[ok], j[ok], c[ok]))
+        i, j, c = (np.concatenate(z) for z in zip(*parts))
         if what == "pairs":
-            lo, hi = np.where(ka[i] < kb[j], ka[i], kb[j]), np.where(ka[i] < kb[j], kb[j], ka[i])
-            return pd.DataFrame({"a": lo, "b": hi, "cosine": cos[i, j]})
+            return pd.DataFrame({"a": np.where(ka[i] < kb[j], ka[i], kb[j]), "b": np.where(ka[i] < kb[j], kb[j], ka[i]), "cosine": c})
         if what == "counts":
-            n = pd.concat([pd.Series(ka[i]), pd.Series(kb[j])]).value_counts()
-            return pd.DataFrame({"a": n.index, "n": n.to_numpy()})
+            met = pd.concat([pd.Series(ka[i]), pd.Series(kb[j])]).value_counts()
+            return pd.DataFrame({"a": met.index, "n": met.to_numpy()})
         names, at = np.unique(np.concatenate([ka, kb]), return_inverse=True)  # in order, so the smallest is the first
         a, b = at[i], at[len(ka) + j]
         low = np.arange(len(names))
@@ -114,7 +134,7 @@ def _blocks(df: DataFrame, key: str, vector: str, min_cosine: float, pivots: int
         tied = np.nonzero(low != np.arange(len(names)))[0]
         return pd.DataFrame({"a": names[low[tied]], "b": names[tied]})
 
-    return sent.groupBy("block").applyInPandas(multiply, out_schema)
+    return sent.groupBy("i", "j").applyInPandas(multiply, out_schema)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -148,8 +168,7 @@ def _stars(e: DataFrame) -> bool:
 
 def clusters(df: DataFrame, key: str, vector: str, min_cosine: float, least: int = 3) -> DataFrame:
     """``(cluster_id, key, n)`` of the members of every component of ``least`` or more rows."""
-    ship(df.sparkSession)
-    c = components(_blocks(df, key, vector, min_cosine, PIVOTS, "ties"))
+    c = components(_blocks(df, key, vector, min_cosine, "ties"))
     sizes = c.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return c.join(sizes, "root").select(F.col("root").alias("cluster_id"), F.col("node").alias(key), "n")
 

@@ -82,12 +82,12 @@ def vector_topk(t: Tables) -> DataFrame:
     return near.withColumn("r", F.row_number().over(w)).where("r <= 5").select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"))
 
 
-@query(f"""WITH {_V}, p AS (SELECT *, lead(e) OVER (ORDER BY vec_id) AS nxt FROM v) SELECT vec_id, round(list_cosine_similarity(e, nxt), 6) AS cosine FROM p WHERE nxt IS NOT NULL AND vec_id % 10 <> 9""")
+@query(f"""WITH {_V}, p AS (SELECT *, lead(e) OVER (ORDER BY vec_id) AS nxt FROM v) SELECT vec_id, round(list_cosine_similarity(e, nxt), 6) AS cosine FROM p WHERE nxt IS NOT NULL""")
 def neighbour_cosine(t: Tables) -> DataFrame:
     """The cosine function on vectors of consecutive ids."""
     v = t.embeddings.select("vec_id", "embedding")
     n = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("nxt"))
-    return v.where("vec_id % 10 <> 9").join(n, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("nxt")), 6).alias("cosine"))
+    return v.join(n, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("nxt")), 6).alias("cosine"))
 
 
 @query()

@@ -14,6 +14,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomstone.functions.text import BLANKS
+
+SPACE = f"[{BLANKS}]"
+
 
 def luhn(digits: str) -> bool:
     odd = sum(map(int, digits[-1::-2]))
@@ -26,18 +30,20 @@ def _card(raw: str) -> bool:
     return 13 <= len(d) <= 19 and luhn(d)
 
 
-_octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_octet = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
 # What each rule accepts, in order of priority.
 RULES = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", None),
     ("phone", r"(?<![\w.])\+[1-9]\d{6,14}(?!\d)", None),
-    ("phone", r"(?<![\w.])(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-. ]\d{3}[-. ]\d{4})(?!\d)", None),
+    ("phone", rf"(?<![\w.])(?:\(\d{{3}}\){SPACE}?\d{{3}}[-. ]\d{{4}}|\d{{3}}[-. ]\d{{3}}[-. ]\d{{4}})(?!\d)", None),
     ("phone", r"(?<![\w.])\d{10}(?!\d)", None),
     ("sin", r"\b\d{3}-\d{3}-\d{3}\b", lambda m: luhn(m.replace("-", ""))),
     ("cc", r"(?<!\d)(?:\d[ -]?){13,19}(?!\d)", _card),
-    ("ip", rf"(?<![\w.]){_octet}(?:\.{_octet}){{3}}(?![\w.])", None),
-    ("ip", r"(?<![\w:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){2,7}(?![\w:])", None),
+    ("ipv4", rf"(?<![\w.])(?:{_octet}\.){{3}}{_octet}(?![\w.])", None),
+    ("ipv6", r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{1,4}(?![\w:])", None),
 ]
+# What stands in place of each type.
+PLACEHOLDERS = {"email": "[REDACTED_EMAIL]", "phone": "[REDACTED_PHONE]", "sin": "[REDACTED_SIN]", "cc": "[REDACTED_CC]", "ipv4": "[REDACTED_IP]", "ipv6": "[REDACTED_IP]"}
 _COMPILED = [(i, kind, re.compile(p, re.ASCII), check) for i, (kind, p, check) in enumerate(RULES)]
 
 
@@ -75,7 +81,7 @@ def regex_pass(c: Column) -> Column:
                         continue
                     out, at, log = [], 0, []
                     for s, e, kind in scan(t):
-                        put = f"[REDACTED_{kind.upper()}]"
+                        put = PLACEHOLDERS[kind]
                         out += [t[at:s], put]
                         log.append({"type": kind, "offset": s, "replacement": put})
                         at = e
@@ -87,6 +93,17 @@ def regex_pass(c: Column) -> Column:
     return run(c)
 
 
+def types_found(c: Column) -> Column:
+    """The types of what the rules take of a text, in order; neither texts nor logs leave the worker."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[kind for _, _, kind in scan(t)] if t else [] for t in texts], dtype=object)
+
+    return run(c)
+
+
 def luhn_ok(c: Column) -> Column:
     """Luhn's check of the digits of a text; false without digits."""
     digits = F.regexp_replace(c, "[^0-9]", "")

@@ -10,12 +10,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: blank characters.
-SPACE = r"[\t\n\x0b\f\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+BLANKS = r"\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACE = f"[{BLANKS}]"
 
 # Words that carry no topic in a gap phrase.
-GAP_STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "will", "with"]
+GAP_STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "been", "being", "but", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or",
+    "that", "the", "this", "to", "was", "were", "when", "where", "will", "with",
+]
 # Long words that say nothing of their own.
-COMMON_LONG_WORDS = ["because", "before", "between", "business", "company", "customer", "during", "example", "however", "service", "several", "someone", "something", "support", "through", "together", "whether", "without", "working"]
+COMMON_LONG_WORDS = [
+    "because", "through", "however", "therefore", "although", "business", "businesses", "company", "companies", "customer", "customers", "service",
+    "services", "solution", "solutions", "important", "different", "something", "everything", "available", "technology", "organization", "management",
+]
 
 
 def squeeze(c: Column) -> Column:
@@ -166,33 +173,56 @@ def sha256_of_address(c: Column) -> Column:
     return F.sha2(F.lower(F.trim(c)), 256)
 
 
+# The field of a tool's payload that says what the call was about; names are matched exactly.
+SUMMARY_FIELDS = {
+    "Bash": "command", "mcp__workspace__bash": "command",
+    "Edit": "file_path", "Write": "file_path", "Read": "file_path",
+    "mcp__Claude_in_Chrome__navigate": "url",
+    "WebFetch": "url", "mcp__workspace__web_fetch": "url",
+    "WebSearch": "query",
+    "Glob": "pattern", "Grep": "pattern",
+    "mcp__cowork__present_files": "files",
+    "TaskCreate": "subject", "TaskUpdate": "subject",
+    "AskUserQuestion": "questions",
+}
+SEARCH_TOOL = r"^mcp__[^_].*__search$"
+
+
 def tool_summary(tool: Column, payload: Column) -> Column:
-    """What a tool call was about, at most 80 characters, from its JSON payload; null where it says nothing.
+    """What a tool call was about, at most 80 characters, from its JSON payload; null where it says nothing
+    or the tool is not known.
 
-    The field depends on the tool: of a shell command the first line, of several lines only that
-    there are some.
+    A field counts only if it is a JSON string and not empty. Of a shell command the one line that is
+    not blank, of several only that there are some; of presented files their paths.
     """
+    v = F.try_parse_json(payload)
+
+    def string(path: str) -> Column:
+        typed = F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING"
+        return F.nullif(F.when(typed, F.try_variant_get(v, path, "string")), F.lit(""))
+
+    def of(field: str) -> list[str]:
+        return [t for t, f in SUMMARY_FIELDS.items() if f == field]
+
+    lines = F.filter(F.split(string("$.command"), "\n"), lambda x: squeeze(x) != "")
+    shell = F.when(F.size(lines) > 1, F.lit("bash (multi-line)")).when(F.size(lines) == 1, lines[0])
 
-    def field(name: str) -> Column:
-        return F.nullif(F.get_json_object(payload, f"$.{name}"), F.lit(""))
+    def path_of(f: Column) -> Column:
+        inner = F.try_variant_get(f, "$.file_path", "variant")
+        return F.when(F.schema_of_variant(f) == "STRING", F.try_variant_get(f, "$", "string")).when(F.schema_of_variant(inner) == "STRING", F.try_variant_get(f, "$.file_path", "string"))
 
-    t = F.lower(tool)
-    command = field("command")
-    shell = F.when(command.contains("\n"), F.lit("bash (multi-line)")).otherwise(command)
-    files = F.array_join(F.from_json(field("files"), "array<string>"), ", ")
+    files = F.array_join(F.filter(F.transform(F.try_variant_get(v, "$.files", "array<variant>"), path_of), lambda p: p.isNotNull()), ", ")
     value = (
-        F.when(t.isin("bash", "shell"), shell)
-        .when(t.isin("read", "write", "edit", "read_file", "write_file", "multiedit", "notebookedit"), F.coalesce(field("file_path"), field("path")))
-        .when(t.isin("webfetch", "fetch_url"), field("url"))
-        .when(t.isin("websearch", "search", "mail_lookup"), field("query"))
-        .when(t.isin("grep", "glob"), field("pattern"))
-        .when(t.isin("ls", "list_dir"), field("path"))
-        .when(t == "present_files", files)
-        .when(t.isin("agent", "task"), F.coalesce(field("description"), field("subject")))
-        .when(t.isin("taskcreate", "create_task"), F.coalesce(field("subject"), field("title")))
-        .when(t == "askuserquestion", field("questions[0].question"))
+        F.when(tool.isin(of("command")), shell)
+        .when(tool.isin(of("file_path")), string("$.file_path"))
+        .when(tool.isin(of("url")), string("$.url"))
+        .when(tool.isin(of("query")) | tool.rlike(SEARCH_TOOL), string("$.query"))
+        .when(tool.isin(of("pattern")), string("$.pattern"))
+        .when(tool.isin(of("files")), files)
+        .when(tool.isin(of("subject")), F.coalesce(string("$.subject"), string("$.title")))
+        .when(tool.isin(of("questions")), string("$.questions[0].question"))
     )
-    return F.nullif(clamp(value), F.lit(""))
+    return F.when(value != "", clamp(value))
 
 
 def without_secret(c: Column, secret: str) -> Column:

@@ -70,22 +70,36 @@ def few_words(texts: Column, least: int = 100) -> Column:
     return F.when(n < least, n)
 
 
-_NUMBER = re.compile(r"(?<![A-Za-z0-9_.,-])\d[\d,]*(?:\.\d+)?(?![A-Za-z0-9_-])", re.ASCII)
+_NUMBER = re.compile(r"\b\d[\d,]*(?:\.\d+)?\b", re.ASCII)
 # Words that name a source.
-CUES = ["according to", "reported by", "source", "survey", "study", "data from", "cited", "report", "research", "published"]
-_CUE = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(CUES) + r")(?![A-Za-z0-9_])", re.I | re.ASCII)
-_URL = re.compile(r"https?://\S+")
+CUES = ["source", "according to", "per", "study", "survey", "report", "research", "data from", "cited", "citation", "reference", "statista", "gartner", "forrester"]
+_SOURCED = re.compile(r"(?:https?://|www\.)\S|\b(?:" + "|".join(CUES) + r")\b", re.I | re.ASCII)
+# What shows that somebody speaks of their own.
+FIRST_PERSON = [r"(?<!\w)I(?!\w)", r"(?i)(?<!\w)we(?!\w)", r"(?i)(?<!\w)my client(?!\w)", r"(?i)(?<!\w)in my experience(?!\w)"]  # \w is ASCII here
 
 
 def unattributed(text: str, window: int = 200, digits: int = 4) -> tuple[int, str] | None:
-    """The first standing number of four or more digits without an address or a source's name near it."""
-    marks = [(m.start(), m.end()) for p in (_CUE, _URL) for m in p.finditer(text)]
+    """The first number of four or more digits without an address or a source's name within ``window``
+    characters; what the window's edge cuts is judged as it stands inside."""
     for m in _NUMBER.finditer(text):
-        if sum(c.isdigit() for c in m[0]) >= digits and not any(s < m.end() + window and e > m.start() - window for s, e in marks):
+        if sum(c.isdigit() for c in m[0]) >= digits and not _SOURCED.search(text[max(0, m.start() - window) : m.end() + window]):
             return m.start(), m[0]
     return None
 
 
+def no_first_person(draft: Column) -> Column:
+    """A note where nobody speaks of their own, null else."""
+    hit = F.lit(False)
+    for p in FIRST_PERSON:
+        hit = hit | draft.rlike(p)
+    return F.when(~hit, F.lit("no first-person language"))
+
+
+def title_words(title: Column, patterns: dict[str, str]) -> Column:
+    """The label of the first of the patterns (Java regular expressions by label) that a title holds, null if none."""
+    return F.coalesce(*[F.when(title.rlike(p), F.lit(label)) for label, p in patterns.items()]) if patterns else F.lit(None).cast("string")
+
+
 def unattributed_number(draft: Column) -> Column:
     """``{offset, number}`` of :func:`unattributed`; offsets of all matches have no built-in form."""
 

@@ -21,6 +21,10 @@ LATEST = """latest AS (
                  FROM capture_signals WHERE id IS NOT NULL) WHERE rn = 1)"""
 
 
+# Written out here once more, so that the SQL does not follow the engine's list.
+GAP_WORDS = """['a', 'an', 'and', 'are', 'as', 'at', 'be', 'been', 'being', 'but', 'by', 'for', 'from', 'how', 'in', 'is', 'it', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'was', 'were', 'when', 'where', 'will', 'with']"""
+
+
 def label(c):
     return F.regexp_replace(F.lower(F.trim(c)), "[- ]", "_")
 
@@ -146,7 +150,7 @@ def candidates_without_interview(t: Tables) -> DataFrame:
 
 @query(f"""WITH {LATEST.replace('token_count DESC NULLS LAST', 'token_count DESC NULLS LAST, redacted_text DESC NULLS LAST')},
            g AS (SELECT id AS candidate_id, unnest(serp_gaps) AS gap, generate_subscripts(serp_gaps, 1) - 1 AS pos FROM (SELECT id, any_value(serp_gaps) AS serp_gaps FROM article_candidates GROUP BY id)),
-           tok AS (SELECT candidate_id, pos, gap, unnest(list_filter(string_split_regex(lower(gap), '\\s+'), lambda w: w <> '' AND NOT list_contains({X.GAP_STOP_WORDS!r}, w))) AS token FROM g),
+           tok AS (SELECT candidate_id, pos, gap, unnest(list_filter(string_split_regex(lower(gap), '\\s+'), lambda w: w <> '' AND NOT list_contains({GAP_WORDS}, w))) AS token FROM g),
            ev AS (SELECT DISTINCT c.candidate_id, lower(latest.redacted_text) AS txt FROM (SELECT DISTINCT id AS candidate_id, unnest(evidence_chunk_ids) AS signal_id FROM article_candidates) c JOIN latest ON latest.id = c.signal_id),
            hit AS (SELECT DISTINCT tok.candidate_id, pos FROM tok JOIN ev ON tok.candidate_id = ev.candidate_id AND contains(ev.txt, token))
            SELECT g.candidate_id, CAST(g.pos AS INTEGER) AS pos, g.gap FROM g ANTI JOIN hit ON g.candidate_id = hit.candidate_id AND g.pos = hit.pos""")
@@ -278,15 +282,15 @@ def answer_counts(t: Tables) -> DataFrame:
     )
 
 
-@query("""SELECT session_id, array_to_string(list_sort(list_distinct(list(cwd) FILTER (cwd <> ''))), '|') AS cwds, array_to_string(list_sort(list_distinct(list(git_branch) FILTER (git_branch <> ''))), '|') AS branches
-          FROM session_events WHERE session_id IS NOT NULL GROUP BY 1 HAVING count(cwd) FILTER (cwd <> '') > 0 AND count(git_branch) FILTER (git_branch <> '') > 0""")
+@query("""SELECT session_id, coalesce(array_to_string(list_sort(list_distinct(list(cwd) FILTER (cwd <> ''))), '|'), '') AS cwds, coalesce(array_to_string(list_sort(list_distinct(list(git_branch) FILTER (git_branch <> ''))), '|'), '') AS branches
+          FROM session_events WHERE session_id IS NOT NULL GROUP BY 1""")
 def cwds_and_branches(t: Tables) -> DataFrame:
-    """Distinct folders and branches of each session; distinct first, so a hot session brings few values."""
+    """Distinct folders and branches of each session, empty where it names none; distinct first, so a hot session brings few values."""
     e = t.session_events.where("session_id is not null")
     pairs = e.select("session_id", F.explode(F.array(F.struct(F.lit("c").alias("k"), F.col("cwd").alias("v")), F.struct(F.lit("b").alias("k"), F.col("git_branch").alias("v")))).alias("x"))
-    d = pairs.select("session_id", "x.k", "x.v").where("v <> ''").distinct()
+    d = pairs.select("session_id", F.when(F.col("x.v") != "", F.col("x.k")).alias("k"), F.nullif("x.v", F.lit("")).alias("v")).distinct()
     g = d.groupBy("session_id").agg(F.sort_array(F.collect_list(F.when(F.col("k") == "c", F.col("v")))).alias("c"), F.sort_array(F.collect_list(F.when(F.col("k") == "b", F.col("v")))).alias("b"))
-    return g.where((F.size("c") > 0) & (F.size("b") > 0)).select("session_id", F.array_join("c", "|").alias("cwds"), F.array_join("b", "|").alias("branches"))
+    return g.select("session_id", F.array_join("c", "|").alias("cwds"), F.array_join("b", "|").alias("branches"))
 
 
 @query(f"""WITH {LATEST}, s AS (SELECT date_trunc('day', captured_at) AS day, {SOURCE} AS source_key, token_count FROM latest WHERE captured_at IS NOT NULL)

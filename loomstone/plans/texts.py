@@ -16,7 +16,7 @@ from loomstone.plans.common import Catalog, Tables, now_of
 catalog = Catalog()
 query = catalog.query
 
-SP = r"[\t\n\x0b\f\r \x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+SP = r"[\t\n\x0b\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
 def sq(c: str) -> str:
@@ -41,7 +41,7 @@ def html_to_text(t: Tables) -> DataFrame:
 
 @query(f"""SELECT doc_id, len({ws('text')}) AS n_words, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits, substr({sq('text')}, 1, 80) AS head,
                   array_to_string(list_slice({ws('text')}, 1, 10), ' ') || CASE WHEN len({ws('text')}) > 10 THEN '…' ELSE '' END AS first_words,
-                  replace(replace(replace(substr(text, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped
+                  sha256(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped
            FROM documents WHERE text IS NOT NULL""")
 def text_measures(t: Tables) -> DataFrame:
     c = F.col("text")
@@ -51,11 +51,12 @@ def text_measures(t: Tables) -> DataFrame:
         X.digit_count(c).cast("long").alias("n_digits"),
         X.clamp(c).alias("head"),
         X.first_words(c, 10).alias("first_words"),
-        X.escape_html(F.substring(c, 1, 200)).alias("escaped"),
+        F.sha2(X.escape_html(c), 256).alias("escaped"),
     )
 
 
-_COMMON = repr(X.COMMON_LONG_WORDS)
+# Written out here once more, so that the SQL does not follow the engine's list.
+_COMMON = """['because', 'through', 'however', 'therefore', 'although', 'business', 'businesses', 'company', 'companies', 'customer', 'customers', 'service', 'services', 'solution', 'solutions', 'important', 'different', 'something', 'everything', 'available', 'technology', 'organization', 'management']"""
 DISTINCTIVE = (
     "list_distinct(list_transform(list_filter(regexp_extract_all({c}, '[A-Za-z0-9]+'), lambda w: (regexp_matches(w, '[0-9]') AND length(w) >= 3) OR regexp_matches(w, '^[A-Z]{{3,}}$')"
     " OR (regexp_matches(w, '^[A-Za-z]{{7,}}$') AND NOT list_contains(" + _COMMON + ", lower(w)))), lambda w: lower(w)))"
@@ -114,15 +115,15 @@ def pii_redacted(t: Tables) -> DataFrame:
 
 @query()
 def pii_counts_by_type(t: Tables) -> DataFrame:
-    x = t.capture_signals.select("id", F.explode(pii.regex_pass(F.col("redacted_text"))["log"]["type"]).alias("type"))
+    x = t.capture_signals.select("id", F.explode(pii.types_found(F.col("redacted_text"))).alias("type"))
     return x.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_signals"))
 
 
-CARD = "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}"
+CARD = "[0-9](?:[ -]?[0-9]){12,18}"
 
 
-@query(f"""WITH m AS (SELECT id, unnest(list_transform(regexp_extract_all(redacted_text, '{CARD}'), lambda x: regexp_replace(x, '[^0-9]', '', 'g'))) AS digits FROM capture_signals),
-           l AS (SELECT id, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN CAST(digits[i] AS INTEGER)
+@query(f"""WITH m AS (SELECT id, unnest(list_transform(regexp_extract_all(redacted_text, '{CARD}'), lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g')))) AS digits FROM capture_signals),
+           l AS (SELECT id, list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(digits[i] AS INTEGER)
                    ELSE CAST(digits[i] AS INTEGER) * 2 - CASE WHEN CAST(digits[i] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0 AS ok FROM m)
            SELECT id, count(*) AS n_shaped, count(*) FILTER (ok) AS n_valid FROM l GROUP BY 1""")
 def luhn_cards(t: Tables) -> DataFrame:
@@ -185,7 +186,12 @@ def cluster_titles(t: Tables) -> DataFrame:
     return c.select("id", F.array_join(w, " ").alias("words"), X.clean_title(F.col("cluster_label"), F.lit("untitled")).alias("title"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT row_number() OVER () AS rn, id, created_at, list_filter(list_transform(answers, lambda a: trim(coalesce(a.transcript, a.text, ''), ' ')), lambda x: x <> '') AS parts FROM interview_sessions WHERE answers IS NOT NULL),
+          f AS (SELECT rn, 0 AS i, CAST([] AS VARCHAR[]) AS kept, 0 AS used, 0 AS omitted FROM p
+                UNION ALL SELECT f.rn, i + 1, CASE WHEN used + length(parts[i + 1]) <= 500 THEN list_append(kept, parts[i + 1]) ELSE kept END,
+                                 used + CASE WHEN used + length(parts[i + 1]) <= 500 THEN CAST(length(parts[i + 1]) AS INTEGER) ELSE 0 END, omitted + CASE WHEN used + length(parts[i + 1]) <= 500 THEN 0 ELSE 1 END
+                          FROM f JOIN p USING (rn) WHERE i < len(parts))
+          SELECT id, created_at, array_to_string(kept, chr(10)) AS text, used, omitted FROM f JOIN p USING (rn) WHERE i = len(parts)""")
 def greedy_insights(t: Tables) -> DataFrame:
     """Transcripts of a session packed into 500 characters, larger ones skipped for later, smaller ones."""
     s = t.interview_sessions.where("answers is not null")
@@ -211,12 +217,11 @@ def order_dates(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", D.next_monday(d).alias("surfaced_for_week"), D.day_name(d).alias("day"), D.clock_utc(d).alias("clock"), D.iso_millis(d).alias("iso"))
 
 
-@query("""WITH l AS (SELECT DISTINCT id, timezone('America/New_York', captured_at) AS lt FROM capture_signals WHERE captured_at IS NOT NULL AND captured_at >= TIMESTAMPTZ '2000-01-01 00:00:00+00' AND captured_at < TIMESTAMPTZ '2037-01-01 00:00:00+00'),
+@query("""WITH l AS (SELECT DISTINCT id, timezone('America/New_York', captured_at) AS lt FROM capture_signals WHERE captured_at IS NOT NULL),
           m AS (SELECT id, lt, CASE WHEN isodow(lt) = 1 AND hour(lt) < 8 THEN date_trunc('day', lt) ELSE date_trunc('week', lt) + INTERVAL 7 DAY END AS d FROM l)
           SELECT id, lt AS local_time, timezone('America/New_York', CAST(d AS TIMESTAMP) + INTERVAL 8 HOUR) AS due FROM m""")
 def next_monday_8am_et(t: Tables) -> DataFrame:
-    lo, hi = F.lit("2000-01-01 00:00:00").cast("timestamp"), F.lit("2037-01-01 00:00:00").cast("timestamp")
-    s = t.capture_signals.where((F.col("captured_at") >= lo) & (F.col("captured_at") < hi)).select("id", "captured_at").distinct()
+    s = t.capture_signals.where("captured_at is not null").select("id", "captured_at").distinct()
     return s.select("id", F.from_utc_timestamp("captured_at", "America/New_York").cast("timestamp_ntz").alias("local_time"), D.next_monday_8am(F.col("captured_at")).alias("due"))
 
 

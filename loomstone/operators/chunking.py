@@ -2,62 +2,91 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import os
 import re
-from bisect import bisect_left
+import time
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TARGET, OVERLAP, MOST = 650, 100, 800
 
-_TOKEN = re.compile(r"\w+|[^\w\s]+|\s+")
-_SENTENCE_END = re.compile(r"[.!?]+|\n+")
+_SENTENCE_END = re.compile(r"[.!?]+|[\n\r]+")
 
+Tokenizer = Callable[[str], list[bytes]]
+"""``text -> the bytes of its tokens``, which tile the text."""
 
-def word_tokens(text: str) -> list[int]:
-    """Ends of the tokens of a text; tokens tile it. The default tokenizer: words, marks and blanks."""
-    return [m.end() for m in _TOKEN.finditer(text)]
+_loaded: dict[str, tiktoken.Encoding] = {}
 
 
-def windows(text: str, target: int = TARGET, overlap: int = OVERLAP, most: int = MOST, tokenizer: Callable[[str], list[int]] = word_tokens) -> list[tuple[int, int, str]]:
-    """``(start_token, end_token, text)`` of each window.
+def byte_pair_tokens(vocabulary: str, pattern: str) -> Tokenizer:
+    """Tokens by a public rank file, special strings as ordinary text; loaded once a worker."""
+
+    def tokens(text: str) -> list[bytes]:
+        e = _loaded.get(vocabulary)
+        if e is None:
+            with open(vocabulary, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+            e = _loaded[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return e.decode_tokens_bytes(e.encode_ordinary(text))
+
+    return tokens
+
+
+# Fixed value: the public word pattern of the 50k byte-level vocabularies.
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def default_tokenizer() -> Tokenizer:
+    return byte_pair_tokens(os.path.join(os.environ.get("LOOMSTONE_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken"), WORD_PATTERN)
+
+
+def windows(text: str, target: int = TARGET, overlap: int = OVERLAP, most: int = MOST, tokenizer: Tokenizer | None = None) -> list[tuple[int, int, str]]:
+    """``(start_token, end_token, text)`` of each window, in tokens of the tokenizer (``byte_bpe_50k``).
 
     A text of at most ``target`` tokens is one window. Else a window ends at the sentence end nearest
     to ``target`` (the first of equals) between ``target - overlap`` and ``most`` tokens, or at
     ``target``; once at most ``most`` tokens are left they are the last window. The next window begins
-    ``overlap`` tokens before the end. Only sentence ends at a token's edge count.
+    ``overlap`` tokens before the end. Only sentence ends at a token's edge count. A window that begins or ends
+    inside a character shows the replacement character there.
     """
     if target <= 0 or not 0 <= overlap < target or most < target:
         raise ValueError("0 < target, 0 <= overlap < target <= most")
-    ends = tokenizer(text)
-    n = len(ends)
-    if not n:
+    if not text:
         return []
-    at = [0, *ends]
+    raw = text.encode("utf-8", "replace")
+    text = raw.decode("utf-8")
+    tokens = (tokenizer or default_tokenizer())(text)
+    n = len(tokens)
     if n <= target:
         return [(0, n, text)]
-    edge = {e: i + 1 for i, e in enumerate(ends)}
-    stops = sorted({edge[m.end()] for m in _SENTENCE_END.finditer(text) if m.end() in edge})
+    ends = np.cumsum([len(t) for t in tokens])
+    at = np.concatenate([[0], ends])
+    chars = None
+    if len(raw) != len(text):
+        c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        chars = np.cumsum(1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
+    edges = np.array([m.end() for m in _SENTENCE_END.finditer(text) if m.end() < len(text)], np.int64)
+    if chars is not None and len(edges):
+        edges = chars[edges - 1]
+    stops = (np.nonzero(np.isin(ends, edges))[0] + 1).tolist()
     out, start = [], 0
     while True:
         if n - start <= most:
-            out.append((start, n, text[at[start] :]))
+            out.append((start, n, raw[at[start] :].decode("utf-8", "replace")))
             return out
         lo, hi, aim = start + target - overlap, start + most, start + target
-        end = aim
-        i = bisect_left(stops, lo)
-        best = None
-        while i < len(stops) and stops[i] <= hi:
-            if best is None or abs(stops[i] - aim) < abs(best - aim):
-                best = stops[i]
-            i += 1
-        if best is not None and best - overlap > start:
-            end = best
-        out.append((start, end, text[at[start] : at[end]]))
+        near = stops[bisect_left(stops, lo) : bisect_right(stops, hi)]
+        best = min(near, key=lambda s: (abs(s - aim), s), default=aim)
+        end = best if best - overlap > start else aim
+        out.append((start, end, raw[at[start] : at[end]].decode("utf-8", "replace")))
         start = end - overlap
 
 
@@ -87,8 +116,25 @@ def hashing_embedder(texts: list[str], dim: int = 64) -> np.ndarray:
     return out
 
 
-def embed(c: Column, provider: Callable[[list[str]], np.ndarray] = hashing_embedder, batch: int = 100) -> Column:
-    """Vectors of texts, in batches of ``batch`` a call; null for null or empty text."""
+def with_attempts(provider: Callable[[list[str]], np.ndarray], attempts: int, base_ms: int) -> Callable[[list[str]], np.ndarray]:
+    """The provider, called again where it fails."""
+
+    def call(texts: list[str]) -> np.ndarray:
+        for n in range(attempts - 1):
+            try:
+                return provider(texts)
+            except Exception:
+                time.sleep(base_ms * 2**n / 1000)
+        return provider(texts)
+
+    return call
+
+
+def embed(c: Column, provider: Callable[[list[str]], np.ndarray] = hashing_embedder, batch: int = 100, attempts: int = 3, base_ms: int = 500) -> Column:
+    """Vectors of texts, in batches of ``batch`` a call; null for null or empty text. A call that fails is made
+    again, ``attempts`` times in all, after ``base_ms`` doubled each time; then the failure is the task's."""
+
+    call = with_attempts(provider, attempts, base_ms)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -97,7 +143,7 @@ def embed(c: Column, provider: Callable[[list[str]], np.ndarray] = hashing_embed
             todo = [i for i, t in enumerate(s) if t]
             for lo in range(0, len(todo), batch):
                 part = todo[lo : lo + batch]
-                for i, v in zip(part, provider([s.iloc[i] for i in part])):
+                for i, v in zip(part, call([s.iloc[i] for i in part])):
                     out[i] = v.tolist()
             yield pd.Series(out)
 

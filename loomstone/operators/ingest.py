@@ -57,7 +57,8 @@ def signals(df: DataFrame, source: str) -> DataFrame:
 
 
 def run_checkpoint(stored: DataFrame, existing: DataFrame) -> DataFrame:
-    """Checkpoints ``(source, last_ingested_at)`` after a run: the greatest time of what was stored."""
+    """Checkpoints ``(source, last_ingested_at)`` after a run that read all there was: the greatest time of what was
+    stored. A mailbox run that may have stopped at its bound keeps one per folder instead (``folder_checkpoints``)."""
     got = stored.groupBy("source").agg(F.max("captured_at").alias("last_ingested_at"))
     return T.upsert_max(existing, got, "source", "last_ingested_at")
 

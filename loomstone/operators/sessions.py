@@ -118,21 +118,21 @@ def stitch(dispatches: DataFrame, subagents: DataFrame, chars: int = 80) -> Data
     bounded text.
     """
 
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values(["ord", "tool_use_id"]), b.sort_values(["ord", "subagent_id"])
-        free = [(i, (t or "")[:chars]) for i, t in zip(b.subagent_id, b.first_text)]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.call].sort_values(["ord", "id"]), pdf[~pdf.call].sort_values(["ord", "id"])
+        free = [(i, (t or "")[:chars]) for i, t in zip(b.id, b.t)]
         rows = []
-        for tid, prompt in zip(a.tool_use_id, a.prompt):
+        for tid, prompt in zip(a.id, a.t):
             hit = next((f for f in free if f[1] and (prompt or "").startswith(f[1])), None)
             if hit:
                 free.remove(hit)
-                rows.append((key[0], tid, hit[0]))
-        rows += [(key[0], None, i) for i, _ in free]
+                rows.append((pdf.session_id.iloc[0], tid, hit[0]))
+        rows += [(pdf.session_id.iloc[0], None, i) for i, _ in free]
         return pd.DataFrame(rows, columns=["session_id", "tool_use_id", "subagent_id"])
 
-    d = dispatches.select("session_id", "ord", "tool_use_id", "prompt").groupBy("session_id")
-    s = subagents.select("session_id", "ord", "subagent_id", F.substring("first_text", 1, chars).alias("first_text")).groupBy("session_id")
-    return d.cogroup(s).applyInPandas(run, "session_id string, tool_use_id string, subagent_id string")
+    d = dispatches.select("session_id", "ord", F.col("tool_use_id").alias("id"), F.substring("prompt", 1, chars).alias("t"), F.lit(True).alias("call"))
+    s = subagents.select("session_id", "ord", F.col("subagent_id").alias("id"), F.substring("first_text", 1, chars).alias("t"), F.lit(False).alias("call"))
+    return d.unionByName(s).groupBy("session_id").applyInPandas(run, "session_id string, tool_use_id string, subagent_id string")
 
 
 def chain_groups(first_texts: DataFrame) -> DataFrame:
@@ -168,7 +168,10 @@ def export(sessions: DataFrame, events: DataFrame, allow: list[str], deny: list[
     before = sessions.select("session_id", keep_or_drop(F.col("n_transcripts"), F.col("slug_blocked"), F.col("first_text"), F.col("meta_missing"), F.col("cwd"), allow, deny).alias("early"))
     text_events = events.where((F.col("depth") == 0) & F.col("kind").isin("user_text", "assistant_text"))
     after = post_check(text_events, allow, deny).select("session_id", F.col("drop_reason").alias("late"))
-    audit = before.join(after, "session_id", "left").select("session_id", F.coalesce("early", "late").alias("drop_reason"))
+    # A session without any text event has no row in ``after`` and is as tiny as can be.
+    after = after.withColumn("judged", F.lit(True))
+    late = F.when(F.col("judged").isNull(), F.lit("tiny_session")).otherwise(F.col("late"))
+    audit = before.join(after, "session_id", "left").select("session_id", F.coalesce("early", late).alias("drop_reason"))
     kept = events.join(audit.where("drop_reason is null").select("session_id"), "session_id", "left_semi")
     red = kept.withColumn("text", redact(F.col("text"))).withColumn("summary", F.substring(redact(F.col("summary")), 1, 80))
     return red, audit

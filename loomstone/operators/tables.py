@@ -72,3 +72,15 @@ def apply_soft_deletes(df: DataFrame, key: str, deleted: str, outcomes: DataFram
 def array_append(df: DataFrame, column: str, entry: Column) -> DataFrame:
     """``entry`` behind the array's last element; a null array counts as empty."""
     return df.withColumn(column, F.concat(F.coalesce(F.col(column), F.array()), F.array(entry)))
+
+
+def with_discards(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows to keep and those to discard, both with ``reason``, which is null for kept ones: the audit of
+    what was left out."""
+    x = df.withColumn("reason", reason)
+    return x.where(F.col("reason").isNull()), x.where(F.col("reason").isNotNull())
+
+
+def touched(df: DataFrame, changed: Column, now: Column, column: str = "updated_at") -> DataFrame:
+    """``column`` set to ``now`` in rows that an update has changed; the others keep theirs."""
+    return df.withColumn(column, F.when(F.coalesce(changed, F.lit(False)), now).otherwise(F.col(column)))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import glob
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,18 +23,12 @@ EVENT_KEYS = {
 
 def discover(spark: SparkSession, folder: str, since: Column | None = None) -> DataFrame:
     """``(path, modified_at, length)`` of the importable files of a folder, by time and then path: ``.json``
-    in any case, not hidden, no audit and no unfinished file; ``since`` itself counts. A folder without
-    such files gives an empty table."""
-    if not os.path.isdir(folder):
-        raise FileNotFoundError(folder)
-    found = [p for p in glob.glob(os.path.join(glob.escape(folder), "*")) if os.path.isfile(p)]
-    schema = "path string, modified_at timestamp, length bigint"
-    if not found:
-        return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").load(found).select("path", F.col("modificationTime").alias("modified_at"), "length")
+    in any case, not hidden, no audit and no unfinished file; ``since`` itself counts. Any file system Spark
+    reads will do; Spark itself never lists names that begin with ``.`` or ``_``. A folder without such files gives an empty
+    table, a missing one is an error."""
+    files = spark.read.format("binaryFile").load(folder).select("path", F.col("modificationTime").alias("modified_at"), "length")
     leaf = F.element_at(F.split("path", "/"), -1)
-    ok = F.lower(leaf).endswith(".json") & ~leaf.startswith(".") & ~leaf.startswith("_audit-") & ~leaf.contains(".tmp-")
-    files = files.where(ok)
+    files = files.where(F.lower(leaf).endswith(".json") & ~leaf.startswith(".") & ~leaf.startswith("_audit-") & ~leaf.contains(".tmp-"))
     if since is not None:
         files = files.where(F.col("modified_at") >= since)
     return files.orderBy("modified_at", "path")
@@ -63,21 +54,38 @@ def judged(raw: DataFrame) -> DataFrame:
         lambda x: x.isNotNull(),
     )
     events = F.from_json(F.get_json_object("doc", "$.events"), "array<string>")
-    bad_events = F.filter(F.transform(events, lambda e, i: event_issue(e, i)), lambda x: x.isNotNull())
+    bad_events = event_issues(events, F.lit("events"))
     issues = F.slice(F.concat(missing, unknown, bad_time, F.coalesce(bad_events, F.array(F.lit("events: not an array")))), 1, 5)
     kind = F.when(keys.isNull(), "json").when(version.isNull() | (version != str(SCHEMA_VERSION)), "version").when(F.size(issues) > 0, "schema")
     return raw.withColumn("error_kind", kind).withColumn("issues", F.when(kind == "schema", issues).otherwise(F.array().cast("array<string>")))
 
 
+def event_issues(events: Column, at: Column, levels: int = 3) -> Column:
+    """What is wrong with the events of a JSON array, and with those inside subagent events, ``levels`` deep;
+    deeper ones are judged when they are flattened. Of an inner array that is none one issue is told."""
+    own = F.filter(F.transform(events, lambda e, i: event_issue(e, i, at)), lambda x: x.isNotNull())
+    if not levels:
+        return own
+
+    def inner(e: Column, i: Column) -> Column:
+        text = F.get_json_object(e, "$.events")
+        below = F.from_json(text, "array<string>")
+        name = F.concat(at, F.lit("."), i.cast("string"), F.lit(".events"))
+        none = F.array().cast("array<string>")
+        return F.when(F.get_json_object(e, "$.kind") != "subagent", none).when(below.isNull(), F.array(F.concat(name, F.lit(": not an array")))).otherwise(F.coalesce(event_issues(below, name, levels - 1), none))
+
+    return F.concat(own, F.flatten(F.transform(events, lambda e, i: F.coalesce(inner(e, i), F.array().cast("array<string>")))))
+
+
 def _bad_time(key: str) -> Column:
     v = F.get_json_object("doc", f"$.{key}")
     return F.when(v.isNotNull() & ~D.is_iso_millis(v), F.lit(f"{key}: not an ISO time with milliseconds"))
 
 
-def event_issue(e: Column, i: Column) -> Column:
+def event_issue(e: Column, i: Column, above: Column) -> Column:
     """What is wrong with one event's JSON, null if nothing is."""
     kind = F.get_json_object(e, "$.kind")
-    at = F.concat(F.lit("events."), i.cast("string"))
+    at = F.concat(above, F.lit("."), i.cast("string"))
     out = F.when(~F.coalesce(kind.isin(EVENT_KINDS), F.lit(False)), F.concat(at, F.lit(".kind: unknown")))
     for k, allowed in EVENT_KEYS.items():
         extra = F.size(F.array_except(F.json_object_keys(e), F.array(*[F.lit(x) for x in allowed]))) > 0
@@ -94,6 +102,9 @@ def event_issue(e: Column, i: Column) -> Column:
 FLAT = "session_id string, path array<int>, depth int, kind string, ts timestamp, uuid string, cwd string, git_branch string, text string, tool string, summary string, subagent_slug string, parent_tool_use_id string"
 
 
+EVENT_JSON = "kind string, ts string, uuid string, cwd string, gitBranch string, text string, tool string, summary string, subagentSlug string, parentToolUseId string, events string"
+
+
 def flat_events(docs: DataFrame, max_depth: int = 16) -> DataFrame:
     """Event rows of good documents, nested ones with their path: level by level, as deep as the data goes.
 
@@ -104,13 +115,13 @@ def flat_events(docs: DataFrame, max_depth: int = 16) -> DataFrame:
     for depth in range(max_depth + 1):
         e = level.select("session_id", "up", F.posexplode(F.from_json("events", "array<string>")).alias("i", "e"))
         e = e.withColumn("path", F.concat("up", F.array("i")))
-        g = lambda k: F.get_json_object("e", f"$.{k}")
+        e = e.withColumn("x", F.from_json("e", EVENT_JSON))  # once an event and level
         rows = e.select(
-            "session_id", "path", F.lit(depth).alias("depth"), g("kind").alias("kind"), F.try_to_timestamp(g("ts")).alias("ts"), g("uuid").alias("uuid"), g("cwd").alias("cwd"), g("gitBranch").alias("git_branch"),
-            g("text").alias("text"), g("tool").alias("tool"), g("summary").alias("summary"), g("subagentSlug").alias("subagent_slug"), g("parentToolUseId").alias("parent_tool_use_id"),
+            "session_id", "path", F.lit(depth).alias("depth"), "x.kind", F.try_to_timestamp("x.ts").alias("ts"), "x.uuid", "x.cwd", F.col("x.gitBranch").alias("git_branch"),
+            "x.text", "x.tool", "x.summary", F.col("x.subagentSlug").alias("subagent_slug"), F.col("x.parentToolUseId").alias("parent_tool_use_id"),
         )
         out = rows if out is None else out.unionByName(rows)
-        level = e.where(g("events").isNotNull()).select("session_id", F.col("path").alias("up"), g("events").alias("events"))
+        level = e.where("x.events is not null").select("session_id", F.col("path").alias("up"), F.col("x.events").alias("events"))
         if level.limit(1).count() == 0:
             return out
     raise ValueError(f"events nested deeper than {max_depth}")
@@ -121,7 +132,12 @@ def transcript_lines(spark: SparkSession, paths: list[str] | str, max_bad: float
 
     Empty lines do not count; a file with more than ``max_bad`` bad lines is abandoned whole.
     """
-    raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value").where(F.length(F.trim("value")) > 0)
+    return parsed_lines(spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value"), max_bad)
+
+
+def parsed_lines(raw: DataFrame, max_bad: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """The same of lines ``(path, value)`` that were read before."""
+    raw = raw.where(F.length(F.trim("value")) > 0)
     lines = raw.withColumn("bad", F.json_object_keys("value").isNull())
     files = lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines_read"), F.count_if("bad").alias("lines_failed"))
     files = files.withColumn("abandoned", F.col("lines_failed") / F.col("lines_read") > max_bad)
@@ -172,11 +188,12 @@ def write_documents(docs: DataFrame, path: str, dry_run: bool = False) -> dict[s
     return {"documents": n.n, "bytes": n.b}
 
 
-def build_documents(sessions: DataFrame, events: DataFrame) -> DataFrame:
-    """``(session_id, created_at, header)``: the head of each session's document as JSON without null keys.
+def build_documents(sessions: DataFrame, events: DataFrame, source: str = "sessions", exporter: tuple[str, str, str, str] = ("loomstone", "1", "tables", "1970-01-01T00:00:00.000Z"), max_depth: int = 16) -> DataFrame:
+    """``(session_id, created_at, doc)``: each session's document as JSON without null keys, with its event tree.
 
     ``created_at`` is the side file's, else the first event's, else 1970. Folders and branches are
-    distinct and sorted, distinct before they are brought together.
+    distinct and sorted, distinct before they are brought together. Events are in order of their paths; those below a
+    subagent event become its ``events``, from the deepest level up. A document is one value, as large as its session.
     """
     first = events.groupBy("session_id").agg(F.min("ts").alias("first_ts"))
 
@@ -185,26 +202,47 @@ def build_documents(sessions: DataFrame, events: DataFrame) -> DataFrame:
         return d.groupBy("session_id").agg(F.sort_array(F.collect_list(c)).alias(name))
 
     x = sessions.join(first, "session_id", "left").join(values("cwd", "cwds"), "session_id", "left").join(values("git_branch", "gitBranches"), "session_id", "left")
+    x = x.join(event_trees(events, max_depth), "session_id", "left")
     created = F.coalesce("created_at", "first_ts", F.timestamp_seconds(F.lit(0)))
     head = F.struct(
-        F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.col("session_id").alias("sessionId"), F.col("session_slug").alias("sessionSlug"), F.col("workspace_id").alias("workspaceId"), F.col("title").alias("title"),
+        F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.struct(*[F.lit(x).alias(n) for n, x in zip(("name", "version", "sourceFormat", "exportedAt"), exporter)]).alias("_exporter"), F.lit(source).alias("source"), F.col("session_id").alias("sessionId"), F.col("session_slug").alias("sessionSlug"), F.col("workspace_id").alias("workspaceId"), F.col("title").alias("title"),
         D.iso_millis(created).alias("createdAt"), D.iso_millis(F.col("last_activity_at")).alias("lastActivityAt"), F.col("model").alias("model"), F.col("account").alias("account"), F.col("cwds"), F.col("gitBranches"), F.col("mcp_servers").alias("mcpServers"),
     )
-    return x.select("session_id", created.alias("created_at"), F.to_json(head).alias("header"))
+    doc = F.concat(F.regexp_replace(F.to_json(head), r"\}$", ""), F.lit(',"events":'), F.coalesce("tree", F.lit("[]")), F.lit("}"))
+    return x.select("session_id", created.alias("created_at"), doc.alias("doc"))
+
+
+def event_trees(events: DataFrame, max_depth: int = 16) -> DataFrame:
+    """``(session_id, tree)``: the events of each session as a JSON array, inner ones inside their subagent event.
+    Events of kinds that a document does not know, and inner ones whose subagent event is missing, are left out."""
+    e = events.where(F.col("kind").isin(EVENT_KINDS) & F.col("path").isNotNull())
+    depths = [r[0] for r in e.where(F.col("depth") <= max_depth).select("depth").distinct().collect()]
+    below = None
+    for depth in sorted(depths, reverse=True):
+        level = e.where(F.col("depth") == depth)
+        level = level.join(below, ["session_id", "path"], "left") if below is not None else level.withColumn("inner", F.lit(None).cast("string"))
+        own = F.struct("kind", D.iso_millis(F.col("ts")).alias("ts"), "uuid", "cwd", F.col("git_branch").alias("gitBranch"), "text", "tool", "summary", F.col("subagent_slug").alias("subagentSlug"), F.col("parent_tool_use_id").alias("parentToolUseId"))
+        sub = F.concat(F.regexp_replace(F.to_json(own), r"\}$", ""), F.lit(',"events":'), F.coalesce("inner", F.lit("[]")), F.lit("}"))
+        json = F.when(F.col("kind") == "subagent", sub).otherwise(F.to_json(own))
+        up = F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))
+        items = F.array_sort(F.collect_list(F.struct("path", json.alias("j"))))
+        below = level.groupBy("session_id", up.alias("path")).agg(F.concat(F.lit("["), F.array_join(F.transform(items, lambda i: i["j"]), ","), F.lit("]")).alias("inner"))
+    if below is None:
+        return events.select("session_id", F.lit(None).cast("string").alias("tree")).limit(0)
+    return below.where(F.size("path") == 0).select("session_id", F.col("inner").alias("tree"))
 
 
 def discover_sessions(spark: SparkSession, root: str, max_depth: int = 4) -> DataFrame:
-    """``(folder, meta)`` of the session folders ``local_*`` under a root, links not followed, with the text of
-    the side file ``<folder>.json`` beside each, null where there is none. The walk is over folder names only."""
-    found, level = [], [root]
-    for _ in range(max_depth):
-        below = [e for d in level for e in os.scandir(d) if e.is_dir(follow_symlinks=False)]
-        found += [e.path for e in below if e.name.startswith("local_")]
-        level = [e.path for e in below]
-    side = [(f, f + ".json" if os.path.isfile(f + ".json") else None) for f in sorted(found)]
-    folders = spark.createDataFrame(side, "folder string, file string")
-    files = [s for _, s in side if s]
-    if not files:
-        return folders.select("folder", F.lit(None).cast("string").alias("meta"))
-    texts = spark.read.text(files, wholetext=True).select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("file"), F.col("value").alias("meta"))
-    return folders.join(texts, "file", "left").select("folder", "meta")
+    """``(folder, meta)`` of the session folders ``local_*`` at most ``max_depth`` below a root, with the text of the
+    side file ``<folder>.json`` beside each, null where there is none. Folders are known by the files below them, as
+    object stores have no others. Listing is Spark's; the text is read of side files only."""
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    below = r"^(.*?/local_[^/]+)/[^/].*$"
+    base = root.rstrip("/").rsplit("/", 1)[-1]
+    inside = F.regexp_extract("path", below, 1)
+    side = F.col("path").rlike(r"/local_[^/]+\.json$")
+    depth = F.size(F.split(F.substring_index("folder", f"/{base}/", -1), "/"))
+    folders = scan.select(F.when(inside != "", inside).otherwise(F.when(side, F.regexp_replace("path", r"\.json$", ""))).alias("folder"), (inside != "").alias("is_folder"))
+    folders = folders.where("folder is not null").groupBy("folder").agg(F.bool_or("is_folder").alias("is_folder")).where((depth <= max_depth) & F.col("is_folder")).select("folder")
+    texts = scan.where(side).select(F.regexp_replace("path", r"\.json$", "").alias("folder"), F.decode("content", "UTF-8").alias("meta"))
+    return folders.join(texts, "folder", "left").select(F.regexp_replace("folder", "^file:/+", "/").alias("folder"), "meta")

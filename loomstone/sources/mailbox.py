@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import json
 import os
+import time
 from collections.abc import Callable, Iterator
 from email.utils import parsedate_to_datetime
 from typing import Any
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThanOrEqual, InputPartition
+
+from loomstone.operators import tables as T
 
 SCHEMA = (
     "id string, subject string, body_type string, body string, sender string, recipients array<string>, sent_at string, received_at string, web_link string, folder string, is_draft boolean"
@@ -45,12 +50,41 @@ def flat(message: dict[str, Any], folder: str | None) -> tuple:
     to = [a for k in ("toRecipients", "ccRecipients", "bccRecipients") for a in map(address, message.get(k) or []) if a]
     return (
         message.get("id"), message.get("subject"), body.get("contentType"), body.get("content"), address(message.get("from")), to,
-        message.get("sentDateTime"), message.get("receivedDateTime"), message.get("webLink"), message.get("parentFolderId") or folder, bool(message.get("isDraft", False)),
+        message.get("sentDateTime"), message.get("receivedDateTime"), message.get("webLink"), folder or message.get("parentFolderId"), bool(message.get("isDraft", False)),
     )
 
 
+class MailboxError(RuntimeError):
+    """The server did not answer as it should, after all attempts."""
+
+
+Fetch = Callable[[str], tuple[int, dict[str, str], str]]
+"""``url -> (status, headers with small names, body)``: the transport, given by the caller."""
+
+
+def server_pages(fetch: Fetch, first: str, attempts: int = 4, base_ms: int = 1_000, most_ms: int = 60_000, wait: Callable[[float], None] = time.sleep, now: Callable[[], float] = time.time) -> Iterator[dict]:
+    """Pages of a query, one after the other by their next links.
+
+    Status 429 and 5xx are tried again, at most ``attempts`` times in all, after what Retry-After asks for, else
+    after ``base_ms`` doubled each time, ``most_ms`` at most. Any other status than 200 is an error.
+    """
+    url: str | None = first
+    while url:
+        for n in range(attempts):
+            status, headers, body = fetch(url)
+            if status == 200:
+                break
+            if status != 429 and status < 500 or n + 1 == attempts:
+                raise MailboxError(f"status {status} after {n + 1} attempts")
+            asked = retry_after(headers.get("retry-after"), now())
+            wait(asked if asked is not None else min(base_ms * 2**n, most_ms) / 1000)
+        page = json.loads(body)
+        yield page
+        url = page.get("@odata.nextLink")
+
+
 def landed_pages(folder: str) -> Callable[[str | None], Iterator[dict]]:
-    """The default transport: pages that were landed as JSON files, one folder per mail folder."""
+    """The default transport: pages that were landed as JSON files, one folder per mail folder, in order of their names."""
 
     def pages(mail_folder: str | None) -> Iterator[dict]:
         where = os.path.join(folder, mail_folder) if mail_folder else folder
@@ -62,11 +96,18 @@ def landed_pages(folder: str) -> Callable[[str | None], Iterator[dict]]:
     return pages
 
 
+def sent(message: dict[str, Any]) -> str:
+    return message.get("sentDateTime") or message.get("receivedDateTime") or ""
+
+
 class MailboxSource(DataSource):
     """``spark.read.format("mailbox").option("path", ...).option("folders", "a,b").option("since", iso)``.
 
-    A folder is a partition. ``most`` bounds the messages of one run over all folders, as the mail
-    server's owner asks; a later run goes on from the checkpoint.
+    ``most`` bounds the messages of one run over all folders, in the order they are named, as the mail server's
+    owner asks; ``most`` of 0 is no bound, and then each folder is a partition of its own. A folder is read in
+    order of sending, so ``folder_checkpoints`` says how far each was read, and a later run goes on from there:
+    ``since`` may be a JSON object of one time per folder. With ``pushdown`` set to ``true`` (and Spark's setting for
+    Python sources on) a filter ``sent_at >= ...`` is pushed to the server.
     """
 
     @classmethod
@@ -77,23 +118,47 @@ class MailboxSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return MailboxReader(self.options)
+        push = str(self.options.get("pushdown", "")).lower() == "true"
+        return (PushdownMailboxReader if push else MailboxReader)(self.options)
 
 
 class MailboxReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
-        self.folders = [f for f in options.get("folders", "").split(",") if f] or [None]
-        self.since = options.get("since", "")
+        self.folders: list[str | None] = [f for f in options.get("folders", "").split(",") if f] or [None]
+        since = options.get("since", "")
+        self.since: dict[str, str] = json.loads(since) if since.startswith("{") else {f or "": since for f in self.folders}
         self.most = int(options.get("most", MOST))
 
     def partitions(self):
-        return [InputPartition(f) for f in self.folders]
+        if self.most:  # the bound holds for all folders together, so one task counts
+            return [InputPartition(list(self.folders))]
+        return [InputPartition([f]) for f in self.folders]
 
     def read(self, partition):
-        left = -(-self.most // len(self.folders))
-        for page in landed_pages(self.path)(partition.value):
-            for m in page.get("value") or []:
-                if left and (m.get("sentDateTime") or m.get("receivedDateTime") or "") >= self.since:
+        left = self.most or -1
+        for folder in partition.value:
+            since = self.since.get(folder or "", "")
+            for page in landed_pages(self.path)(folder):
+                for m in page.get("value") or []:
+                    if sent(m) < since:
+                        continue
+                    if not left:
+                        return
                     left -= 1
-                    yield flat(m, partition.value)
+                    yield flat(m, folder)
+
+
+class PushdownMailboxReader(MailboxReader):
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, GreaterThanOrEqual) and f.attribute == ("sent_at",):
+                self.since = {x or "": max(self.since.get(x or "", ""), f.value) for x in self.folders}
+            yield f  # a message without a time of sending is judged by Spark again
+
+
+def folder_checkpoints(read: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """``(folder, since)``: how far each folder was read, the greatest time of sending among what was read.
+    Folders of which nothing was read keep the time they had."""
+    got = read.where(F.col("folder").isNotNull()).groupBy("folder").agg(F.max(F.coalesce("sent_at", "received_at")).alias("since"))
+    return got if existing is None else T.upsert_max(existing, got, "folder", "since")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomstone.plans import relational, similar, texts
+from loomstone.plans import pipelines, relational, similar, texts
 
-_catalogs = (relational.catalog, texts.catalog, similar.catalog)
+_catalogs = (relational.catalog, texts.catalog, similar.catalog, pipelines.catalog)
 
 
 def queries() -> dict:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -61,20 +61,32 @@ def _frame(key: str, out: list[tuple[str, str, int, str | None]]) -> pd.DataFram
     return pd.DataFrame({"key": column([key] * len(out)), "ref": column([o[0] for o in out]), "outcome": column([o[1] for o in out]), "at": at, "text": column([o[3] for o in out])})
 
 
-def replay(events: DataFrame) -> DataFrame:
-    """Outcomes of a log of ``EVENT`` rows; waits that a log leaves open have none. A key is one chat, of
-    few events."""
-    ship(events.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pending: Pending = None
-        out: list = []
-        for r in pdf.sort_values(["ts", "name", "ref"]).itertuples():
-            pending, got = step(pending, _ms(r.ts), r.name, r.ref, r.text)
-            out += got
-        return _frame(pdf["key"].iloc[0], out)
+def replay(events: DataFrame, wait_ms: int = WAIT_DAYS * DAY_MS) -> DataFrame:
+    """Outcomes of a log of ``EVENT`` rows; waits that a log leaves open have none.
 
-    return events.where("key is not null and ts is not null").groupBy("key").applyInPandas(run, OUTCOME)
+    The same as ``step`` over each key's events in order of time, name and ref, as a plan: what becomes of a
+    question is decided by the next question, reply or skip. Events are laid on lines of one key and two
+    waiting times, so a chat of any size is cut by time. Events without key or time are left out.
+    """
+    e = events.where("key is not null and ts is not null").withColumn("ms", F.unix_millis("ts"))
+    span = F.floor(F.col("ms") / wait_ms)
+    turns = e.where(F.col("name").isin("asked", "reply", "skip"))
+    line = turns.withColumn("own", span).withColumn("span", F.explode(F.array(span, span - 1)))
+    w = Window.partitionBy("key", "span").orderBy("ts", "name", "ref")
+    after = F.lead(F.struct("ms", "name", "text")).over(w)
+    asked = line.withColumn("next", after).where("own = span and name = 'asked'").select("key", "ref", "ms", "next")
+    until = F.col("ms") + wait_ms
+    last = e.groupBy("key").agg(F.max("ms").alias("last"))
+    x = asked.join(last, "key").withColumn("met", F.coalesce(F.col("next.ms") <= until, F.lit(False)))
+    outcome = (
+        F.when(F.col("met") & (F.col("next.name") == "asked"), "superseded")
+        .when(F.col("met") & (F.col("next.name") == "reply"), "replied")
+        .when(F.col("met"), "skipped")
+        .when(F.col("last") > until, "timeout")
+    )
+    at = F.timestamp_millis(F.when(F.col("met"), F.col("next.ms")).otherwise(until))
+    text = F.when(F.col("met") & (F.col("next.name") == "reply"), F.col("next.text"))
+    return x.select("key", "ref", outcome.alias("outcome"), at.alias("at"), text.alias("text")).where("outcome is not null")
 
 
 def watch(events: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -46,12 +48,36 @@ def test_unattributed_numbers(spark):
     assert drafts.unattributed("It grew to 12,500 users.") == (11, "12,500")
     assert drafts.unattributed("A survey saw 12,500 users.") is None
     assert drafts.unattributed("The resource saw 12500 users.") == (17, "12500")
-    assert drafts.unattributed("code AB-12345 and 999") is None
+    assert drafts.unattributed("code AADSTS50158 of v2024 and 999") is None
+    assert drafts.unattributed("see www.x.example for 2025") is None and drafts.unattributed("As per the memo, 12500 of them") is None
+    assert drafts.unattributed("12500 users" + " " * 195 + "a source") == (0, "12500")
+    assert drafts.unattributed("12500 users" + " " * 180 + "a source") is None
     assert drafts.unattributed("see https://x.example for 2025") is None
     r = run(spark, "In 2025 it was", "string", drafts.unattributed_number(V))
     assert (r.offset, r.number) == (3, "2025") and run(spark, None, "string", drafts.unattributed_number(V)) is None
 
 
+def plain_unattributed(text, window=200):
+    for m in re.finditer(r"\b\d[\d,]*(?:\.\d+)?\b", text, re.ASCII):
+        near = text[max(0, m.start() - window) : m.end() + window]
+        if sum(c.isdigit() for c in m[0]) >= 4 and not any(re.search(rf"\b{c}\b", near, re.I | re.ASCII) for c in drafts.CUES) and not re.search(r"(https?://|www\.)\S+", near, re.I):
+            return m.start(), m[0]
+    return None
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["12,500 ", "12500", "1.2345", "source ", "re", "per ", " ", "x" * 190, "https://x ", "www. ", "Study", "-", "."]), max_size=12).map("".join))
+def test_unattributed_against_plain(text):
+    assert drafts.unattributed(text) == plain_unattributed(text)
+
+
+def test_voice_and_titles(spark):
+    assert run(spark, "Then I fixed it", "string", drafts.no_first_person(V)) is None and run(spark, "so We did", "string", drafts.no_first_person(V)) is None
+    assert run(spark, "the i in it", "string", drafts.no_first_person(V)) is not None
+    p = {"Secret": r"(?i)(?<!\w)secret(?!\w)", "Hack": r"(?i)(?<!\w)hack(?!\w)"}
+    assert run(spark, "A hack, no secret", "string", drafts.title_words(V, p)) == "Secret" and run(spark, "secretly", "string", drafts.title_words(V, p)) is None
+
+
 def test_label(spark):
     r = run(spark, ["the VPN register", "VPN again", "register"], "array<string>", drafts.keyword_label(V))
     assert r.label == "register vpn" and r.keywords == ["register", "vpn"]
@@ -62,14 +88,21 @@ def test_export(spark):
     e = spark.createDataFrame([(i, 0, "user_text", "/ok", f"mail a{n}@b.example " + "x" * 300, None) for i in "ab" for n in range(3)] + [("a", 0, "tool_call", "/ok", None, "to q@b.example " + "y" * 80), ("c", 0, "user_text", "/ok", "x", None)], "session_id string, depth int, kind string, cwd string, text string, summary string")
     red, audit = sessions.export(s, e, ["/ok"], [], lambda c: regex_pass(c)["text"])
     assert {r.session_id: r.drop_reason for r in audit.collect()} == {"a": None, "b": "no_transcripts", "c": "tiny_session"}
+    silent = s.where("session_id = 'a'").withColumn("session_id", F.lit("silent"))  # without any text event
+    assert [r.drop_reason for r in sessions.export(silent, e, ["/ok"], [], lambda c: c)[1].collect()] == ["tiny_session"]
     rows = red.collect()
     assert len(rows) == 4 and all("@" not in (r.text or "") + (r.summary or "") and len(r.summary or "") <= 80 for r in rows)
 
 
 def test_discovery_and_folders(spark, tmp_path):
-    (tmp_path / "x" / "local_a").mkdir(parents=True)
+    (tmp_path / "x" / "local_a" / "deep").mkdir(parents=True)
+    (tmp_path / "x" / "local_a" / "deep" / "t.jsonl").write_text("{}")
     (tmp_path / "x" / "local_a.json").write_text('{"sessionId":"a"}')
     (tmp_path / "local_b").mkdir()
+    (tmp_path / "local_b" / "t.jsonl").write_text("{}")
+    far = tmp_path / "1" / "2" / "3" / "4" / "local_far"
+    far.mkdir(parents=True)
+    (far / "t.jsonl").write_text("{}")
     got = {r.folder.rsplit("/", 1)[1]: r.meta for r in files.discover_sessions(spark, str(tmp_path)).collect()}
     assert got == {"local_a": '{"sessionId":"a"}', "local_b": None}
     w = spark.createDataFrame([("In",), ("Gone",)], "display_name string")

@@ -43,7 +43,9 @@ def test_words_and_cuts(spark):
 def test_tokens(spark):
     got = one(spark, "The VPN a1b ab Register register company Kx", "string", X.distinctive_tokens(V))
     assert got == ["vpn", "a1b", "register"]
+    assert one(spark, "Therefore several solutions", "string", X.distinctive_tokens(V)) == ["several"]
     assert one(spark, "How to keep the risk register", "string", X.gap_tokens(V)) == ["keep", "risk", "register"]
+    assert one(spark, "what were who been", "string", X.gap_tokens(V)) == ["what", "who"]
 
 
 def test_paths(spark):
@@ -59,9 +61,16 @@ def test_paths(spark):
 
 
 def test_tool_summary(spark):
-    df = spark.createDataFrame([("Bash", '{"command":"ls\\npwd"}'), ("shell", '{"command":"ls  -l"}'), ("Read", '{"file_path":"/a"}'), ("Unknown", "{}"), ("WebFetch", '{"url":"' + "u" * 90 + '"}')], "t string, p string")
-    got = [r[0] for r in df.select(X.tool_summary(F.col("t"), F.col("p"))).collect()]
-    assert got == ["bash (multi-line)", "ls -l", "/a", None, "u" * 80]
+    cases = [
+        ("Bash", '{"command":"ls\\npwd"}', "bash (multi-line)"), ("Bash", '{"command":"ls  -l\\n \\n"}', "ls -l"), ("mcp__workspace__bash", '{"command":"x"}', "x"), ("Bash", '{"command":" \\n"}', None), ("Bash", '{"command":7}', None),
+        ("bash", '{"command":"ls"}', None), ("Read", '{"file_path":"/a"}', "/a"), ("Edit", '{"file_path":""}', None), ("Unknown", "{}", None), ("WebFetch", '{"url":"' + "u" * 90 + '"}', "u" * 80),
+        ("mcp__mail__search", '{"query":"q"}', "q"), ("mcp____search", '{"query":"q"}', None), ("WebSearch", '{"query":["q"]}', None), ("Grep", '{"pattern":"p"}', "p"),
+        ("mcp__cowork__present_files", '{"files":[{"file_path":"/a"},"/b",{"x":1},3]}', "/a, /b"), ("mcp__cowork__present_files", '{"files":[]}', None), ("mcp__cowork__present_files", '{"files":"x"}', None),
+        ("TaskUpdate", '{"title":"t"}', "t"), ("TaskCreate", '{"subject":"s","title":"t"}', "s"), ("AskUserQuestion", '{"questions":[{"question":"q?"}]}', "q?"), ("AskUserQuestion", '{"questions":[]}', None), ("Bash", "not json", None), ("Bash", None, None), (None, "{}", None),
+    ]
+    df = spark.createDataFrame([(i, t, p) for i, (t, p, _) in enumerate(cases)], "i int, t string, p string")
+    got = [r[0] for r in df.orderBy("i").select(X.tool_summary(F.col("t"), F.col("p"))).collect()]
+    assert got == [want for *_, want in cases]
 
 
 def test_titles_and_ids(spark):
@@ -158,24 +167,59 @@ def test_pattern_pass_log(spark):
     r = one(spark, "é a@b.example and 4111 1111 1111 1111 end", "string", pii.regex_pass(V))
     assert r.status == "redacted" and r.text == "é [REDACTED_EMAIL] and [REDACTED_CC]end"
     assert [(x.type, x.offset) for x in r.log] == [("email", 2), ("cc", 18)]
+    for text, kind in [("(416) 555.1234", "phone"), ("(416) 555 1234", "phone"), ("(416)555-1234", "phone"), ("192.168.001.001", "ipv4"), ("fe80:1:2:3", "ipv6")]:
+        r = one(spark, text, "string", pii.regex_pass(V))
+        assert [(x.type, x.replacement) for x in r.log] == [(kind, "[REDACTED_PHONE]" if kind == "phone" else "[REDACTED_IP]")] and one(spark, text, "string", pii.types_found(V)) == [kind]
+    assert one(spark, None, "string", pii.types_found(V)) == []
     r = one(spark, None, "string", pii.regex_pass(V))
     assert r.text is None and r.log == []
     assert one(spark, "4111-1111 1111 1111", "string", pii.luhn_ok(V)) is True
     assert one(spark, "", "string", pii.luhn_ok(V)) is False
 
 
+def plain_windows(text, target, overlap, most):
+    """One window after the other, sentence ends looked up one by one."""
+    tokens = chunking.default_tokenizer()(text)
+    ends, at = {}, 0
+    for i, t in enumerate(tokens):
+        at += len(t)
+        ends[at] = i + 1
+    stops = [ends[len(text[: m.end()].encode())] for m in re.finditer(r"[.!?]+|[\n\r]+", text) if m.end() < len(text) and len(text[: m.end()].encode()) in ends]
+    out, start = [], 0
+    while tokens:
+        end = len(tokens)
+        if end > target and end - start > most:
+            near = [s for s in stops if start + target - overlap <= s <= start + most]
+            end = min(near, key=lambda s: (abs(s - start - target), s)) if near else start + target
+        out.append((start, end, b"".join(tokens[start:end]).decode("utf-8", "replace")))
+        if end == len(tokens):
+            break
+        start = end - overlap
+    return out
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from(["word ", "two words. ", "x\n", "end! "]), max_size=400).map("".join))
+@given(st.lists(st.sampled_from(["word ", "two words. ", "x\n", "end! ", "été. ", "文字。", "🙂 "]), max_size=400).map("".join))
 def test_windows(text):
     w = chunking.windows(text, 40, 10, 60)
-    ends = [0, *chunking.word_tokens(text)]
-    if not text:
-        assert w == []
-        return
-    assert w[0][0] == 0 and w[-1][1] == len(ends) - 1
-    for (s, e, t), (s2, e2, _) in zip(w, w[1:]):
-        assert s2 == e - 10 and e2 > e
-    for s, e, t in w:
-        assert 0 < e - s <= 60 and t == text[ends[s] : ends[e]]
+    assert w == plain_windows(text, 40, 10, 60)
+    for s, e, _ in w:
+        assert 0 < e - s <= 60
     with pytest.raises(ValueError):
         chunking.windows(text, 10, 10, 20)
+
+
+def test_provider_calls_are_made_again(spark):
+    calls = []
+
+    def provider(texts):
+        calls.append(len(texts))
+        if len(calls) == 1:
+            raise OSError
+        return chunking.hashing_embedder(texts)
+
+    run = chunking.with_attempts(provider, 2, 0)
+    assert len(run(["a", "b"])) == 2 and calls == [2, 2]
+    with pytest.raises(OSError):
+        calls.clear()
+        chunking.with_attempts(provider, 1, 0)(["a"])

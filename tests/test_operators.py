@@ -1,10 +1,16 @@
 import datetime as dt
 import json
+import os
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from loomstone import storage
+
 from loomstone.functions import text as X
 from loomstone.operators import ingest, redaction, sessions, similarity
 from loomstone.operators import tables as T
@@ -33,16 +39,23 @@ def test_links_against_brute_force(spark):
     rows += [(200, rows[0][1]), (201, [0.0] * 8), (202, None), (203, []), (None, rows[0][1]), (0, rows[0][1])]
     df = spark.createDataFrame(rows, "id int, v array<float>").withColumn("cell", F.lit("clash")).withColumn("a", F.lit(1))
     want = brute(rows, 0.9)
-    for pivots in (1, 16):
-        saved, similarity.PIVOTS = similarity.PIVOTS, pivots
-        got = {(r.a, r.b): r.cosine for r in similarity._blocks(df, "id", "v", 0.9, pivots, "pairs").collect()}
-        similarity.PIVOTS = saved
-        assert got.keys() == want.keys()
+    for size in (20, 8_000):
+        got = similarity._blocks(df, "id", "v", 0.9, "pairs", size).collect()
+        assert {(r.a, r.b) for r in got} == want.keys() and len(got) == len(want)
     n = {r.id: r.n_links for r in similarity.link_counts(df, "id", "v", 0.9).collect()}
     assert sum(n.values()) == 2 * len(want)
     assert similarity.links(df.limit(0), "id", "v", 0.9).count() == 0
 
 
+def test_links_where_a_third_are_copies(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in ([1.0, 0, 0, 0] if i % 3 == 0 else rng.standard_normal(4))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, v array<float>")
+    want = brute(rows, 0.95)
+    got = similarity._blocks(df, "id", "v", 0.95, "pairs", 25).collect()  # twelve slices, some on one point
+    assert {(r.a, r.b) for r in got} == want.keys() and len(got) == len(want)
+
+
 def test_chain_of_four_and_a_lone_point(spark):
     at = lambda a: [float(np.cos(a)), float(np.sin(a)), 0.0, 0.0]
     rows = [(i, at(0.4 * i)) for i in range(4)] + [(9, at(3.0)), (10, at(3.1))]
@@ -212,11 +225,30 @@ def log(spark):
 WANT = {("k", "q1", "replied"), ("k", "q2", "timeout"), ("j", "q3", "skipped"), ("j", "q4", "superseded")}
 
 
+def plain_replay(rows):
+    out = []
+    for key in {r[0] for r in rows if r[0] is not None}:
+        pending = None
+        for _, ts, name, ref, text in sorted((r for r in rows if r[0] == key and r[1] is not None), key=lambda r: r[1:4]):
+            pending, got = stream.step(pending, round((ts - dt.datetime(1970, 1, 1)).total_seconds() * 1000), name, ref, text)
+            out += [(key, *g) for g in got]
+    return sorted(out, key=repr)
+
+
 def test_replay(spark):
     assert {(r.key, r.ref, r.outcome) for r in stream.replay(log(spark)).collect()} == WANT
     assert stream.replay(log(spark).limit(0)).count() == 0
 
 
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["k", "j", None]), st.integers(0, 60), st.sampled_from(["asked", "reply", "skip", "other"])), max_size=30))
+def test_replay_equals_the_steps(spark, events):
+    rows = [(k, None if d == 60 else TS + dt.timedelta(hours=11 * d), n, f"r{i:02d}", f"t{i}") for i, (k, d, n) in enumerate(events)]
+    got = stream.replay(spark.createDataFrame(rows, stream.EVENT)).collect()
+    got = sorted([(r.key, r.ref, r.outcome, round((r["at"] - dt.datetime(1970, 1, 1)).total_seconds() * 1000), r.text) for r in got], key=repr)
+    assert got == plain_replay(rows)
+
+
 def test_stream_equals_replay(spark, tmp_path):
     log(spark).coalesce(1).write.parquet(str(tmp_path / "in"))
     src = spark.readStream.schema(stream.EVENT).parquet(str(tmp_path / "in"))
@@ -238,12 +270,101 @@ def test_windows_and_runs(spark):
 
 
 def test_build_documents(spark):
-    s = spark.createDataFrame([("s", None, "w", "t", None, None, None, None, ["m"])], "session_id string, session_slug string, workspace_id string, title string, created_at timestamp, last_activity_at timestamp, model string, account string, mcp_servers array<string>")
-    e = spark.createDataFrame([("s", TS, "/b", "main"), ("s", TS, "/a", None), ("s", TS, "/b", "")], "session_id string, ts timestamp, cwd string, git_branch string")
-    h = json.loads(files.build_documents(s, e).first().header)
-    assert h == {"schemaVersion": 1, "sessionId": "s", "workspaceId": "w", "title": "t", "createdAt": "2026-01-01T00:00:00.000Z", "cwds": ["/a", "/b"], "gitBranches": ["main"], "mcpServers": ["m"]}
+    s = spark.createDataFrame([("s", None, "w", "t", None, None, None, None, ["m"]), ("none", None, None, None, None, None, None, None, None)], "session_id string, session_slug string, workspace_id string, title string, created_at timestamp, last_activity_at timestamp, model string, account string, mcp_servers array<string>")
+    event = "session_id string, path array<int>, depth int, kind string, ts timestamp, uuid string, cwd string, git_branch string, text string, tool string, summary string, subagent_slug string, parent_tool_use_id string"
+    rows = [
+        ("s", [1], 0, "subagent", TS, "b", "/a", None, None, None, None, "x", "t1"), ("s", [0], 0, "user_text", TS, "a", "/b", "main", "hi", None, None, None, None),
+        ("s", [1, 1], 1, "tool_call", TS, "d", None, None, None, "Read", None, None, None), ("s", [1, 0], 1, "user_text", TS, "c", None, "", "in", None, None, None, None),
+        ("s", [7, 0], 1, "user_text", TS, "lost", None, None, "no parent", None, None, None, None), ("s", [2], 0, "note", TS, "n", None, None, "unknown kind", None, None, None, None),
+    ]
+    built = files.build_documents(s, spark.createDataFrame(rows, event))
+    d = {r.session_id: json.loads(r.doc) for r in built.collect()}
+    h = dict(d["s"])
+    tree = h.pop("events")
+    assert h.pop("_exporter").keys() == {"name", "version", "sourceFormat", "exportedAt"}
+    assert h == {"schemaVersion": 1, "source": "sessions", "sessionId": "s", "workspaceId": "w", "title": "t", "createdAt": "2026-01-01T00:00:00.000Z", "cwds": ["/a", "/b"], "gitBranches": ["main"], "mcpServers": ["m"]}
+    assert [e["uuid"] for e in tree] == ["a", "b"] and [e["uuid"] for e in tree[1]["events"]] == ["c", "d"] and "summary" not in tree[1]["events"][1]
+    assert d["none"]["events"] == []
+    back = files.flat_events(files.judged(built.select(F.col("session_id").alias("path"), "doc")))
+    assert [tuple(r) for r in back.orderBy("path").select("uuid", "depth").collect()] == [("a", 0), ("b", 0), ("c", 1), ("d", 1)]
+
+
+def test_inner_events_are_judged(spark):
+    doc = {"schemaVersion": 1, "_exporter": {}, "source": "s", "sessionId": "s", "createdAt": "2026-01-01T00:00:00.000Z"}
+    event = lambda **k: {"ts": "2026-01-01T00:00:00.000Z", "uuid": "u"} | k
+    inner = event(kind="subagent", subagentSlug="x", parentToolUseId="t", events=[event(kind="user_text", text=""), event(kind="tool_call", tool="T", summary="s" * 81)])
+    outer = event(kind="subagent", subagentSlug="x", parentToolUseId="t", events=[inner])
+    raw = spark.createDataFrame([("a", json.dumps(doc | {"events": [outer]})), ("b", json.dumps(doc | {"events": [outer | {"events": "no"}]})), ("c", json.dumps(doc | {"events": []}))], "path string, doc string")
+    got = {r.path: (r.error_kind, list(r.issues)) for r in files.judged(raw).collect()}
+    assert got["a"] == ("schema", ["events.0.events.0.events.0.text: empty", "events.0.events.0.events.1.summary: longer than 80"])
+    assert got["b"] == ("schema", ["events.0.events: not an array"]) and got["c"] == (None, [])
+
+
+def mail(i, minute, **more):
+    return {"id": i, "subject": "s", "body": {"contentType": "text", "content": "t"}, "sentDateTime": f"2026-01-01T00:{minute:02d}:00Z"} | more
+
+
+def test_mailbox_bound_and_checkpoints(spark, tmp_path):
+    from loomstone.session import ship
+    from loomstone.sources.mailbox import MailboxSource, folder_checkpoints
+
+    ship(spark)
+    spark.dataSource.register(MailboxSource)
+    for folder, n in (("big", 40), ("small", 1), ("last", 30)):
+        (tmp_path / folder).mkdir()
+        for k in range(0, n, 10):
+            (tmp_path / folder / f"{k:03d}.json").write_text(json.dumps({"value": [mail(f"{folder}{i}", i) for i in range(k, min(n, k + 10))]}))
+    read = lambda **o: spark.read.format("mailbox").options(path=str(tmp_path), folders="big,small,last", **o).load()
+    n = lambda df: {r.folder: r["count"] for r in df.groupBy("folder").count().collect()}
+    first = read(most="50")
+    assert n(first) == {"big": 40, "small": 1, "last": 9}
+    assert n(read(most="0")) == {"big": 40, "small": 1, "last": 30} == n(read())
+    at = {r.folder: r.since for r in folder_checkpoints(first).collect()}
+    assert at["last"] == "2026-01-01T00:08:00Z"
+    rest = read(most="50", since=json.dumps(at))
+    assert first.select("id").union(rest.select("id")).distinct().count() == 71  # nothing is lost between runs
+    kept = folder_checkpoints(first.where("folder = 'big'"), spark.createDataFrame([("small", "2026"), ("big", "2025")], "folder string, since string"))
+    assert {r.folder: r.since for r in kept.collect()} == {"small": "2026", "big": at["big"]}
+
+
+def test_server_pages():
+    from loomstone.sources.mailbox import MailboxError, server_pages
+
+    answers = {"u1": [(429, {"retry-after": "3"}, ""), (503, {}, ""), (200, {}, '{"value":[1],"@odata.nextLink":"u2"}')], "u2": [(200, {}, '{"value":[2]}')], "bad": [(404, {}, "")], "down": [(500, {}, "")] * 4}
+    waits = []
+    fetch = lambda u: answers[u].pop(0)
+    assert [p["value"] for p in server_pages(fetch, "u1", wait=waits.append)] == [[1], [2]] and waits == [3, 2]
+    for u in ("bad", "down"):
+        with pytest.raises(MailboxError):
+            list(server_pages(fetch, u, wait=waits.append))
+    assert answers["down"] == []
 
 
 def test_missing_folder(spark):
-    with pytest.raises(FileNotFoundError):
+    with pytest.raises(AnalysisException):
         files.discover(spark, "/nowhere/at/all")
+
+
+def test_discards_and_touched_rows(spark):
+    df = spark.createDataFrame([(1, "a", TS), (2, None, TS)], "k int, v string, updated_at timestamp")
+    kept, gone = T.with_discards(df, F.when(F.col("v").isNull(), "no value"))
+    assert [r.k for r in kept.collect()] == [1] and [(r.k, r.reason) for r in gone.collect()] == [(2, "no value")]
+    later = TS + dt.timedelta(days=1)
+    assert [r.updated_at for r in T.touched(df, F.col("v") == "a", F.lit(later)).orderBy("k").collect()] == [later, TS]
+
+
+def test_shared_folder():
+    import types
+
+    conf = types.SimpleNamespace(get=lambda k, d=None: None)
+    no = types.SimpleNamespace(isDefined=lambda: False)
+    sc = types.SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", _jsc=types.SimpleNamespace(sc=lambda: types.SimpleNamespace(getCheckpointDir=lambda: no)))
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(types.SimpleNamespace(conf=conf, sparkContext=sc))
+
+
+def test_release(spark):
+    t = storage.cut(spark.range(3), "numbers")
+    assert t.df.count() == 3 and os.path.isdir(t.path.replace("file:", ""))
+    t.drop()
+    assert not os.path.exists(t.path.replace("file:", ""))

@@ -25,7 +25,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar other signals of every signal, alike or not."""
     v = vectors.Vectors(table(spark, d, "capture_signals"))
-    lists = vectors.most_similar(v, 5)
+    lists = vectors.most_similar(v, 5, visits=vectors.FAR_VISITS)
     ids = v.base.select("rid", "id")
     x = lists.join(ids.withColumnsRenamed({"rid": "a", "id": "signal_id"}), "a").join(ids.withColumnsRenamed({"rid": "b", "id": "neighbour_id"}), "b")
     return x.select("signal_id", "neighbour_id", "cosine")

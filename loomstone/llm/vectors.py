@@ -5,9 +5,13 @@ right to about 1e-5). Exact copies are collapsed first and come back at the end,
 of any size costs one vector. The trees are fitted on a bounded sample: each node splits at the
 median along a random projection that two-means steps have turned to where the sample is widest.
 Each vector walks all trees with one shared priority queue, ordered by how far it lies on the wrong
-side of the splits, and visits the best leaves of the whole forest; leaves are blocks of some
-hundred vectors, whatever the collection's size, and candidates are reranked by their cosines.
-Leaves that are neighbours in a tree share a bucket, to which a vector is sent once.
+side of the splits, and visits the best leaves of the whole forest; candidates are reranked by their cosines.
+
+Depth follows the collection's size, so that a leaf holds at most about ``LEAF`` vectors. The sample decides the
+upper levels, as many as it can. Levels below them share one projection a level and tree, and each node has its
+own median, found in a distributed pass over about ``DEEP`` vectors a leaf; these medians, one float a node, are all the driver sees.
+Leaves that are neighbours in a tree share a bucket, to which a vector is sent once. The sample also tells how many
+vectors will visit a bucket: beyond ``CROWD`` its visitors are spread over parts that each hold its members.
 """
 
 from __future__ import annotations
@@ -27,8 +31,14 @@ DIM = 128
 SAMPLE = 49_152
 """At most about so many vectors fit the trees; every vector is indexed."""
 LEAF = 1280
+CROWD = 24_000
+"""About so many visitors share a part of a bucket."""
+DEEP = 64
+"""About so many vectors a leaf decide the medians of the levels below the sample's."""
 TREES = 4
 VISITS = 18
+"""Leaves visited for alike vectors; neighbours that are hardly more alike than any other take ``FAR_VISITS``."""
+FAR_VISITS = 32
 SEED = 20
 
 
@@ -110,22 +120,28 @@ class Vectors:
 
 
 class Forest:
-    """Trees as flat arrays of split planes, level by level."""
+    """Trees as flat arrays of split planes, level by level; ``deep`` levels below them share a projection a level."""
 
     def __init__(self, sample: np.ndarray, n: int, trees: int, leaf: int, seed: int):
         dim = sample.shape[1]
-        most = int(math.log2(max(1, len(sample) // 8))) if len(sample) else 0
-        self.depth = max(0, min(math.ceil(math.log2(max(1, n / leaf))), most, 16))
+        wanted = max(0, math.ceil(math.log2(max(1, n / leaf))))
+        most = int(math.log2(max(1, len(sample) // 32))) if len(sample) else 0
+        self.top = min(wanted, most)
+        self.deep = wanted - self.top if self.top else 0
+        self.depth = self.top + self.deep
         self.trees = trees if self.depth else 1
-        nodes = 2**self.depth - 1
+        nodes = 2**self.top - 1
         self.planes = np.zeros((self.trees, nodes, dim), np.float32)
         self.at = np.zeros((self.trees, nodes), np.float32)
+        self.deep_planes = np.zeros((self.trees, self.deep, dim), np.float32)
+        # Of each tree and top leaf the medians of its nodes, level by level.
+        self.deep_at = np.zeros((self.trees, 2**self.top, max(0, 2**self.deep - 1)), np.float32)
         self.bucket_shift = min(self.depth, 4)
         for t in range(self.trees):
             rng = np.random.default_rng(seed + t)
             groups = [np.arange(len(sample))]
             node = 0
-            for _ in range(self.depth):
+            for _ in range(self.top):
                 split = []
                 for g in groups:
                     v = self._projection(sample, g, rng)
@@ -135,6 +151,9 @@ class Forest:
                     node += 1
                     split += [g[p <= m], g[p > m]]
                 groups = split
+            for level in range(self.deep):
+                self.deep_planes[t, level] = self._projection(sample, rng.choice(len(sample), min(len(sample), 64), replace=False), rng)
+        self.parts = np.ones(self.trees * 2 ** (self.depth - self.bucket_shift), np.int64)
 
     @staticmethod
     def _projection(sample: np.ndarray, g: np.ndarray, rng) -> np.ndarray:
@@ -152,6 +171,28 @@ class Forest:
                 v = c0 - c1
         return (v / np.linalg.norm(v)).astype(np.float32)
 
+    def top_leaves(self, x: np.ndarray, tree: int) -> np.ndarray:
+        """The leaf of the sample's levels in which each vector lies."""
+        node = np.zeros(len(x), np.int64)
+        margin = x @ self.planes[tree].T - self.at[tree]
+        for level in range(self.top):
+            node = 2 * node + (margin[np.arange(len(x)), node + 2**level - 1] > 0)
+        return node
+
+    def medians(self, projected: np.ndarray) -> np.ndarray:
+        """The medians of a top leaf's deep nodes from the projections ``(vectors, deep)`` of some of its vectors."""
+        out = np.zeros(2**self.deep - 1, np.float32)
+        groups, node = [np.arange(len(projected))], 0
+        for level in range(self.deep):
+            split = []
+            for g in groups:
+                p = projected[g, level]
+                out[node] = np.median(p) if len(g) else 0
+                split += [g[p <= out[node]], g[p > out[node]]]
+                node += 1
+            groups = split
+        return out
+
     def visits(self, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(row, leaf, own)`` of the leaves visited: leaves count through all trees; ``own`` marks the
         leaf of each tree in which the vector lies."""
@@ -162,10 +203,15 @@ class Forest:
         for t in range(self.trees):
             margin = x @ self.planes[t].T
             margin -= self.at[t]
+            far = x @ self.deep_planes[t].T
             node = np.zeros((m, 1), np.int64)
             cost = np.zeros((m, 1), np.float32)
             for level in range(d):
-                g = np.take_along_axis(margin, node + (2**level - 1), 1)
+                if level < self.top:
+                    g = np.take_along_axis(margin, node + (2**level - 1), 1)
+                else:
+                    k = level - self.top
+                    g = far[:, k : k + 1] - self.deep_at[t, node >> k, (node & (2**k - 1)) + 2**k - 1]
                 low, high = np.where(g <= 0, cost, np.maximum(cost, g)), np.where(g > 0, cost, np.maximum(cost, -g))
                 # The vector's own branch costs nothing more; g > 0 lies on the right.
                 node = np.concatenate([2 * node, 2 * node + 1], 1)
@@ -183,40 +229,95 @@ class Forest:
         return row, leaf.ravel(), (cost <= 0).ravel()
 
 
-def _fit(v: Vectors, sample: int, trees: int, leaf: int, seed: int) -> Forest:
+def _fit(v: Vectors, sample: int, trees: int, leaf: int, visits: int, seed: int) -> Forest:
     share = min(1.0, sample / max(v.n, 1))
-    chosen = v.reps.where(F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else v.reps
+    chosen = _some(v.reps, share, seed)
     q = [bytes(r[0]) for r in chosen.select("q").limit(2 * sample).toLocalIterator()] if v.n else []
     x = unpack(q, v.dim) if q else np.zeros((0, v.dim), np.float32)
-    return Forest(x, v.n, trees, leaf, seed)
+    forest = Forest(x, v.n, trees, leaf, seed)
+    if forest.deep:
+        _fit_deep(v, forest, leaf, seed)
+    if forest.depth and len(x):
+        some = x[:8192]
+        row, at, own = forest.visits(some, visits)
+        pairs = np.unique(np.stack([row, at >> forest.bucket_shift]), axis=1)[1]
+        crowd = np.bincount(pairs, minlength=len(forest.parts)) * (v.n / len(some))
+        forest.parts = np.maximum(1, np.ceil(crowd / CROWD)).astype(np.int64)
+    return forest
+
+
+def _some(reps: DataFrame, share: float, seed: int) -> DataFrame:
+    return reps.where(F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else reps
+
+
+def _fit_deep(v: Vectors, forest: Forest, leaf: int, seed: int) -> None:
+    """The medians of the levels below the sample's: of some vectors of every top leaf only their projections move."""
+    dim, deep = v.dim, forest.deep
+    shared = v.reps.sparkSession.sparkContext.broadcast(forest)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = shared.value
+        for b in batches:
+            x = unpack(b.column(0).to_pylist(), dim) if b.num_rows else np.zeros((0, dim), np.float32)
+            for t in range(f.trees):
+                p = (x @ f.deep_planes[t].T).astype(np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * deep), pa.array(p.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(f.top_leaves(x, t).astype(np.int32)), lists], ["tree", "leaf", "p"])
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = shared.value.medians(np.stack(pdf["p"].to_list()))
+        return pd.DataFrame({"tree": [pdf["tree"].iloc[0]], "leaf": [pdf["leaf"].iloc[0]], "at": [at]})
+
+    some = _some(v.reps, min(1.0, DEEP / leaf), seed + 1).select("q")
+    rows = some.mapInArrow(project, "tree int, leaf int, p array<float>").groupBy("tree", "leaf").applyInPandas(settle, "tree int, leaf int, at array<float>")
+    for r in rows.toLocalIterator():  # one float a node: n / leaf floats a tree
+        forest.deep_at[r.tree, r.leaf] = r["at"]
 
 
 def _visits(v: Vectors, forest: Forest, count: int, weighted: bool = False) -> DataFrame:
-    """``(bucket, rid, q, leaves)``: each vector once per bucket it visits; in ``leaves`` the lowest bit
-    marks a leaf the vector lies in. ``weighted`` adds ``w``, how many copies the vector stands for."""
+    """``(bucket, rid, q, leaves)``: each vector once per bucket it visits, and once per part of a bucket it lies in; in
+    ``leaves`` the lowest bit marks a leaf the vector lies in, the one above it that it is no visitor of this part.
+    ``weighted`` adds ``w``, how many copies the vector stands for."""
     dim = v.dim
     reps = v.reps
     if weighted:
         reps = reps.join(v.copy_counts().withColumnRenamed("rep", "rid"), "rid", "left").select("rid", "q", F.coalesce("n", F.lit(1)).alias("w"))
-    shared = v.reps.sparkSession.sparkContext.broadcast(forest)  # bounded by the sample: under 2 * SAMPLE / 8 planes a tree
+    shared = v.reps.sparkSession.sparkContext.broadcast(forest)  # planes bounded by the sample, and a float a deep node
+    first_part = np.r_[0, np.cumsum(forest.parts)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                q = part.column(1)
+                q, rid = part.column(1), np.asarray(part.column(0))
                 row, leaf, own = f.visits(unpack(q.to_pylist(), dim), count)
                 bucket = leaf >> f.bucket_shift
                 order = np.lexsort((leaf, bucket, row))
                 row, leaf, own, bucket = row[order], leaf[order], own[order], bucket[order]
                 first = np.nonzero(np.r_[True, (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])])[0]
-                code = (leaf * 2 + own).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(code))
-                take = pa.array(row[first])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), part.column(0).take(take), q.take(take), lists, *([part.column(2).take(take)] if weighted else [])], ["bucket", "rid", "q", "leaves", *(["w"] if weighted else [])])
-
-    return reps.mapInArrow(run, "bucket int, rid bigint, q binary, leaves array<int>" + ", w bigint" * weighted)
+                size = np.diff(np.r_[first, len(row)])
+                # A visitor goes to one part of a bucket, a member to all of them.
+                parts = f.parts[bucket[first]]
+                home = (rid[row[first]] * 2654435761 >> 7) % parts
+                member = np.add.reduceat(own, first) > 0
+                copies = np.where(member, parts, 1)
+                of = np.repeat(np.arange(len(first)), copies)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(copies) - copies, copies)
+                to = np.where(member[of], nth, home[of])
+                guest = to == home[of]
+                take = np.concatenate([np.arange(first[i], first[i] + size[i]) for i in of]) if (copies > 1).any() else np.arange(len(row))
+                lens = size[of]
+                # Outside its home part a member is there to be found, not to search.
+                code = (leaf[take] * 4 + 2 * np.repeat(~guest, lens) + own[take]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lens)].astype(np.int32)), pa.array(code))
+                at = pa.array(row[first][of])
+                key = first_part[bucket[first][of]] + to
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), part.column(0).take(at), q.take(at), lists, *([part.column(2).take(at)] if weighted else [])], ["bucket", "rid", "q", "leaves", *(["w"] if weighted else [])])
+
+    out = reps.mapInArrow(run, "bucket int, rid bigint, q binary, leaves array<int>" + ", w bigint" * weighted)
+    # More partitions than buckets, so that few of them share a task.
+    return out.repartition(max(1, 3 * int(first_part[-1])), "bucket")
 
 
 def _leaf_blocks(pdf: pd.DataFrame, dim: int):
@@ -226,13 +327,13 @@ def _leaf_blocks(pdf: pd.DataFrame, dim: int):
     counts = pdf["leaves"].map(len).to_numpy()
     row = np.repeat(np.arange(len(pdf)), counts)
     code = np.concatenate(pdf["leaves"].tolist())
-    leaf, own = code >> 1, (code & 1) == 1
+    leaf, searches, own = code >> 2, (code & 2) == 0, (code & 1) == 1
     order = np.argsort(leaf, kind="stable")
-    row, leaf, own = row[order], leaf[order], own[order]
+    row, leaf, searches, own = row[order], leaf[order], searches[order], own[order]
     edges = np.r_[np.nonzero(np.r_[True, leaf[1:] != leaf[:-1]])[0], len(leaf)]
     for a, b in zip(edges[:-1], edges[1:]):
-        queries, members = row[a:b], row[a:b][own[a:b]]
-        if not len(members):
+        queries, members = row[a:b][searches[a:b]], row[a:b][own[a:b]]
+        if not len(members) or not len(queries):
             continue
         xm = x[members].T
         step = max(1, 4_000_000 // len(members))
@@ -251,7 +352,7 @@ def most_similar(v: Vectors, k: int = 5, min_cosine: float = -1.0, trees: int =
     Equal cosines are ordered by row id, copies of one vector by their id. Copies are each other's
     neighbours with cosine 1. A lone vector has no neighbour; an empty collection gives no row.
     """
-    forest = _fit(v, sample, trees, leaf, seed)
+    forest = _fit(v, sample, trees, leaf, visits, seed)
     dim = v.dim
 
     def rerank(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -411,7 +512,7 @@ def clusters(v: Vectors, min_cosine: float, trees: int = TREES, visits: int = VI
     them, and minimum labels run over these ties only. Exact copies are alike and have one density. An
     empty collection gives no row.
     """
-    forest = _fit(v, sample, trees, leaf, seed)
+    forest = _fit(v, sample, trees, leaf, visits, seed)
     cells = _cells(v, forest, visits, min_cosine)
     copies = v.copies.select(F.col("member").alias("rid"), F.col("rep").alias("cell"), F.lit(0).cast("bigint").alias("density"))
     own = v.copy_counts().select(F.col("rep").alias("rid"), F.col("rep").alias("cell"), (F.col("n") - 1).alias("density"))

@@ -97,6 +97,32 @@ def test_neighbours_and_clusters_against_brute_force(spark):
     assert {i for _, i in got} >= {f"copy{i:02d}" for i in range(9)}
 
 
+def test_recall_of_neighbours_alike_or_not(spark, monkeypatch):
+    rows = signal_rows(1500, seed=3)
+    x = usable(rows)
+    ids = sorted(x)
+    m = np.stack([x[i] for i in ids])
+    cos = m @ m.T
+    np.fill_diagonal(cos, -2)
+    v = vectors.Vectors(spark.createDataFrame(rows, SIGNALS))
+    name = {r.rid: r.id for r in v.base.select("rid", "id").collect()}
+    at = {i: k for k, i in enumerate(ids)}
+    fifth = -np.partition(-cos, 4, axis=1)[:, 4]
+    # The sample's levels only; levels below them; buckets whose visitors are spread over parts.
+    for sample, crowd in ((4000, 10**6), (256, 10**6), (256, 150)):
+        monkeypatch.setattr(vectors, "CROWD", crowd)
+        f = vectors._fit(v, sample, vectors.TREES, 48, 24, vectors.SEED)
+        assert f.depth == 5 and f.deep == (0 if sample > 256 else 5 - f.top) and (f.parts > 1).any() == (crowd == 150)
+        if f.deep:
+            assert f.deep >= 1 and np.abs(f.deep_at).sum() > 0
+        got = vectors.most_similar(v, 5, leaf=48, visits=24, sample=sample).collect()
+        assert len({(r.a, r.b) for r in got}) == len(got)
+        hits = sum(cos[at[name[r.a]], at[name[r.b]]] >= fifth[at[name[r.a]]] - 1e-4 for r in got)
+        assert hits / (5 * len(ids)) > 0.9, (sample, crowd, hits / (5 * len(ids)))
+        groups = vectors.groups_by_id(v, vectors.clusters(v, 0.72, leaf=48, visits=24, sample=sample))
+        assert groups.count() == groups.select("id").distinct().count() > 200
+
+
 def test_density_counts_copies(spark):
     rows = signal_rows(200)
     x = usable(rows)

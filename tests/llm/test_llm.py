@@ -327,6 +327,49 @@ def test_foreign_parts_without_a_pattern():
         assert NEW in mail.newly_written(text, m)
 
 
+def strange_mails(n=120):
+    """Mails whose closings, notices and introductions are in no list."""
+    out = []
+    for i in range(n):
+        new = f"The depot number {i} got {i * 7 % 50} crates before noon.\nNobody counted them twice on day {i}."
+        close = f"Hartelijke groet,\n[REDACTED_PERSON]\nMagazijnchef {i % 3}"
+        notice = "If you have received this e-mail in error, please notify the sender and delete it.\nQuibble forms are void after the second moon."
+        old = f"Op ma {i % 28 + 1} jan 2025 om {i % 12}:10 schreef [REDACTED_PERSON]:\n> oude tekst {i}\n> en meer"
+        out.append("\n\n".join([new, *([close] if i % 2 else []), *([notice] if i % 3 == 0 else []), *([old] if i % 4 == 0 else [])]))
+    return out
+
+
+def test_dictionaries_are_learned():
+    m = mail.MailModel(strange_mails())
+    plain = mail.MailModel()
+    text = "We moved the shelf.\n\nHartelijke groet,\nJan de Vries\nMagazijnchef 1\n\nQuibble forms are void after the second moon."
+    assert {s.kind for s in mail.foreign(text, m)} == {"signature", "disclaimer"} and mail.newly_written(text, m) == "We moved the shelf."
+    assert mail.foreign(text, plain) == []
+    late = "We moved the shelf.\n\nOp di 3 feb 2025 om 4:10 schreef [REDACTED_PERSON]:\n\noude tekst zonder tekens"
+    assert {s.kind for s in mail.foreign(late, m)} == {"quoted"} and mail.foreign(late, plain) == []
+    marked = late.replace("\n\noude", "\n> oude")  # directly above a marked run the place is enough
+    assert mail.newly_written(marked, plain) == "We moved the shelf."
+    assert "Nobody counted" in mail.newly_written(strange_mails()[1], m)
+
+
+def test_the_gain_decides(monkeypatch):
+    m = mail.MailModel(strange_mails())
+    texts = [t for t, _ in CASES if t] + strange_mails(12) + ["It reached you by mistake, said the clerk, and they delete it from your system."]
+    found = [mail.foreign(t, m) for t in texts]
+    monkeypatch.setattr(mail.MailModel, "suspected", lambda *a: False)
+    assert not any(s.kind != "quoted" for t in texts for s in mail.foreign(t, m))
+    monkeypatch.setattr(mail.MailModel, "suspected", lambda *a: True)
+    monkeypatch.setattr(mail.MailModel, "verified", lambda *a: True)
+    assert [mail.foreign(t, m) for t in texts] != found
+
+
+def test_counts_over_a_table_equal_counts_over_texts(spark):
+    texts = strange_mails()
+    df = spark.createDataFrame([(t,) for t in [*texts, *texts[:50], None, ""]], "t string").repartition(5)
+    a, b = mail.fit_mails(df, "t"), mail.MailModel(texts)
+    assert a.openers == b.openers and a.lone == b.lone and all(a.of[k].lines == b.of[k].lines for k in mail.KINDS)
+
+
 def test_mail_table(spark):
     df = spark.createDataFrame([(str(i), t, "clash") for i, (t, _) in enumerate(CASES)] + [(None, CASES[4][0], "c"), ("4", CASES[4][0], "c")], "id string, redacted_text string, foreign_part string")
     m = mail.fit_mails(df, "redacted_text")
@@ -451,7 +494,7 @@ def test_models_answer_for_themselves():
     m = privacy.NameModel([("Quorvan", "Zellith")], [])
     assert [e.kind for e in privacy.find(text, m)] == ["person"]
     assert not pickle.loads(pickle.dumps(m)).no_names and m.no_names
-    line = "Zzyq Vorn Plexid Uttram"
+    line = "zzyq vorn plexid uttram"
     plain, taught = mail.MailModel(), mail.MailModel([f"Kind regards,\n[REDACTED_PERSON]\n{line}"] * 3)
     assert not plain.suspected(line, "signature") and taught.suspected(line, "signature")
     assert not pickle.loads(pickle.dumps(taught)).suspicions

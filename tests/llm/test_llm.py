@@ -250,9 +250,77 @@ def test_rebuild_against_plain(spark):
 
 
 def test_kahn():
-    assert conversations.kahn([5, 1, 3], [-1, 0, 0]) == ([0, 1, 2], [])
-    order, left = conversations.kahn([0, 1, 2, 3], [-1, 2, 1, 2])
+    assert conversations.kahn([5, 1, 3], [[], [0], [0]]) == ([0, 1, 2], [])
+    assert conversations.kahn([1, 2, 3], [[2], [], [1, 1]]) == ([1, 2, 0], [])
+    order, left = conversations.kahn([0, 1, 2, 3], [[], [2], [1], [2]])
     assert order == [0] and left == [1, 2, 3]
+    assert conversations.kahn([0], [[0]]) == ([], [0])
+
+
+def plain_reply_order(msgs, edges):
+    """Kahn's algorithm over each whole session, one free message after the other."""
+    places, faults = {}, set()
+    for s in {m[0] for m in msgs}:
+        own = {m[1]: (m[2], m[3], m[1]) for m in msgs if m[0] == s}
+        parents = {u: {p for x, c, p in edges if x == s and c == u and p is not None} for u in own}
+        if any(p not in own for ps in parents.values() for p in ps):
+            faults.add((s, "orphan"))
+            parents = {u: ps & own.keys() for u, ps in parents.items()}
+        done = []
+        while free := [u for u in own if u not in done and parents[u] <= set(done)]:
+            done.append(min(free, key=own.get))
+        if len(done) < len(own):
+            faults.add((s, "cycle"))
+        else:
+            places[s] = done
+    return places, faults
+
+
+def test_reply_order_against_plain(spark):
+    rng = random.Random(4)
+    msgs, edges = [], []
+    for s in range(60):
+        n = rng.choice([1, 3, 8, 15]) if s else 200
+        ids = [f"{s}-{i:03d}" for i in range(n)]
+        for i, u in enumerate(ids):
+            msgs.append((f"s{s}", u, TS + dt.timedelta(hours=5 * (i // 2)), [rng.randrange(3)], i % 2))
+            if i and rng.random() < 0.9:
+                edges.append((f"s{s}", u, ids[rng.randrange(max(0, i - 4), i)]))
+            if i and rng.random() < 0.05:  # answers a later message: the clock was wrong, or a cycle
+                edges.append((f"s{s}", u, ids[min(n - 1, i + rng.randrange(4))]))
+        if rng.random() < 0.05:
+            edges.append((f"s{s}", ids[0], "gone"))
+    edges += [("s1", "nobody", "s1-000"), ("s1", None, "x"), ("s1", "1-000", None), *edges[:5], ("no", "a", "b")]
+    rng.shuffle(msgs)
+    df = spark.createDataFrame(msgs, "session_id string, uuid string, ts timestamp, path array<int>, role int").repartition(5)
+    e = spark.createDataFrame(edges, "session_id string, uuid string, parent_uuid string")
+    out, faults = conversations.reply_order(df, e)
+    want, bad = plain_reply_order(msgs, edges)
+    assert {tuple(r) for r in faults.collect()} == bad and {k for _, k in bad} == {"cycle", "orphan"}
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r.session_id, tuple(r["at"].key), r["at"].pos if r["at"].pos is not None else -1)):
+        got.setdefault(r.session_id, []).append(r.uuid)
+    moved = [s for s in want if want[s] != [m[1] for m in sorted((m for m in msgs if m[0] == s), key=lambda m: (m[2], m[3], m[1]))]]
+    assert len(moved) > 5 and {s: got[s] for s in want} == want
+    none, _ = conversations.reply_order(df.limit(0), e.limit(0))
+    assert none.count() == 0
+
+
+def test_rebuild_with_named_replies(spark):
+    def row(s, n, kind, uuid, minute):
+        return (s, [n], 0, kind, TS + dt.timedelta(minutes=minute), uuid, "t", 1, "x")
+
+    rows = []
+    for s in ("late", "plain", "cycle", "orphan"):
+        rows += [row(s, 0, "user_text", "q1", 0), row(s, 1, "assistant_text", "a1", 1), row(s, 2, "user_text", "q2", 3), row(s, 3, "assistant_text", "a2", 2)]  # a2's clock was wrong
+    chain = [("a1", "q1"), ("q2", "a1"), ("a2", "q2")]
+    edges = [(s, c, p) for s in ("late", "cycle", "orphan") for c, p in chain] + [("cycle", "q1", "a2"), ("orphan", "q1", "gone")]
+    df = spark.createDataFrame(rows, EVENTS)
+    e = spark.createDataFrame(edges, "session_id string, uuid string, parent_uuid string")
+    got = [(r.session_id, r.turn_no, r.uuid, r.ts.minute) for r in conversations.rebuild(df, e).orderBy("session_id", "turn_no").collect()]
+    assert got == [("late", 1, "q1", 0), ("late", 2, "a1", 1), ("late", 3, "q2", 3), ("late", 4, "a2", 2)]
+    assert conversations.rebuild(df, e.limit(0)).count() == 0 == conversations.rebuild(df).count()
+    assert conversations.rebuild(df.limit(0), e.limit(0)).count() == 0
 
 
 def test_a_session_over_many_segments(spark):

@@ -31,8 +31,8 @@ DIM = 128
 SAMPLE = 49_152
 """At most about so many vectors fit the trees; every vector is indexed."""
 LEAF = 1280
-CROWD = 24_000
-"""About so many visitors share a part of a bucket."""
+CROWD = 250_000
+"""About so many visitors share a part of a bucket, some 70 MB; each part holds the bucket's members again."""
 DEEP = 64
 """About so many vectors a leaf decide the medians of the levels below the sample's."""
 TREES = 4
@@ -315,9 +315,8 @@ def _visits(v: Vectors, forest: Forest, count: int, weighted: bool = False) -> D
                 key = first_part[bucket[first][of]] + to
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), part.column(0).take(at), q.take(at), lists, *([part.column(2).take(at)] if weighted else [])], ["bucket", "rid", "q", "leaves", *(["w"] if weighted else [])])
 
-    out = reps.mapInArrow(run, "bucket int, rid bigint, q binary, leaves array<int>" + ", w bigint" * weighted)
-    # More partitions than buckets, so that few of them share a task.
-    return out.repartition(max(1, 3 * int(first_part[-1])), "bucket")
+    # Partitions are the session's: copies of a vector that go to one of them compress to little more than one.
+    return reps.mapInArrow(run, "bucket int, rid bigint, q binary, leaves array<int>" + ", w bigint" * weighted)
 
 
 def _leaf_blocks(pdf: pd.DataFrame, dim: int):

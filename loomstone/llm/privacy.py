@@ -5,26 +5,24 @@ octets, groups). Names of persons are found by a name model: the given and famil
 table of known people, those that stand in mail headers and after titles in any of the texts, and
 the word endings several of these share.
 
-Replacement is either the placeholder of the kind or a surrogate: a made-up entity of the same
-kind, format and script, derived by a keyed hash from the canonical entity, so that the same
-entity gets the same surrogate in all texts. ``assign_surrogates`` checks the whole corpus for
-collisions and derives again where two entities met in one surrogate.
+Every mention found is replaced: by the placeholder of its kind, or by a surrogate, a made-up entity of the same
+type, gender, script and format (see ``surrogates``). What was replaced is what was found.
 """
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.llm import surrogates
 from loomstone.llm.common import cut
+from loomstone.llm.surrogates import luhn
 
 KINDS = ("email", "phone", "sin", "cc", "ip", "address", "person")
 PLACEHOLDERS = {k: f"[REDACTED_{k.upper()}]" for k in KINDS}
@@ -64,16 +62,6 @@ _SIN = re.compile(r"^\d{3}([ .-]?)\d{3}\1\d{3}$")
 _DASHES = str.maketrans("–‑‐\u00a0\u2007\u202f\u2009", "---    ")
 
 
-def luhn(digits: str) -> bool:
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        n = ord(c) - 48
-        if i % 2:
-            n = n * 2 - 9 if n > 4 else n * 2
-        total += n
-    return total % 10 == 0
-
-
 def _number_kind(raw: str) -> str | None:
     s = raw.translate(_DASHES)
     digits = re.sub(r"\D", "", s)
@@ -273,7 +261,7 @@ _NOT_NAME = set(
     # Words of firms, streets, months, days, roles and greetings that can stand beside a name.
     """hi hello hey dear thanks regards cheers from to de from ask dr mr mrs the and or by with for this that on at in it is was will has have user assistant subject re fwd tr
     monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december
-    street road avenue ave crescent lane drive group logistics foods freight roofing optics architects plumbing interiors fabrication millworks bakeries veterinary dental print house
+    street road avenue ave crescent lane drive group company inc ltd gmbh logistics foods services partners house
     manager director controller partner lead analyste principal service desk operations external accountant redacted person email phone address
     bonjour merci cordialement hallo according contact nobody same please approved my colleague met loop names form still wrote schrieb""".split()
 )
@@ -373,75 +361,6 @@ def redact(text: str | None, model: NameModel) -> str | None:
     return "".join(out) + text[at:] if out else text
 
 
-# --- surrogates ----------------------------------------------------------------------------
-
-
-def canonical_entity(kind: str, raw: str) -> str:
-    """The form in which mentions of one entity are equal."""
-    low = raw.lower()
-    if kind in ("phone", "sin", "cc"):
-        d = re.sub(r"\D", "", raw) or spoken_digits(raw)
-        return d[1:] if kind == "phone" and len(d) == 11 and d[0] == "1" else d
-    if kind == "email":
-        low = re.sub(r"\s*[\[({<]?\b(?:at|arobase|arobas)\b[\])}>]?\s*", "@", low.replace("＠", "@")) if "@" not in low.replace("＠", "@") else low.replace("＠", "@")
-        low = re.sub(r"\s*[\[({<]?\b(?:dot|point)\b[\])}>]?\s*", ".", low)
-        return re.sub(r"\s*\b(?:underscore)\b\s*", "_", re.sub(r"\s*\bplus\b\s*", "+", low)).replace(" ", "")
-    if kind == "person":
-        parts = low.split(",")
-        low = " ".join(reversed(parts)) if len(parts) == 2 else low
-        return " ".join(w for w in re.findall(r"[^\W\d_]+", low) if w not in ("dr", "mr", "mrs", "ms", "mme", "prof"))
-    return re.sub(r"\s+", " ", low).strip()
-
-
-_SYL_G = ("ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu", "na", "pe", "ri", "so", "tu", "va")
-_FEMALE, _MALE = ("lia", "nne", "rina", "tta"), ("ban", "dor", "mir", "ton")
-
-
-def surrogate(kind: str, canon: str, raw: str, key: bytes, attempt: int = 0) -> str:
-    """A made-up entity of the kind in the format of ``raw``; equal canon and key give equal letters and digits."""
-    h = hmac.new(key, f"{kind}\x00{canon}\x00{attempt}".encode(), hashlib.sha256).digest()
-    big = int.from_bytes(h, "big")
-    if kind in ("phone", "sin", "cc"):
-        n = len(re.sub(r"\D", "", canon))
-        digits = [str((big // 10**i) % 10) for i in range(n)]
-        if kind in ("sin", "cc"):
-            digits[-1] = next(str(c) for c in range(10) if luhn("".join(digits[:-1]) + str(c)))
-        shape = raw if re.search(r"\d", raw) else " ".join("0" * n)
-        own = re.sub(r"\D", "", shape)
-        digits = list(own[: len(own) - n]) + digits if len(own) > n else digits[: len(own)]
-        it = iter(digits)
-        return "".join(next(it) if c.isdigit() else c for c in shape)
-    if kind == "email":
-        name = "".join(_SYL_G[(big >> (4 * i)) % 16] for i in range(5))
-        s = f"{name}@{_SYL_G[(big >> 24) % 16]}{_SYL_G[(big >> 28) % 16]}{(big >> 40) % 1000}.example"
-        return s.upper() if raw.isupper() else s
-    if kind == "ip":
-        if ":" in raw:
-            return "2001:db8:" + ":".join(f"{(big >> (16 * i)) & 0xFFFF:x}" for i in range(6))
-        return "10." + ".".join(str((big >> (8 * i)) % 254 + 1) for i in range(3))
-    if kind == "address":
-        name = ("".join(_SYL_G[(big >> (4 * i)) % 16] for i in range(3))).capitalize()
-        town = ("".join(_SYL_G[(big >> (4 * i + 20)) % 16] for i in range(3))).capitalize()
-        s = f"{big % 899 + 100} {name} Street, {town}" if "rue" not in raw.lower() else f"{big % 899 + 100}, rue {name}, {town}"
-        return s.upper() if raw.isupper() else s.lower() if raw.islower() else s
-    words = canon.split()
-    # The same kind of given name: an ending that is usual for the gender the original's ending suggests.
-    female = words[0][-1] in "aeiy" if words else False
-    ends = _FEMALE if female else _MALE
-    given = _SYL_G[big % 16] + _SYL_G[(big >> 4) % 16] + ends[(big >> 8) % 4]
-    family = "".join(_SYL_G[(big >> (12 + 4 * i)) % 16] for i in range(3)) + ("n", "rt", "sk", "l")[(big >> 24) % 4]
-    if len(words) > 1 and len(words[-1]) == 1:
-        family = family[0]
-    if any("Ѐ" <= c <= "ӿ" for c in raw):
-        table = str.maketrans("abcdefghijklmnoprstuv", "абцдефгхийклмнопрстув")
-        given, family = given.translate(table), family.translate(table)
-    s = f"{given.capitalize()} {family.capitalize()}"
-    if "," in raw:
-        f2 = family.upper() if raw.split(",")[0].isupper() else family.capitalize()
-        s = f"{f2}, {given.capitalize()}"
-    return s.lower() if raw.islower() else s
-
-
 # --- over tables ---------------------------------------------------------------------------
 
 
@@ -480,25 +399,6 @@ def _mapped(df: DataFrame, key: str, text: str, model: NameModel, schema: str, e
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
 
 
-def kinds(df: DataFrame, key: str, text: str, model: NameModel) -> DataFrame:
-    """``(key, kind)``: the kinds of personal data in each row's text, each once a row. Rows without any
-    have no row; keys may be null or repeated; other columns are not read; an empty table gives an empty one."""
-    t = df.schema[key].dataType
-
-    def each(b, m):
-        ks, found = [], []
-        keys = b.column(0)
-        at = []
-        for i, x in enumerate(b.column(1).to_pylist()):
-            for kind in sorted({e.kind for e in find(x, m)}):
-                at.append(i)
-                found.append(kind)
-        del ks
-        yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int32())), pa.array(found, pa.string())], ["k", "kind"])
-
-    return _mapped(df, key, text, model, f"k {t.simpleString()}, kind string", each).withColumnRenamed("k", key)
-
-
 def redacted(df: DataFrame, key: str, text: str, model: NameModel) -> DataFrame:
     """``(key, text, log)``: every row's text with placeholders, and the log of what was replaced, with
     offsets in code points of the original. A null text stays null with an empty log."""
@@ -518,65 +418,61 @@ def redacted(df: DataFrame, key: str, text: str, model: NameModel) -> DataFrame:
 
 
 def mentions(df: DataFrame, key: str, text: str, model: NameModel) -> DataFrame:
-    """``(key, start, end, kind, raw, canon)`` of every mention of an entity."""
+    """``(key, start, end, kind, raw)`` of every mention of an entity. Null and empty texts have none; keys may be null
+    or repeated; other columns are not read; an empty table gives an empty one."""
     t = df.schema[key].dataType
 
     def each(b, m):
-        cols: list[list] = [[] for _ in range(6)]
+        cols: list[list] = [[] for _ in range(5)]
         for i, x in enumerate(b.column(1).to_pylist()):
             for e in find(x, m):
-                raw = x[e.start : e.end]
-                for c, val in zip(cols, (i, e.start, e.end, e.kind, raw, canonical_entity(e.kind, raw))):
+                for c, val in zip(cols, (i, e.start, e.end, e.kind, x[e.start : e.end])):
                     c.append(val)
-        types = [None, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
-        arrays = [b.column(0).take(pa.array(cols[0], pa.int32()))] + [pa.array(c, ty) for c, ty in zip(cols[1:], types[1:])]
-        yield pa.RecordBatch.from_arrays(arrays, ["k", "start", "end", "kind", "raw", "canon"])
+        types = [pa.int32(), pa.int32(), pa.string(), pa.string()]
+        arrays = [b.column(0).take(pa.array(cols[0], pa.int32()))] + [pa.array(c, ty) for c, ty in zip(cols[1:], types)]
+        yield pa.RecordBatch.from_arrays(arrays, ["k", "start", "end", "kind", "raw"])
+
+    return _mapped(df, key, text, model, f"k {t.simpleString()}, start int, `end` int, kind string, raw string", each).withColumnRenamed("k", key)
 
-    return _mapped(df, key, text, model, f"k {t.simpleString()}, start int, `end` int, kind string, raw string, canon string", each).withColumnRenamed("k", key)
+
+def replaced(df: DataFrame, key: str, text: str, model: NameModel, secret: bytes) -> DataFrame:
+    """``(key, start, end, kind, raw, surrogate)``: every mention with what stands in its place. Mentions of one
+    entity have surrogates of one made-up entity in all rows, each in the mention's own writing."""
+    found = cut(mentions(df, key, text, model), "mentions").df
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    made = surrogates.of_mentions(found, secret, lambda: _lone_given(shared.value), spoken_digits)
+    return found.join(cut(made, "made").df, ["kind", "raw"])
 
 
-def assign_surrogates(found: DataFrame, key: bytes, rounds: int = 8) -> DataFrame:
-    """``(kind, canon, attempt)`` of each entity of ``mentions``: the attempt whose surrogate no other
-    entity of the kind has. Entities whose surrogates meet keep the smallest of them and derive again."""
+def _lone_given(model: NameModel):
+    return lambda w: w.lower() in model.given and w.lower() not in model.family
 
-    def derive(kind: str, canon: str, attempt: int) -> str:
-        return surrogate(kind, canon, canon, key, attempt)
 
-    fn = F.udf(derive, "string")  # once per distinct entity and round
-    todo = found.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))
-    table = cut(todo.withColumn("s", fn("kind", "canon", "attempt")), "surrogates")
-    for _ in range(rounds):
-        # Two entities rarely meet, so the groups of this window are few rows each.
-        w = Window.partitionBy("kind", "s").orderBy("attempt", "canon")
-        ranked = table.df.withColumn("n", F.row_number().over(w))
-        if not ranked.where("n > 1").limit(1).count():
-            return table.df.select("kind", "canon", "attempt")
-        again = ranked.withColumn("attempt", F.col("attempt") + F.when(F.col("n") > 1, 1).otherwise(0)).drop("n")
-        again = again.withColumn("s", fn("kind", "canon", "attempt"))
-        new = cut(again, "surrogates")
-        table.drop()
-        table = new
-    raise RuntimeError("surrogates still meet; use a longer form")
+def kinds(df: DataFrame, key: str, text: str, model: NameModel, secret: bytes) -> DataFrame:
+    """``(key, kind)``: the kinds of personal data that were replaced in each row's text, each once a key. Rows
+    without any have no row; keys may be null or repeated; other columns are not read; an empty table gives an empty one."""
+    return replaced(df, key, text, model, secret).where("surrogate <> raw").select(key, "kind").distinct()
 
 
 def with_surrogates(df: DataFrame, key: str, text: str, model: NameModel, secret: bytes) -> DataFrame:
     """``(key, text)``: every row's text with surrogates in place of its entities; one row per distinct
     non-null key. The same entity has the same surrogate in all rows."""
-    found = cut(mentions(df, key, text, model), "mentions").df
-    chosen = assign_surrogates(found, secret)
-    make = F.udf(lambda kind, canon, raw, attempt: surrogate(kind, canon, raw, secret, attempt), "string")
-    put = found.join(chosen, ["kind", "canon"]).withColumn("new", make("kind", "canon", "raw", "attempt"))
+    put = replaced(df, key, text, model, secret)
     # All mentions of one text, bounded by the text.
-    edits = put.groupBy(key).agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("start", "end", "new")))).alias("edits"))
+    edits = put.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("start", "end", "surrogate"))).alias("edits"))
     one = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(text)).alias("t"))
+    t = df.schema[key].dataType
 
-    def splice(t: str | None, edits) -> str | None:
-        if t is None or not edits:
-            return t
-        out, at = [], 0
-        for e in edits:
-            out += [t[at : e["start"]], e["new"]]
-            at = e["end"]
-        return "".join(out) + t[at:]
-
-    return one.join(edits, key, "left").select(key, F.udf(splice, "string")("t", "edits").alias("text"))
+    def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for x, es in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                out, at = [], 0
+                for e in es or ():
+                    out += [x[at : e["start"]], e["surrogate"]]
+                    at = e["end"]
+                texts.append("".join(out) + x[at:] if out else x)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["k", "text"])
+
+    both = one.join(edits, key, "left").select(F.col(key).alias("k"), "t", "edits")
+    return both.mapInArrow(splice, f"k {t.simpleString()}, text string").withColumnRenamed("k", key)

@@ -12,7 +12,7 @@ from loomstone.llm.common import kind_key, one_text_per_id, table
 ALIKE = 0.72
 """Two signals are alike above this cosine."""
 SECRET = b"loomstone"
-"""The key of surrogates in ``p5_surrogates``; a deployment sets its own."""
+"""The key of surrogates in ``p5_found`` and ``p5_surrogates``; a deployment sets its own."""
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,9 +91,9 @@ def _names(spark: SparkSession, d: str) -> privacy.NameModel:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """The kinds of personal data in each record."""
-    found = privacy.kinds(_places(spark, d), "k", "text", _names(spark, d))
-    return found.select("k.place", "k.record_id", "k.item_no", F.col("kind").alias("pii_kind")).distinct()
+    """The kinds of personal data in each record: of what surrogates were put in place of."""
+    found = privacy.kinds(_places(spark, d), "k", "text", _names(spark, d), SECRET)
+    return found.select("k.place", "k.record_id", "k.item_no", F.col("kind").alias("pii_kind"))
 
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:

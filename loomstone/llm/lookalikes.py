@@ -1,14 +1,15 @@
 """One form for texts that look the same.
 
-Normalization quick-check first: a text all of whose characters are stable is its own form. In
-other texts the unstable segments are isolated: runs of characters that can change, with the
-base character before and the marks after as boundary context. Only those are normalized, and
-the canonical segments are spliced into the unchanged rest.
-
-The form: canonical composition; full- and half-width forms, Latin ligatures and presentation
-spaces in their plain characters; invisible format characters dropped (joiners stay where they
-shape emoji or joining scripts); hyphens that look like ``-`` as ``-``; line ends as ``\\n``;
-Cyrillic and Greek letters drawn like a Latin one as that letter. Case, accents, digits, line
+Each character has a quick-check property: it is stable if it is its own form, never composes with the character before
+it and never moves. The property is computed once for all characters, from Unicode's quick check for canonical composition,
+the combining classes, and the rules below. Runs of characters that are not stable are the unstable segments; each is
+isolated with its boundary context, the character before the run, brought to its form, and spliced into the unchanged
+rest. A text without such a run is its own form.
+
+The form: canonical composition; full- and half-width forms, styled letters, Latin ligatures, Roman numerals and
+presentation spaces in their plain characters; invisible format characters dropped (joiners stay where they
+shape emoji or joining scripts, selectors where they choose a picture, tags behind a flag); hyphens that look like ``-`` as ``-``;
+line ends as ``\\n``; letters of other scripts drawn like a Latin one as that letter. Case, accents, digits, line
 breaks and visible punctuation stay.
 """
 
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.llm.common import cut
+
 # Letters drawn like a Latin letter in common fonts, with that letter.
 LOOKALIKES = dict(
     zip(
@@ -33,6 +36,8 @@ for _c in "ЗзιυνӏΙ":
     LOOKALIKES.pop(_c, None)  # drawn differently enough, or like another letter in many fonts
 LOOKALIKES["Ι"] = "I"
 LOOKALIKES["ν"] = "v"
+# The same of Armenian, Cherokee, Coptic and phonetic letters.
+LOOKALIKES |= dict(zip("օսհոյցՕՍ" "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏚᏙᏞᏟᏢᏦᏴᏏ" "ⲞⲟⲢⲣⲤⲥⲬⲭⲘⲚⲔⲎⲒⲦ" "ɑɡ", "ouhnjgOU" "DRTAJEWMHGZSVLCPKBb" "OoPpCcXxMNKHIT" "ag"))
 # The same letters with marks, from the rule that a letter and its marks are drawn one by one.
 for _o in [*range(0x370, 0x530), *range(0x1F00, 0x2000)]:
     _d = unicodedata.normalize("NFD", chr(_o))
@@ -46,17 +51,66 @@ SPACES = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u20
 HYPHENS = "‐‑"
 LINE_ENDS = "\u0085\u2028\u2029"
 
-_wide = "！-￮"
-_ligatures = "ﬀ-ﬆ"
-_marks = "\u0300-\u036f\u1ab0-᫿\u1dc0-\u1dff\u20d0-⃿\u3099\u309a\ufe20-\ufe2f"
-# Anything that some rule may change; Hangul jamo and the letters with canonical decompositions elsewhere come by quick check.
-_unstable = f"{_marks}{_wide}{_ligatures}{INVISIBLE}{JOINERS}{SPACES}{HYPHENS}{LINE_ENDS}" + "".join(LOOKALIKES) + "µᄀ-ᇿΩKÅ\u0340-\u0344ʹ;·ά-῿〈〉豈-﫿"
-SEGMENT = re.compile(f"[^\\s]?[{_unstable}]+[{_marks}]*")
-ONE = {**LOOKALIKES, **dict.fromkeys(INVISIBLE, ""), **dict.fromkeys(SPACES, " "), **dict.fromkeys(HYPHENS, "-"), **dict.fromkeys("\u0085\u2028\u2029", "\n"), "µ": "μ"}
-TABLE = str.maketrans(ONE)
-_compat = re.compile(f"[{_wide}{_ligatures}]+")
+SELECTORS = "\ufe00-\ufe0f"
+TAGS = "\U000e0001\U000e0020-\U000e007f"
+ONE = {**LOOKALIKES, **dict.fromkeys(INVISIBLE, ""), **dict.fromkeys(SPACES, " "), **dict.fromkeys(HYPHENS, "-"), **dict.fromkeys(LINE_ENDS, "\n"), "µ": "μ"}
 _joiner = re.compile(f"[{JOINERS}]")
 _invisible = re.compile(f"[{INVISIBLE}]+")
+_selector = re.compile(f"[{SELECTORS}]")
+_tags = re.compile(f"(\U0001f3f4?)([{TAGS}]+)")
+
+
+def _plain(c: str) -> str:
+    """A character's own rule: its plain characters, itself if it has none."""
+    if c in ONE:
+        return ONE[c]
+    d = unicodedata.decomposition(c)
+    if d.startswith(("<wide>", "<narrow>", "<font>")) or "\ufb00" <= c <= "\ufb06" or "\u2160" <= c <= "\u217f":
+        return "".join(ONE.get(x, x) for x in unicodedata.normalize("NFKC", c))
+    return c
+
+
+class _Properties:
+    """The table of plain characters and the pattern of unstable segments, computed on first use."""
+
+    def __init__(self) -> None:
+        self.table: dict[int, str] = {}
+        unstable: list[int] = []
+        second = set()  # characters that compose with the one before them: quick check says maybe
+        points = [o for o in (*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE01F0))]
+        for o in points:
+            d = unicodedata.decomposition(chr(o))
+            if d and d[0] != "<" and " " in d:
+                second.add(int(d.split()[1], 16))
+        second.update(range(0x1161, 0x1176))
+        second.update(range(0x11A8, 0x11C3))
+        for o in points:
+            c = chr(o)
+            if unicodedata.category(c) == "Cn":
+                continue
+            p = _plain(c)
+            if p != c:
+                self.table[o] = p
+            if p != c or o in second or unicodedata.combining(c) or not unicodedata.is_normalized("NFC", c) or c in JOINERS:
+                unstable.append(o)
+        ranges, lo = [], None
+        # Beyond the first plane one range is far faster to match; what is stable there stays as it is.
+        unstable = [o for o in unstable if o < 0x10000]
+        for o, after in zip(unstable, [*unstable[1:], -1]):
+            lo = o if lo is None else lo
+            if after != o + 1:
+                ranges.append(f"{re.escape(chr(lo))}-{re.escape(chr(o))}")
+                lo = None
+        self.segment = re.compile(f"[^\\s]?[{''.join(ranges)}\U00010000-\U0010ffff]+")
+
+
+_properties: list[_Properties] = []
+
+
+def properties() -> _Properties:
+    if not _properties:
+        _properties.append(_Properties())
+    return _properties[0]
 
 
 def _shapes(c: str) -> bool:
@@ -80,13 +134,19 @@ def _needed(text: str, i: int) -> bool:
     return True
 
 
+def _pictured(c: str) -> bool:
+    """Whether a selector behind this character may choose another picture of it: symbols, keycaps, ideographs and marks."""
+    return not c or unicodedata.category(c)[0] not in "LZ" or unicodedata.name(c, "").startswith("CJK") or c in "\u2122\u2139"
+
+
 def _canonical(segment: str) -> str:
-    s = segment.translate(TABLE)
-    s = _compat.sub(lambda m: unicodedata.normalize("NFKC", m[0]), s)
-    s = unicodedata.normalize("NFC", s)
-    # What composition or the width rule has made may look like a Latin letter in its turn.
-    t = s.translate(TABLE)
-    return t if t == s else unicodedata.normalize("NFC", t)
+    table = properties().table
+    while True:
+        # What composition or a rule has made may have a rule in its turn.
+        out = unicodedata.normalize("NFC", segment.translate(table))
+        if out == segment:
+            return out
+        segment = out
 
 
 def canonical_form(text: str | None) -> str | None:
@@ -95,12 +155,14 @@ def canonical_form(text: str | None) -> str | None:
         return text
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    if _joiner.search(text):
+    if _joiner.search(text) or _selector.search(text):
         whole = text = _invisible.sub("", text)  # so that a joiner stands beside what it joins
         text = _joiner.sub(lambda m: m[0] if _needed(whole, m.start()) else "", text)
-    out = SEGMENT.sub(lambda m: _canonical(m[0]), text)
-    # Quick check of the spliced text: canonical order of marks across segments, rare decompositions.
-    return out if unicodedata.is_normalized("NFC", out) else _canonical(out)
+        whole = text
+        text = _selector.sub(lambda m: m[0] if _pictured(whole[m.start() - 1 : m.start()]) else "", text)
+    if _tags.search(text):
+        text = _tags.sub(lambda m: m[0] if m[1] else "", text)
+    return properties().segment.sub(lambda m: _canonical(m[0]), text)
 
 
 _blank = re.compile(r"^[\s\x00-\x1f\x7f-\x9f]*$")
@@ -141,16 +203,37 @@ def _digests(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("x")).mapInArrow(run, f"k {kind}, f binary, t binary")
 
 
-def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(a, b)``, smaller key first: rows whose texts are different strings of one form.
+BLOCK = 4_000
+"""Rows of a form that one task compares with as many others."""
+
+
+def lookalike_groups(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(form, writing, key, first_of_form, first_of_writing, n)``: the rows whose form is written in several ways.
 
-    Forms that all rows write in one way (exact copies) have no pair and are left out before the
-    join, however many they are. What moves are digests and keys. Each pair comes out once, also for
-    repeated keys. Null keys and texts without a visible character have no pair.
+    ``form`` and ``writing`` are digests, ``first_of_...`` the smallest keys with them, ``n`` how many rows have the form.
+    One row a row: forms that all rows write in one way (exact copies) are left out however many they are, and no pair is
+    made. What moves are digests and keys. Null keys and texts without a visible character have no row.
     """
-    d = _digests(df, key, text)
+    d = cut(_digests(df, key, text), "digests").df
     # Ways of writing of each form: copies are brought together in each task first.
-    ways = d.groupBy("f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where(F.col("lo") != F.col("hi")).select("f")
-    rows = d.join(ways, "f", "left_semi")
-    a, b = rows.select("f", F.col("k").alias("a"), F.col("t").alias("ta")), rows.select("f", F.col("k").alias("b"), F.col("t").alias("tb"))
-    return a.join(b, "f").where((F.col("a") < F.col("b")) & (F.col("ta") != F.col("tb"))).select("a", "b").distinct()
+    ways = d.groupBy("f").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.min("k").alias("first_of_form"), F.count(F.lit(1)).alias("n"))
+    ways = ways.where(F.col("lo") != F.col("hi")).drop("lo", "hi")
+    rows = d.join(ways, "f")
+    firsts = rows.groupBy("f", "t").agg(F.min("k").alias("first_of_writing"))
+    return rows.join(firsts, ["f", "t"]).select(F.col("f").alias("form"), F.col("t").alias("writing"), F.col("k").alias(key), "first_of_form", "first_of_writing", "n")
+
+
+def lookalike_pairs(df: DataFrame, key: str, text: str, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``, smaller key first: rows whose texts are different strings of one form, each pair once, also for
+    repeated keys.
+
+    These are the pairs asked for; where membership is enough, ``lookalike_groups`` is as long as its table. A form of many
+    rows is cut into blocks, so that no task makes more than ``block`` squared of them.
+    """
+    d = cut(_digests(df, key, text), "digests").df
+    ways = d.groupBy("f").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("lo") != F.col("hi"))
+    rows = d.join(ways.select("f", F.ceil(F.col("n") / block).cast("int").alias("cuts")), "f")
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("k"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    a = rows.select("f", F.col("slice").alias("i"), F.col("other").alias("j"), F.col("k").alias("a"), F.col("t").alias("ta"))
+    b = rows.select("f", F.col("other").alias("i"), F.col("slice").alias("j"), F.col("k").alias("b"), F.col("t").alias("tb"))
+    return a.join(b, ["f", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("ta") != F.col("tb"))).select("a", "b").distinct()

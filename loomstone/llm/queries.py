@@ -158,6 +158,12 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every document whose form is written in several ways, with the first document of its form and of its writing."""
+    g = lookalikes.lookalike_groups(table(spark, d, "documents"), "doc_id", "text")
+    return g.select("doc_id", "first_of_form", "first_of_writing", F.col("n").alias("n_documents"))
+
+
 def p6_past(spark: SparkSession, d: str) -> DataFrame:
     """Each cluster of past weeks with the group that now holds most of its members, and how many."""
     past = table(spark, d, "synthesis_clusters").where(F.col("id").isNotNull())
@@ -170,7 +176,7 @@ def p6_past(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p3_turns, p4_found, p4_new_text, p5_found, p5_redacted, p5_surrogates, p6_found, p6_clusters, p6_past, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p3_turns, p4_found, p4_new_text, p5_found, p5_redacted, p5_surrogates, p6_found, p6_clusters, p6_past, p7_ids, p8_mix, p8_shares, p9_found, p9_forms, p9_groups)}
 
 
 _USABLE = """

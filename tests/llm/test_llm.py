@@ -765,6 +765,41 @@ def test_a_form_is_its_own_form(text):
     assert lookalikes.canonical_form(unicodedata.normalize("NFD", text)) == lookalikes.canonical_form(unicodedata.normalize("NFC", text))
 
 
+MORE_SAME = [("o", "\u0585"), ("A", "\u13aa"), ("H", "\U0001d407"), ("IV", "\u2163"), ("a", "\u0251"), ("a b", "a\ufe0f b"), ("ab", "a\U000e0041b"), ("\u212b", "A\u030a"), ("\uac00", "\u1100\u1161"), ("q\u0307\u0323", "q\u0323\u0307"), ("e\u0301", "e\u200b\u0301")]
+MORE_DIFFERENT = [("\u2764", "\u2764\ufe0f"), ("1\ufe0f\u20e3", "1\u20e3"), ("\U0001f3f4", "\U0001f3f4\U000e0067\U000e0062\U000e007f"), ("\u845b", "\u845b\ufe00"), ("\u2460", "1"), ("\u00bd", "1/2")]
+
+
+def test_more_forms():
+    f = lookalikes.canonical_form
+    for a, b in MORE_SAME:
+        assert f(a) == f(b), (a, b)
+    for a, b in MORE_DIFFERENT:
+        assert f(a) != f(b), (a, b)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.characters(categories=["Mn", "Mc", "Cf"]), st.sampled_from("\u1100\u1161\u11a8\uac00\u0344\u0340\u0585\U0001d407\ufe0f")), max_size=12))
+def test_no_unstable_segment_is_missed(text):
+    form = lookalikes.canonical_form(text)
+    assert lookalikes.canonical_form(form) == form and unicodedata.is_normalized("NFC", form)
+    assert lookalikes.canonical_form(unicodedata.normalize("NFD", text)) == lookalikes.canonical_form(unicodedata.normalize("NFC", text))
+    # Normalizing the whole text finds nothing more.
+    assert unicodedata.normalize("NFC", form.translate(lookalikes.properties().table)) == form
+
+
+def test_groups_and_blocks(spark):
+    rows = [(i, ["naïve", "nai\u0308ve", "na\u200bïve"][min(i % 5, 2)], "x") for i in range(60)] + [(100 + i, "copy", "x") for i in range(50)] + [(None, "naïve", "x"), (200, "\u200b", "x"), (201, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, form string")
+    g = lookalikes.lookalike_groups(df, "doc_id", "text").collect()
+    assert sorted(r.doc_id for r in g) == list(range(60)) and {r.first_of_form for r in g} == {0} and {r.n for r in g} == {60}
+    assert {r.first_of_writing for r in g} == {0, 1, 2} and len({r.form for r in g}) == 1
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if rows[a][1] != rows[b][1]}
+    for block in (7, 4_000):
+        got = [tuple(r) for r in lookalikes.lookalike_pairs(df, "doc_id", "text", block).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert lookalikes.lookalike_groups(df.limit(0), "doc_id", "text").count() == 0 == lookalikes.lookalike_pairs(df.limit(0), "doc_id", "text").count()
+
+
 def test_pairs_against_brute_force(spark):
     rng = random.Random(3)
     texts = [t for p in SAME + DIFFERENT for t in p] + [None, "", " ", "​", "copy", "copy", "copy"]

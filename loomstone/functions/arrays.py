@@ -81,3 +81,58 @@ def greedy_fill(segments: Column, budget: int) -> Column:
 
     clean = F.filter(F.transform(segments, lambda x: F.trim(x)), lambda x: x != "")
     return F.aggregate(clean, start, step)
+
+
+def typed_object(payload: Column, fields: dict[str, str | list[str]]) -> Column:
+    """A JSON object as a struct, null if it is no object or any field is not what it must be.
+
+    ``fields`` names each field's type: ``string``, ``text`` (a string that is not empty), ``boolean``, ``strings`` (an
+    array of strings only), or a list of the strings allowed. Other fields of the object do not matter.
+    """
+    v = F.try_parse_json(payload)
+
+    def typed(name: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+
+    checks, values = [F.json_object_keys(payload).isNotNull()], []
+    for name, kind in fields.items():
+        if kind == "boolean":
+            checks.append(typed(name) == "BOOLEAN")
+            values.append(F.try_variant_get(v, f"$.{name}", "boolean").alias(name))
+        elif kind == "strings":
+            items = F.try_variant_get(v, f"$.{name}", "array<variant>")
+            checks.append(typed(name).startswith("ARRAY") & F.forall(items, lambda x: F.schema_of_variant(x) == "STRING"))
+            values.append(F.transform(items, lambda x: F.try_variant_get(x, "$", "string")).alias(name))
+        else:
+            value = F.try_variant_get(v, f"$.{name}", "string")
+            checks.append(typed(name) == "STRING")
+            if isinstance(kind, list):
+                checks.append(value.isin(kind))
+            elif kind == "text":
+                checks.append(value != "")
+            values.append(value.alias(name))
+    ok = checks[0]
+    for c in checks[1:]:
+        ok = ok & F.coalesce(c, F.lit(False))
+    return F.when(ok, F.struct(*values))
+
+
+def reply_record(kind: Column, choice: Column, text: Column, transcript: Column, audio_url: Column) -> Column:
+    """What a reply is: ``{response, text, transcript, audio_url, confirms, needs_text}``.
+
+    A pressed button is its choice, and confirms unless it skips. A voice message is its transcript; without one the
+    reply is not taken and a text is asked for. All else is text. Neither of the two confirms.
+    """
+    none = F.lit(None).cast("string")
+    pressed, spoken = F.coalesce((kind == "callback") & choice.isNotNull(), F.lit(False)), F.coalesce(kind == "voice", F.lit(False))
+    return (
+        F.when(pressed, F.struct(choice.alias("response"), none.alias("text"), none.alias("transcript"), none.alias("audio_url"), choice.isin("yes", "anon").alias("confirms"), F.lit(False).alias("needs_text")))
+        .when(spoken & transcript.isNull(), F.struct(none.alias("response"), none.alias("text"), none.alias("transcript"), audio_url.alias("audio_url"), F.lit(False).alias("confirms"), F.lit(True).alias("needs_text")))
+        .when(spoken, F.struct(F.lit("voice").alias("response"), transcript.alias("text"), transcript.alias("transcript"), audio_url.alias("audio_url"), F.lit(False).alias("confirms"), F.lit(False).alias("needs_text")))
+        .otherwise(F.struct(F.lit("text").alias("response"), text.alias("text"), none.alias("transcript"), none.alias("audio_url"), F.lit(False).alias("confirms"), F.lit(False).alias("needs_text")))
+    )
+
+
+def command_of(text: Column) -> Column:
+    """The command a message gives, ``/name`` in small letters without an addressee; null for plain text."""
+    return F.when(text.startswith("/"), F.lower(F.regexp_extract(text, r"^/([A-Za-z0-9_]+)", 1)))

@@ -131,3 +131,41 @@ def prose(answers: Column) -> Column:
     return F.filter(F.transform(answers, lambda a: F.trim(F.coalesce(a["transcript"], a["text"], F.lit("")))), lambda x: x != "")
 
 
+
+
+# Questions that ask for nothing.
+BANNED_PHRASES = ["what did you work on this week", "tell me about your week", "anything interesting"]
+
+
+def question_failures(question: Column, specifics: Column, signal_text: Column, most_words: int = 80, banned: list[str] = BANNED_PHRASES) -> Column:
+    """All that is wrong with a question: too many words, no specifics, none of them in the text it asks about (whatever the
+    case; not told where there are none), a phrase that asks for nothing."""
+    low, none = F.lower(signal_text), F.size(F.coalesce(specifics, F.array().cast("array<string>"))) == 0
+    stands = F.exists(specifics, lambda s: (s != "") & F.contains(low, F.lower(s)))
+    generic = F.lit(False)
+    for p in banned:
+        generic = generic | F.contains(F.lower(question), F.lit(p))
+    checks = [
+        ("word_count", F.when(X.word_count(question) > most_words, F.lit("x"))),
+        ("no_specifics", F.when(none, F.lit("x"))),
+        ("hallucinated_specific", F.when(~none & ~F.coalesce(stands, F.lit(False)), F.lit("x"))),
+        ("generic_phrase", F.when(generic, F.lit("x"))),
+    ]
+    return all_failures(checks)
+
+
+def category(text: Column, rules: dict[str, list[str]]) -> Column:
+    """The category most of whose words stand in a text, the first of equals; null where none does: the deterministic
+    local default of a classifying provider."""
+    low = F.lower(text)
+    hits = [F.struct(sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, (name, words) in enumerate(rules.items())]
+    best = F.array_max(F.array(*hits))
+    return F.when(best["n"] > 0, best["name"])
+
+
+def brief(keyword: Column, text: Column, location: Column, language: Column, correction: Column, default_location: str, default_language: str) -> Column:
+    """A brief as JSON: blank values are the defaults, keys that are not set are left out."""
+    set_ = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.to_json(F.struct(
+        keyword.alias("focusKeyword"), F.coalesce(set_(location), F.lit(default_location)).alias("location"), F.coalesce(set_(language), F.lit(default_language)).alias("language"), text.alias("insightsText"), set_(correction).alias("correctionInstructions"),
+    ))

@@ -175,3 +175,29 @@ def export(sessions: DataFrame, events: DataFrame, allow: list[str], deny: list[
     kept = events.join(audit.where("drop_reason is null").select("session_id"), "session_id", "left_semi")
     red = kept.withColumn("text", redact(F.col("text"))).withColumn("summary", F.substring(redact(F.col("summary")), 1, 80))
     return red, audit
+
+
+# Fixed value: how the first message of a continued session begins.
+SCAFFOLD = "This session is being continued from a previous conversation that ran out of context."
+
+
+def without_scaffold(events: DataFrame, prefix: str = SCAFFOLD) -> tuple[DataFrame, DataFrame]:
+    """``events`` without the first event of each session where that is a user's text that begins with ``prefix``, and
+    ``(session_id, stripped)``. The first event is the smallest by ts, path and uuid."""
+    at = F.struct("ts", "path", "uuid")
+    first = events.groupBy("session_id").agg(F.min(F.struct("ts", "path", "uuid", "kind", "text")).alias("m"))
+    hit = F.coalesce((F.col("m.kind") == "user_text") & F.startswith(F.col("m.text"), F.lit(prefix)), F.lit(False))
+    marked = first.select("session_id", hit.alias("stripped"), F.struct("m.ts", "m.path", "m.uuid").alias("first"))
+    gone = marked.where("stripped").select("session_id", "first")
+    kept = events.join(gone, (events["session_id"] == gone["session_id"]) & at.eqNullSafe(F.col("first")), "left_anti")
+    return kept, marked.select("session_id", "stripped")
+
+
+def composed(events: DataFrame, *by: str) -> DataFrame:
+    """``(*by, text)``: what was said and done, line by line in order of ts, path and uuid with an empty line between.
+
+    One value for each group: by session as a reader wants it, by session and day where sessions have no bound.
+    """
+    kind = F.regexp_replace(F.lower(F.trim("kind")), r"[-\s]", "_")
+    lines = events.select(*by, F.struct("ts", "path", "uuid", transcript_line(kind, F.col("text"), F.col("tool"), F.col("summary")).alias("line")).alias("l")).where("l.line is not null")
+    return lines.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n\n").alias("text"))

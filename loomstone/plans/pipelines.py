@@ -425,3 +425,135 @@ def replayed_waits(t: Tables) -> DataFrame:
     name = F.when(F.col("event_type") == "view", "asked").when(F.col("event_type") == "purchase", "reply").when(F.col("event_type") == "error", "skip").otherwise(F.col("event_type"))
     x = waits.replay(e.select(F.col("user_id").cast("string").alias("key"), "ts", name.alias("name"), F.col("event_id").cast("string").alias("ref"), F.col("props").alias("text")))
     return x.select("key", "ref", "outcome", F.col("at").cast("timestamp_ntz").alias("decided_at"), "text")
+
+
+# --- payloads, replies, gates ---------------------------------------------------------------
+
+
+@query("""WITH q AS (SELECT id, unnest(questions) AS q FROM interview_sessions WHERE questions IS NOT NULL), x AS (SELECT id, q.index AS n, q.question_text AS question_text, q.signal_id AS signal_id, q.question_type AS question_type FROM q)
+          SELECT DISTINCT id, n, CASE WHEN n % 4 = 1 OR question_text IS NULL OR coalesce(signal_id, '') = '' OR coalesce(question_type, '') NOT IN ('confirmation', 'fallback') THEN NULL ELSE question_text END AS question_text FROM x""")
+def typed_payloads(t: Tables) -> DataFrame:
+    """Answers of providers as typed objects, or nothing where any field is not what it must be."""
+    q = t.interview_sessions.where("questions is not null").select("id", F.explode("questions").alias("q")).select("id", F.col("q.index").alias("n"), "q.question_text", "q.signal_id", "q.question_type")
+    good = F.to_json(F.struct("question_text", "signal_id", "question_type", F.array(F.lit("a")).alias("specifics"), F.lit(True).alias("none")))
+    bad = F.to_json(F.struct("question_text", "signal_id", "question_type", F.array(F.lit(1)).alias("specifics"), F.lit(True).alias("none")))
+    v = A.typed_object(F.when(F.col("n") % 4 == 1, bad).otherwise(good), {"question_text": "string", "signal_id": "text", "question_type": ["confirmation", "fallback"], "specifics": "strings", "none": "boolean"})
+    return q.select("id", "n", v["question_text"].alias("question_text")).distinct()
+
+
+@query("""WITH a AS (SELECT id, unnest(answers) AS a FROM interview_sessions WHERE answers IS NOT NULL),
+          r AS (SELECT id, a.question_index AS n, a.response AS choice, a.text AS text, a.transcript AS transcript, a.audio_url AS audio_url, CASE WHEN a.response = 'answered' AND a.audio_url IS NOT NULL THEN 'voice' WHEN a.response = 'answered' THEN 'text' ELSE 'callback' END AS kind FROM a)
+          SELECT DISTINCT id, n, CASE WHEN kind = 'callback' AND choice IS NOT NULL THEN choice WHEN kind = 'voice' AND transcript IS NULL THEN NULL WHEN kind = 'voice' THEN 'voice' ELSE 'text' END AS response,
+                 CASE WHEN kind = 'callback' AND choice IS NOT NULL THEN NULL WHEN kind = 'voice' THEN transcript ELSE text END AS said, kind = 'callback' AND coalesce(choice IN ('yes', 'anon'), false) AS confirms, kind = 'voice' AND transcript IS NULL AS needs_text FROM r""")
+def reply_records(t: Tables) -> DataFrame:
+    """Replies by button, voice and text in one form."""
+    a = t.interview_sessions.where("answers is not null").select("id", F.explode("answers").alias("a"))
+    kind = F.when((F.col("a.response") == "answered") & F.col("a.audio_url").isNotNull(), "voice").when(F.col("a.response") == "answered", "text").otherwise("callback")
+    r = A.reply_record(kind, F.col("a.response"), F.col("a.text"), F.col("a.transcript"), F.col("a.audio_url"))
+    return a.select("id", F.col("a.question_index").alias("n"), r.alias("r")).select("id", "n", "r.response", F.col("r.text").alias("said"), "r.confirms", "r.needs_text").distinct()
+
+
+@query(f"""WITH q AS (SELECT DISTINCT s.id, q.index AS n, q.question_text AS question, q.signal_id AS signal_id FROM (SELECT id, unnest(questions) AS q FROM interview_sessions WHERE questions IS NOT NULL) s),
+           sig AS (SELECT id, max(redacted_text) AS text, max(topic_tags) AS tags FROM capture_signals WHERE id IS NOT NULL GROUP BY 1),
+           x AS (SELECT q.*, sig.text, coalesce(sig.tags, []) AS tags FROM q LEFT JOIN sig ON sig.id = q.signal_id),
+           f AS (SELECT id, n, CASE WHEN len(list_filter(string_split({sq('question')}, ' '), lambda w: w <> '')) > 20 THEN 'word_count' END AS a, CASE WHEN len(tags) = 0 THEN 'no_specifics' END AS b,
+                        CASE WHEN len(tags) > 0 AND len(list_filter(tags, lambda s: s <> '' AND contains(coalesce(lower(text), ''), lower(s)))) = 0 THEN 'hallucinated_specific' END AS c,
+                        CASE WHEN contains(lower(question), 'last friday') THEN 'generic_phrase' END AS d FROM x WHERE question IS NOT NULL)
+           SELECT id, n, concat_ws(',', a, b, c, d) AS failures FROM f""")
+def question_gate(t: Tables) -> DataFrame:
+    """All that is wrong with each question, held against the signal it asks about."""
+    q = t.interview_sessions.where("questions is not null").select("id", F.explode("questions").alias("q")).select("id", F.col("q.index").alias("n"), F.col("q.question_text").alias("question"), "q.signal_id").distinct()
+    s = t.capture_signals.join(q.select(F.col("signal_id").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.max("redacted_text").alias("text"), F.max("topic_tags").alias("tags"))
+    x = q.where("question is not null").join(s.withColumnRenamed("id", "signal_id"), "signal_id", "left")
+    fails = drafts.question_failures(F.col("question"), F.coalesce("tags", F.array().cast("array<string>")), F.col("text"), 20, ["last friday"])
+    return x.select("id", "n", F.array_join(fails, ",").alias("failures"))
+
+
+CATEGORIES = {"security": ["password", "phishing", "backup"], "books": ["payroll", "invoice", "bank"], "devices": ["laptop", "printer", "print server"]}
+
+
+@query("""WITH h AS (SELECT doc_id, contains(lower(text), 'password')::INT + contains(lower(text), 'phishing')::INT + contains(lower(text), 'backup')::INT AS a,
+                 contains(lower(text), 'payroll')::INT + contains(lower(text), 'invoice')::INT + contains(lower(text), 'bank')::INT AS b,
+                 contains(lower(text), 'laptop')::INT + contains(lower(text), 'printer')::INT + contains(lower(text), 'print server')::INT AS c FROM documents WHERE text IS NOT NULL)
+          SELECT doc_id, CASE WHEN a = 0 AND b = 0 AND c = 0 THEN NULL WHEN a >= b AND a >= c THEN 'security' WHEN b >= c THEN 'books' ELSE 'devices' END AS category FROM h""")
+def document_categories(t: Tables) -> DataFrame:
+    return t.documents.where("text is not null").select("doc_id", drafts.category(F.col("text"), CATEGORIES).alias("category"))
+
+
+@query("""SELECT DISTINCT id, '{"focusKeyword":' || to_json(primary_keyword) || ',"location":"' || CASE WHEN trim(coalesce(pillar, '')) = '' THEN 'Canada' ELSE trim(pillar) END || '","language":"en","insightsText":' || to_json(proposed_title)
+                 || CASE WHEN low_corpus_confidence THEN ',"correctionInstructions":"more sources"' ELSE '' END || '}' AS brief FROM article_candidates WHERE primary_keyword IS NOT NULL AND proposed_title IS NOT NULL""")
+def briefs(t: Tables) -> DataFrame:
+    """Briefs as JSON with defaults for blank values and without keys that are not set."""
+    c = t.article_candidates.where("primary_keyword is not null and proposed_title is not null")
+    correction = F.when(F.col("low_corpus_confidence"), " more sources ").otherwise(" ")
+    return c.select("id", drafts.brief(F.col("primary_keyword"), F.col("proposed_title"), F.col("pillar"), F.lit(" "), correction, "Canada", "en").alias("brief")).distinct()
+
+
+# --- transcripts as texts, summaries of runs -------------------------------------------------
+
+
+@query(f"""WITH l AS (SELECT session_id, CAST(ts AS DATE) AS day, ts, path, uuid, CASE {KIND} WHEN 'user_text' THEN 'USER: ' || text WHEN 'assistant_text' THEN 'ASSISTANT: ' || text WHEN 'tool_call' THEN CASE WHEN summary <> '' THEN 'TOOL[' || tool || ']: ' || summary END END AS line
+                      FROM session_events WHERE depth = 0 AND session_id IS NOT NULL AND ts IS NOT NULL AND path IS NOT NULL AND uuid IS NOT NULL)
+           SELECT session_id, day, string_agg(line, chr(10) || chr(10) ORDER BY ts, path, uuid, line) AS text FROM l WHERE line IS NOT NULL GROUP BY 1, 2""")
+def transcript_days(t: Tables) -> DataFrame:
+    """The transcript of each session and day as one text."""
+    e = t.session_events.where("depth = 0 and session_id is not null and ts is not null and path is not null and uuid is not null").withColumn("day", F.to_date("ts"))
+    return S.composed(e, "session_id", "day")
+
+
+@query("""WITH e AS (SELECT session_id, ts, path, uuid, kind, text, row_number() OVER (PARTITION BY session_id ORDER BY ts, path, uuid, kind NULLS FIRST, text NULLS FIRST) AS rn FROM session_events WHERE session_id IS NOT NULL AND ts IS NOT NULL AND path IS NOT NULL AND uuid IS NOT NULL),
+          f AS (SELECT session_id, ts, path, uuid, coalesce(kind = 'user_text' AND starts_with(text, 'Can you'), false) AS stripped FROM e WHERE rn = 1)
+          SELECT e.session_id, any_value(f.stripped) AS stripped, count(*) FILTER (NOT (f.stripped AND e.ts = f.ts AND e.path = f.path AND e.uuid = f.uuid)) AS n FROM e JOIN f USING (session_id) GROUP BY 1""")
+def continued_sessions(t: Tables) -> DataFrame:
+    """Sessions without the message that only continues an earlier one, and how many events are left."""
+    e = t.session_events.where("session_id is not null and ts is not null and path is not null and uuid is not null")
+    kept, marked = S.without_scaffold(e, "Can you")
+    n = kept.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    return marked.join(n, "session_id", "left").select("session_id", "stripped", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"""WITH {_LINES}, out AS (SELECT path, count(*) AS n FROM good WHERE NOT meta AND (NOT is_user OR trim(text, ' ') <> '') GROUP BY 1)
+           SELECT path, lines_read AS lines_in, coalesce(n, 0) AS events_out, lines_failed AS failures, CASE WHEN lines_read > 0 THEN printf('%.1f%%', round(100.0 * coalesce(n, 0) / lines_read, 1)) ELSE 'n/a' END AS ratio, coalesce(n, 0) = 0 AS empty FROM files LEFT JOIN out USING (path)""")
+def compression_report(t: Tables) -> DataFrame:
+    """Lines in, events out, failures and their ratio for each transcript, and which gave no event at all."""
+    lines, stats = files.parsed_lines(_raw_lines(t))
+    out = S.kept_lines(lines).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    ratio = F.when(F.col("lines_read") > 0, F.concat(F.format_string("%.1f", F.round(n * 100.0 / F.col("lines_read"), 1)), F.lit("%"))).otherwise("n/a")
+    return stats.join(out, "path", "left").select("path", F.col("lines_read").alias("lines_in"), n.alias("events_out"), F.col("lines_failed").alias("failures"), ratio.alias("ratio"), (n == 0).alias("empty"))
+
+
+@query(f"""WITH f AS (SELECT session_id, unnest([text, summary]) AS field FROM session_events WHERE session_id IS NOT NULL)
+           SELECT session_id, count(field) AS fields_scanned, coalesce(sum(len(regexp_extract_all(field, '{EMAIL}'))), 0)::BIGINT AS emails FROM f GROUP BY 1""")
+def redaction_scan(t: Tables) -> DataFrame:
+    """Text fields scanned in each session, and what was replaced in them."""
+    f = t.session_events.where("session_id is not null").select("session_id", F.explode(F.array("text", "summary")).alias("field"))
+    return f.groupBy("session_id").agg(F.count("field").alias("fields_scanned"), F.coalesce(F.sum(F.regexp_count("field", F.lit(EMAIL))), F.lit(0)).cast("long").alias("emails"))
+
+
+@query("""WITH c AS (SELECT DISTINCT id AS candidate_id, 1 AS attempt FROM article_candidates WHERE id IS NOT NULL),
+          s AS (SELECT candidate_id, dense_rank() OVER (PARTITION BY candidate_id ORDER BY id) AS attempt, status FROM interview_sessions WHERE candidate_id IS NOT NULL)
+          SELECT c.candidate_id, c.attempt FROM c ANTI JOIN (SELECT candidate_id, attempt FROM s WHERE status = 'completed') d ON d.candidate_id = c.candidate_id AND d.attempt = c.attempt""")
+def first_attempts_open(t: Tables) -> DataFrame:
+    """Candidates without a completed first attempt: an anti-join on candidate and attempt."""
+    from pyspark.sql import Window
+
+    c = t.article_candidates.where("id is not null").select(F.col("id").alias("candidate_id"), F.lit(1).alias("attempt")).distinct()
+    w = Window.partitionBy("candidate_id").orderBy("id")
+    s = t.interview_sessions.where("candidate_id is not null").withColumn("attempt", F.dense_rank().over(w)).where("status = 'completed'")
+    return c.join(s.select("candidate_id", "attempt"), ["candidate_id", "attempt"], "left_anti")
+
+
+@query("""SELECT i.id AS session_id, c.id AS candidate_id, count(*) AS n FROM interview_sessions i JOIN article_candidates c ON c.id = i.candidate_id AND c.status = CASE i.status WHEN 'completed' THEN 'interview_complete' ELSE 'awaiting_interview' END GROUP BY ALL""")
+def sessions_in_step(t: Tables) -> DataFrame:
+    """Interviews whose candidate is in the state that theirs asks for: a join on candidate and state."""
+    i = t.interview_sessions.select(F.col("id").alias("session_id"), "candidate_id", F.when(F.col("status") == "completed", "interview_complete").otherwise("awaiting_interview").alias("status"))
+    return i.join(t.article_candidates.select(F.col("id").alias("candidate_id"), "status"), ["candidate_id", "status"]).groupBy("session_id", "candidate_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type END AS command FROM events""")
+def chat_commands(t: Tables) -> DataFrame:
+    """Messages that are commands, apart from plain text."""
+    n = F.col("event_id") % 3
+    text = F.when(n == 0, F.concat(F.lit("/"), F.upper("event_type"), F.lit("@bot now"))).when(n == 1, F.concat(F.lit(" /"), "event_type")).otherwise(F.col("event_type"))
+    return t.events.select("event_id", A.command_of(text).alias("command"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -246,3 +248,27 @@ def discover_sessions(spark: SparkSession, root: str, max_depth: int = 4) -> Dat
     folders = folders.where("folder is not null").groupBy("folder").agg(F.bool_or("is_folder").alias("is_folder")).where((depth <= max_depth) & F.col("is_folder")).select("folder")
     texts = scan.where(side).select(F.regexp_replace("path", r"\.json$", "").alias("folder"), F.decode("content", "UTF-8").alias("meta"))
     return folders.join(texts, "folder", "left").select(F.regexp_replace("folder", "^file:/+", "/").alias("folder"), "meta")
+
+
+class ConfigError(ValueError):
+    """A settings file is missing or not what it must be."""
+
+
+def load_config(spark: SparkSession, files: dict[str, str], schemas: dict[str, dict[str, type]]) -> dict[str, dict]:
+    """Settings by name from one JSON file each, from any file system; a missing file, a missing key or a value of another type is
+    an error, never a default. A list must hold strings only."""
+    out = {}
+    for name, path in files.items():
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            raise ConfigError(f"{name}: {path} is missing")
+        try:
+            got = json.loads(spark.read.text(path, wholetext=True).first()[0])
+        except json.JSONDecodeError as e:
+            raise ConfigError(f"{name}: {e}") from e
+        for key, kind in schemas[name].items():
+            value = got.get(key) if isinstance(got, dict) else None
+            if not isinstance(value, kind) or kind is list and not all(isinstance(x, str) for x in value):
+                raise ConfigError(f"{name}: {key} is no {kind.__name__}")
+        out[name] = {k: got[k] for k in schemas[name]}
+    return out

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
 _leaving: set[str] = set()
@@ -76,3 +78,22 @@ def cut(df: DataFrame, name: str) -> Table:
         _leaving.add(own)
         _delete(spark, own, at_exit=True)
     return Table(spark, path)
+
+
+def memo(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A step that runs once: the table at ``path`` if it was written whole before, else what ``build`` gives, written
+    there. A job that is started again goes on behind its finished steps."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def emit(events: DataFrame, path: str) -> None:
+    """Append events ``(name, payload)`` to the outbox at ``path``, each once: its id is the hash of both."""
+    spark = events.sparkSession
+    named = events.select(F.sha2(F.concat_ws("|", "name", "payload"), 256).alias("event_id"), "name", "payload").dropDuplicates(["event_id"])
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        named = named.join(spark.read.parquet(path).select("event_id"), "event_id", "left_anti")
+    named.write.mode("append").parquet(path)

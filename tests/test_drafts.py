@@ -114,3 +114,34 @@ def test_discovery_and_folders(spark, tmp_path):
 def test_dispatches(spark):
     lines = spark.createDataFrame([("p", "u", [("tool_use", None, "Agent", "t1", '{"prompt":"Do it"}'), ("tool_use", None, "Read", "t2", "{}")])], "path string, uuid string, blocks array<struct<type string, text string, name string, id string, input string>>")
     assert [tuple(r) for r in sessions.dispatches(lines).collect()] == [("p", "u", "t1", "Do it")]
+
+
+def test_question_failures(spark):
+    def fails(question, specifics, text):
+        df = spark.createDataFrame([(question, specifics, text)], "q string, s array<string>, t string")
+        return df.select(drafts.question_failures(F.col("q"), F.col("s"), F.col("t"), 5).alias("f")).first().f
+
+    assert fails("How was the VPN?", ["vpn"], "The VPN broke") == []
+    assert fails("one two three four five six", ["", "x"], "none") == ["word_count", "hallucinated_specific"]
+    assert fails("Anything interesting?", [], "t") == ["no_specifics", "generic_phrase"] and fails("q", None, None) == ["no_specifics"]
+    assert fails("q", ["a"], None) == ["hallucinated_specific"]
+
+
+def test_category_and_brief(spark):
+    rules = {"one": ["a1", "a2"], "two": ["b1", "b2"]}
+    assert run(spark, "B1 and b2 and a1", "string", drafts.category(V, rules)) == "two" and run(spark, "b1 a1", "string", drafts.category(V, rules)) == "one" and run(spark, "c", "string", drafts.category(V, rules)) is None
+    made = run(spark, " x ", "string", drafts.brief(F.lit("k"), F.lit("t"), V, F.lit(" "), F.lit(None).cast("string"), "Here", "en"))
+    assert made == '{"focusKeyword":"k","location":"x","language":"en","insightsText":"t"}'
+
+
+def test_scaffold_and_composition(spark):
+    import datetime as dt
+
+    at = lambda n: dt.datetime(2026, 1, 1, 0, n)
+    rows = [("s", at(0), [0], "a", "user_text", sessions.SCAFFOLD + " It went on.", None, None), ("s", at(1), [1], "b", "assistant_text", "yes", None, None), ("s", at(2), [2], "c", "tool_call", None, "Read", "/f"), ("s", at(3), [3], "d", "tool_call", None, "Read", None),
+            ("t", at(0), [0], "e", "user_text", "hi", None, None), ("t", at(1), [1], "f", "user_text", sessions.SCAFFOLD, None, None), ("u", at(0), [0], "g", "assistant_text", sessions.SCAFFOLD, None, None)]
+    e = spark.createDataFrame(rows, "session_id string, ts timestamp, path array<int>, uuid string, kind string, text string, tool string, summary string")
+    kept, marked = sessions.without_scaffold(e)
+    assert sorted(r.uuid for r in kept.collect()) == list("bcdefg") and {r.session_id: r.stripped for r in marked.collect()} == {"s": True, "t": False, "u": False}
+    assert {r.session_id: r.text for r in sessions.composed(kept, "session_id").collect()}["s"] == "ASSISTANT: yes\n\nTOOL[Read]: /f"
+    assert sessions.without_scaffold(e.limit(0))[0].count() == 0

@@ -223,3 +223,29 @@ def test_provider_calls_are_made_again(spark):
     with pytest.raises(OSError):
         calls.clear()
         chunking.with_attempts(provider, 1, 0)(["a"])
+
+
+def test_typed_objects(spark):
+    fields = {"a": "string", "b": "text", "c": "boolean", "d": "strings", "e": ["x", "y"]}
+    good = '{"a":"","b":"t","c":false,"d":["p"],"e":"y","more":1}'
+    r = one(spark, good, "string", A.typed_object(V, fields))
+    assert (r.a, r.b, r.c, r.d, r.e) == ("", "t", False, ["p"], "y")
+    for old, new in (('"a":""', '"a":1'), ('"b":"t"', '"b":""'), ('"c":false', '"c":"false"'), ('["p"]', '["p",1]'), ('["p"]', '"p"'), ('"e":"y"', '"e":"z"'), ('"e":"y",', ""), ('"a":""', '"a":null')):
+        assert one(spark, good.replace(old, new), "string", A.typed_object(V, fields)) is None, new
+    for bad in ("[]", "null", "no json", "", None, '"x"'):
+        assert one(spark, bad, "string", A.typed_object(V, fields)) is None
+    assert one(spark, good.replace('["p"]', "[]"), "string", A.typed_object(V, fields)).d == []
+
+
+def test_replies_and_commands(spark):
+    def reply(kind, choice=None, text=None, transcript=None, url=None):
+        df = spark.createDataFrame([(kind, choice, text, transcript, url)], "k string, c string, t string, s string, u string")
+        r = df.select(A.reply_record(*map(F.col, "kctsu")).alias("r")).first().r
+        return r.response, r.text, r.transcript, r.audio_url, r.confirms, r.needs_text
+
+    assert reply("callback", "anon") == ("anon", None, None, None, True, False) and reply("callback", "skip")[4] is False
+    assert reply("callback", None, "t") == ("text", "t", None, None, False, False)
+    assert reply("voice", None, None, "said", "u") == ("voice", "said", "said", "u", False, False)
+    assert reply("voice", None, None, None, "u") == (None, None, None, "u", False, True)
+    assert reply("text", None, "yes") == ("text", "yes", None, None, False, False) and reply(None)[0] == "text"
+    assert one(spark, "/Skip@bot x", "string", A.command_of(V)) == "skip" and one(spark, " /skip", "string", A.command_of(V)) is None and one(spark, None, "string", A.command_of(V)) is None

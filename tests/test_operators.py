@@ -368,3 +368,27 @@ def test_release(spark):
     assert t.df.count() == 3 and os.path.isdir(t.path.replace("file:", ""))
     t.drop()
     assert not os.path.exists(t.path.replace("file:", ""))
+
+
+def test_memo_and_outbox(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    assert [storage.memo(spark, str(tmp_path / "step"), build).count() for _ in range(2)] == [3, 3] and built == [1]
+    e = spark.createDataFrame([("asked", "1"), ("asked", "1"), ("asked", "2")], "name string, payload string")
+    for _ in range(2):
+        storage.emit(e, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"allow":["/x"],"n":2,"more":1}')
+    (tmp_path / "b.json").write_text("{broken")
+    a, b = str(tmp_path / "a.json"), str(tmp_path / "b.json")
+    assert files.load_config(spark, {"a": a}, {"a": {"allow": list, "n": int}}) == {"a": {"allow": ["/x"], "n": 2}}
+    for path, schema in ((str(tmp_path / "none.json"), {}), (b, {}), (a, {"gone": list}), (a, {"n": str}), (a, {"n": list})):
+        with pytest.raises(files.ConfigError):
+            files.load_config(spark, {"c": path}, {"c": schema})

@@ -75,11 +75,10 @@ def _blocks(df: DataFrame, key: str, vector: str, min_cosine: float, what: str,
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(p=_unit(b["v"]) @ direction if len(b) else np.zeros(0))
+            yield pd.DataFrame({"p": _unit(b["v"]) @ direction if len(b) else np.zeros(0)})
 
-    placed = cut(rows.mapInPandas(project, f"k {kind}, v array<float>, p double"), "placed").df
     slices = max(math.ceil(n / size), min(8, math.ceil(n / FEW)))
-    inner = placed.approxQuantile("p", [i / slices for i in range(1, slices)], 1 / (20 * slices)) if slices > 1 else []
+    inner = rows.select("v").mapInPandas(project, "p double").approxQuantile("p", [i / slices for i in range(1, slices)], 1 / (20 * slices)) if slices > 1 else []
     bounds = np.array(sorted(inner))
     low, high = np.r_[-np.inf, bounds], np.r_[bounds, np.inf]
     reach = math.sqrt(max(0.0, 2 - 2 * max(-1.0, min(1.0, min_cosine)))) + 1e-9
@@ -88,13 +87,13 @@ def _blocks(df: DataFrame, key: str, vector: str, min_cosine: float, what: str,
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = b["p"].to_numpy()
+            x = _unit(b["v"]) @ direction if len(b) else np.zeros(0)
             a, z = np.searchsorted(bounds, x, "left"), np.searchsorted(bounds, x, "right")
             # One place on the line may hold many rows and so several bounds: its rows spread over these slices.
             at = a + b["salt"].to_numpy() % (z - a + 1)
             yield pd.DataFrame({"k": b["k"], "v": b["v"], "slice": at.astype(np.int32), "first": first[at].astype(np.int32), "last": last[at].astype(np.int32)})
 
-    salted = placed.select("k", "v", "p", F.pmod(F.xxhash64("k"), F.lit(1 << 30)).cast("int").alias("salt"))
+    salted = rows.select("k", "v", F.pmod(F.xxhash64("k"), F.lit(1 << 30)).cast("int").alias("salt"))
     routed = salted.mapInPandas(route, f"k {kind}, v array<float>, slice int, first int, last int")
     met = routed.select("k", "v", "slice", F.explode(F.sequence("first", "last")).alias("other"))
     sent = met.select("k", "v", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), (F.col("slice") > F.col("other")).alias("right"))
@@ -123,28 +122,28 @@ def _blocks(df: DataFrame, key: str, vector: str, min_cosine: float, what: str,
             return pd.DataFrame({"a": met.index, "n": met.to_numpy()})
         names, at = np.unique(np.concatenate([ka, kb]), return_inverse=True)  # in order, so the smallest is the first
         a, b = at[i], at[len(ka) + j]
-        low = np.arange(len(names))
-        while True:
-            before = low.copy()
-            np.minimum.at(low, a, low[b])
-            np.minimum.at(low, b, low[a])
-            low = low[low]
-            if (low == before).all():
-                break
+        low = _smallest(len(names), a, b)
         tied = np.nonzero(low != np.arange(len(names)))[0]
         return pd.DataFrame({"a": names[low[tied]], "b": names[tied]})
 
     return sent.groupBy("i", "j").applyInPandas(multiply, out_schema)
 
 
+FEW_EDGES = 200_000
+"""So many edges are joined in one task; more take rounds over the cluster."""
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)``: the smallest node each node is joined to, directly or through others.
 
     Alternating large and small stars until only stars are left: about as many rounds as the logarithm
     of the longest path; a round's table is written, so lineage stays short and a lost executor repeats one round at most.
+    At most ``FEW_EDGES`` edges are joined in one task instead, with the same result.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     table = cut(e, "edges")
+    if table.df.count() <= FEW_EDGES:
+        return _joined_at_once(table.df)
     while not _stars(table.df):
         e = table.df
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -160,10 +159,40 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _joined_at_once(e: DataFrame) -> DataFrame:
+    kind = e.schema["u"].dataType.simpleString()
+    ship(e.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            pairs = pd.concat(parts)
+            names, at = np.unique(np.concatenate([pairs["u"].to_numpy(), pairs["v"].to_numpy()]), return_inverse=True)
+            yield pd.DataFrame({"node": names, "root": names[_smallest(len(names), at[: len(pairs)], at[len(pairs) :])]})
+
+    return e.coalesce(1).mapInPandas(run, f"node {kind}, root {kind}")
+
+
+def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each of the nodes ``0..n-1`` the smallest that the edges ``(a, b)`` join it to."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        # Edges between roots: the greater root hangs on the smaller one, then paths are halved.
+        x, y = low[a], low[b]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while not (low[low] == low).all():
+            low = low[low]
+        if (low == before).all():
+            return low
+
+
 def _stars(e: DataFrame) -> bool:
     """Whether every node hangs on one root that hangs on none."""
-    n = e.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("u")).first()
-    return n.n == n.u and e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi").limit(1).count() == 0
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("below")), F.struct(F.col("v").alias("node"), F.lit(0).alias("below")))).alias("x")).select("x.*")
+    # A node that stands below another, and more than once, is no leaf of a star.
+    bad = ends.groupBy("node").agg(F.sum("below").alias("n"), F.min("below").alias("root")).where((F.col("n") > 1) | (F.col("n") == 1) & (F.col("root") == 0))
+    return bad.limit(1).count() == 0
 
 
 def clusters(df: DataFrame, key: str, vector: str, min_cosine: float, least: int = 3) -> DataFrame:

@@ -64,11 +64,26 @@ def test_chain_of_four_and_a_lone_point(spark):
     assert got == [(0, 0, 4), (0, 1, 4), (0, 2, 4), (0, 3, 4)]
 
 
-def test_components_of_a_long_path(spark):
+def test_components_of_a_long_path(spark, monkeypatch):
     e = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a int, b int")
-    got = {r.node: r.root for r in similarity.components(e).collect()}
-    assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
-    assert similarity.components(e.limit(0)).count() == 0
+    names = e.selectExpr("concat('n', 1000 + a) AS a", "concat('n', 1000 + b) AS b")
+    for few in (similarity.FEW_EDGES, 0):  # in one task, and by rounds
+        monkeypatch.setattr(similarity, "FEW_EDGES", few)
+        got = {r.node: r.root for r in similarity.components(e).collect()}
+        assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+        assert {r.node: r.root for r in similarity.components(names).collect()}["n1200"] == "n1000"
+        assert similarity.components(e.limit(0)).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=60))
+def test_smallest_of_random_edges(pairs):
+    low = list(range(31))
+    for _ in range(31):
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    a, b = (np.array([p[i] for p in pairs], int) for i in (0, 1))
+    assert similarity._smallest(31, a, b).tolist() == low
 
 
 def test_score_breaks_ties_by_id(spark):

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import Table, cut
+from loomstone.llm.common import cut
+from loomstone.operators.similarity import components
 
 DIM = 128
 SAMPLE = 49_152
@@ -475,32 +476,12 @@ def _jump(up: np.ndarray, at: np.ndarray) -> np.ndarray:
         r = s
 
 
-def smallest_labels(edges: DataFrame, name: str = "labels") -> DataFrame:
-    """``(node, label)`` of every node of ``edges (u, v)``: the smallest node it is joined to.
+def smallest_labels(edges: DataFrame) -> DataFrame:
+    """``(node, label)`` of every node of ``edges (u, v)`` but the smallest of each group: that smallest one.
 
-    Minimum labels are propagated to convergence by alternating star steps: every node hands the
-    smallest neighbour it knows to its other neighbours, so paths shorten and the steps are about as
-    many as the logarithm of the longest path. Each step's table is written, the one before it dropped.
+    Minimum labels are propagated to convergence (see ``components``).
     """
-    e = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    while not _stars(e.df):
-        # Large star: the greater neighbours of u are tied to the smallest one.
-        both = e.df.unionByName(e.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: u and its smaller neighbours are tied to the smallest one.
-        m2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m2, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        new = cut(small.select("x.u", "x.v").where("u != v").distinct(), name)
-        e.drop()
-        e = new
-    return e.df.select(F.col("u").alias("node"), F.col("v").alias("label"))
-
-
-def _stars(e: DataFrame) -> bool:
-    """Whether every node hangs on one root that hangs on none."""
-    n = e.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("u")).first()
-    return n.n == n.u and e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi").limit(1).count() == 0
+    return components(edges.where("u != v"), "u", "v").where("node != root").withColumnRenamed("root", "label")
 
 
 def clusters(v: Vectors, min_cosine: float, trees: int = TREES, visits: int = VISITS, leaf: int = LEAF, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import tokenizer_dir
+from loomstone.llm.common import by_bytes, tokenizer_dir
 
 # Fixed value: the public word pattern of the 50k byte-level vocabularies.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -171,7 +171,7 @@ def encode(df: DataFrame, text: str, key: str, vocab: str | None = None, counts_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in (part for batch in batches for part in by_bytes(batch, 1)):
             ids = enc.encode_all(b.column(1).to_pylist())
             v = pa.array([len(x) for x in ids], pa.int64()) if counts_only else pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), v], ["k", "n_tokens" if counts_only else "ids"])

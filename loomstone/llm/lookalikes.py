@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import cut
+from loomstone.llm.common import by_bytes, cut
 
 # Letters drawn like a Latin letter in common fonts, with that letter.
 LOOKALIKES = dict(
@@ -175,7 +175,7 @@ def canonical(df: DataFrame, key: str, text: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in by_bytes(batch, 1)):
             forms = [canonical_form(t) for t in b.column(1).to_pylist()]
             seen = [bool(f) and not _blank.match(f) for f in forms]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forms, pa.string()), pa.array(seen, pa.bool_())], ["k", "form", "visible"])
@@ -190,7 +190,7 @@ def _digests(df: DataFrame, key: str, text: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in by_bytes(batch, 1)):
             keys, fs, ts = [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 form = canonical_form(t)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm import surrogates
-from loomstone.llm.common import cut
+from loomstone.llm.common import by_bytes, cut
 from loomstone.llm.surrogates import luhn
 
 KINDS = ("email", "phone", "sin", "cc", "ip", "address", "person")
@@ -394,7 +394,8 @@ def _mapped(df: DataFrame, key: str, text: str, model: NameModel, schema: str, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from each(b, shared.value)
+            for part in by_bytes(b, 1):
+                yield from each(part, shared.value)
 
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
 

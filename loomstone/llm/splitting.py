@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.llm.common import by_bytes
+
 MAX_WORDS, MAX_CHARS, OVERLAP_WORDS, OVERLAP_CHARS = 800, 6_000, 100, 750
 
 WORD = re.compile(r"[^ \t\r\n]+")
@@ -119,7 +121,7 @@ def split(df: DataFrame, key: str, text: str, max_words: int = MAX_WORDS, max_ch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["k", "piece_no", "n_pieces", "start", "own_start", "end", "n_words", "piece"]
-        for b in batches:
+        for b in (part for batch in batches for part in by_bytes(batch, 1)):
             cols: list[list] = [[] for _ in names]
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 pieces = bisect(t, max_words, max_chars, overlap_words, overlap_chars)

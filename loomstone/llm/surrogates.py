@@ -344,7 +344,11 @@ def put_together(pieces: list[Piece], given: dict[tuple[str, str], str], key: by
 # --- over tables ---------------------------------------------------------------------------
 
 
-def assign(parts: DataFrame, key: bytes) -> DataFrame:
+FEW_PARTS = 200_000
+"""So many parts get their surrogates in one task; more take rounds over the cluster, with the same result."""
+
+
+def assign(parts: DataFrame, key: bytes, few: int = FEW_PARTS) -> DataFrame:
     """``(cls, part, s)``: of each distinct part ``(cls, part)`` its surrogate, no other part's and no real part's.
 
     Parts whose surrogates meet keep the one of the smallest attempt and part; the others, and those that met a real
@@ -357,6 +361,13 @@ def assign(parts: DataFrame, key: bytes) -> DataFrame:
             made = [part_surrogate(c, p, key, a) for c, p, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], ["cls", "part", "attempt", "s"])
 
+    def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = sorted({(c, p) for b in batches for c, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())})
+        made = settled(every, key)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in every], pa.string()), pa.array([x[1] for x in every], pa.string()), pa.array([made[x] for x in every], pa.string())], ["cls", "part", "s"])
+
+    if real.df.count() <= few:
+        return real.df.coalesce(1).mapInArrow(at_once, "cls string, part string, s string")
     schema = "cls string, part string, attempt int, s string"
     table = cut(real.df.withColumn("attempt", F.lit(0)).mapInArrow(derive, schema), "surrogates")
     taken = real.df.select("cls", F.col("part").alias("s"), F.lit(True).alias("taken"))
@@ -377,6 +388,24 @@ def assign(parts: DataFrame, key: bytes) -> DataFrame:
         table = new
 
 
+def settled(parts: list[tuple[str, str]], key: bytes) -> dict[tuple[str, str], str]:
+    """The surrogates of all these parts, round by round as over a table."""
+    real = set(parts)
+    attempt = dict.fromkeys(parts, 0)
+    made = {x: part_surrogate(*x, key) for x in parts}
+    while True:
+        holder: dict[tuple[str, str], tuple[int, str]] = {}
+        for (cls, part), s in made.items():
+            mine = (attempt[cls, part], part)
+            holder[cls, s] = min(holder.get((cls, s), mine), mine)
+        again = [x for x in parts if (x[0], made[x]) in real or holder[x[0], made[x]][1] != x[1]]
+        if not again:
+            return made
+        for x in again:
+            attempt[x] += 1
+            made[x] = part_surrogate(*x, key, attempt[x])
+
+
 def of_mentions(found: DataFrame, key: bytes, is_given: Callable[[], Callable[[str], bool]], spoken: Callable[[str], str]) -> DataFrame:
     """``(kind, raw, surrogate)`` of each distinct ``(kind, raw)`` of ``found``. ``is_given`` gives, on a worker, what
     tells whether a name that stands alone is a given name."""

@@ -599,7 +599,8 @@ def test_pieces_give_the_mention_again(kind, raw):
 
 def test_surrogates_stay_distinct_and_are_nobody_real(spark, monkeypatch):
     names = spark.range(30_000).selectExpr("'family' AS cls", "concat('s', conv(id + 46656, 10, 36)) AS part")  # more than short forms of one letter
-    chosen = surrogates.assign(names.unionByName(names), b"k").collect()
+    chosen = surrogates.assign(names.unionByName(names), b"k", few=0).collect()
+    assert {tuple(r) for r in surrogates.assign(names, b"k").collect()} == {tuple(r) for r in chosen}  # in one task and by rounds
     s = [r.s for r in chosen]
     assert len(s) == 30_000 == len(set(s)) and len({x[0] for x in s}) == 1 and not set(s) & {r.part for r in chosen}
     taken = surrogates.part_surrogate("family", "smith", b"k")
@@ -814,3 +815,14 @@ def test_pairs_against_brute_force(spark):
     assert got == sorted(want) and want
     assert lookalikes.lookalike_pairs(df.limit(0), "doc_id", "text").count() == 0
     assert lookalikes.canonical(df, "doc_id", "text").count() == len(rows)
+
+
+def test_batches_by_bytes():
+    import pyarrow as pa
+
+    from loomstone.llm.common import by_bytes
+
+    b = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["x" * 10, None, "y" * 95, "é" * 60, "", "z"])], ["k", "t"])
+    parts = list(by_bytes(b, 1, 100))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([b])) and [p.num_rows for p in parts] == [2, 1, 1, 2]
+    assert list(by_bytes(b.slice(0, 0), 1)) == []

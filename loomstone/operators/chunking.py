@@ -16,8 +16,11 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.functions.text import SPACE
+
 TARGET, OVERLAP, MOST = 650, 100, 800
 
+_BLANKS = re.compile(SPACE + "+")
 _SENTENCE_END = re.compile(r"[.!?]+|[\n\r]+")
 
 Tokenizer = Callable[[str], list[bytes]]
@@ -104,12 +107,14 @@ def chunks(df: DataFrame, key: str, text: str, target: int = TARGET, overlap: in
 
 
 def hashing_embedder(texts: list[str], dim: int = 64) -> np.ndarray:
-    """The local default of an embedding provider: signed hashed words, unit length."""
-    out = np.zeros((len(texts), dim), np.float32)
+    """The local default of an embedding provider: signed hashed small words, unit length. A word's MD5 gives its
+    place (first eight digits) and its sign (plus for an even ninth digit)."""
+    out = np.zeros((len(texts), dim), np.float64)
     for i, t in enumerate(texts):
-        for w in re.findall(r"\w+", t.lower()):
-            h = hashlib.blake2b(w.encode(), digest_size=8).digest()
-            out[i, int.from_bytes(h[:4], "little") % dim] += 1 if h[4] & 1 else -1
+        for w in _BLANKS.split(t.lower()):
+            if w:
+                h = hashlib.md5(w.encode("utf-8", "replace"), usedforsecurity=False).hexdigest()
+                out[i, int(h[:8], 16) % dim] += 1 if h[8] in "02468ace" else -1
         n = np.linalg.norm(out[i])
         if n:
             out[i] /= n

@@ -362,11 +362,20 @@ def draft_failures(t: Tables) -> DataFrame:
     return t.documents.where("text is not null").select("doc_id", drafts.first_failure(checks)["rule_id"].alias("first_rule"), F.array_join(drafts.all_failures(checks), ",").alias("all_rules"))
 
 
-@query()
+_NUM = r"\b\d[\d,]*(?:\.\d+)?\b"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '{_NUM}') AS toks, regexp_split_to_array(text, '{_NUM}') AS parts FROM documents WHERE text IS NOT NULL),
+            e AS (SELECT doc_id, text, toks, parts, unnest(range(1, len(toks) + 1)) AS i FROM d),
+            o AS (SELECT doc_id, text, toks[i] AS tok, i, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(toks[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS pos FROM e),
+            w AS (SELECT doc_id, tok, i, pos, substr(text, greatest(pos - 200, 0) + 1, length(tok) + 200 + least(pos, 200)) AS near FROM o WHERE length(regexp_replace(tok, '[^0-9]', '', 'g')) >= 4),
+            f AS (SELECT doc_id, arg_min(pos, i) AS pos, arg_min(tok, i) AS tok FROM w WHERE NOT regexp_matches(near, '(?i)(https?://|www\.)\S')
+                    AND NOT regexp_matches(near, '(?i)\b(?:source|according to|per|study|survey|report|research|data from|cited|citation|reference|statista|gartner|forrester)\b') GROUP BY 1)
+            SELECT doc_id, f.pos AS pos, f.tok AS number FROM d LEFT JOIN f USING (doc_id)""")
 def unsourced_numbers(t: Tables) -> DataFrame:
-    """The first number of each document that no source stands near; its windows have no SQL, tests hold it against a plain version."""
+    """The first number of each document that no source stands near."""
     n = drafts.unattributed_number(F.col("text"))
-    return t.documents.where("text is not null").select("doc_id", n["offset"].alias("offset"), n["number"].alias("number"))
+    return t.documents.where("text is not null").select("doc_id", n["offset"].alias("pos"), n["number"].alias("number"))
 
 
 @query(r"""WITH h AS (SELECT doc_id, text, substr(text, 1, 200) AS head FROM documents WHERE text IS NOT NULL),

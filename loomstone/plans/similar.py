@@ -9,6 +9,7 @@ from loomstone.functions.arrays import cosine
 from loomstone.operators import chunking
 from loomstone.operators import similarity as S
 from loomstone.plans.common import Catalog, Tables, now_of
+from loomstone.plans.texts import ws
 
 catalog = Catalog()
 query = catalog.query
@@ -90,7 +91,16 @@ def neighbour_cosine(t: Tables) -> DataFrame:
     return v.join(n, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("nxt")), 6).alias("cosine"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id, md5(unnest({ws('lower(text)')})) AS m FROM documents WHERE text <> ''),
+           p AS (SELECT doc_id, CAST('0x' || substr(m, 1, 8) AS BIGINT) % 64 AS k, sum(CASE WHEN contains('02468ace', substr(m, 9, 1)) THEN 1 ELSE -1 END) AS x FROM w GROUP BY ALL),
+           n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM p GROUP BY 1),
+           g AS (SELECT doc_id, k FROM (SELECT doc_id FROM documents WHERE text <> ''), (SELECT unnest(range(64)) AS k)),
+           v AS (SELECT doc_id, k, CASE WHEN norm > 0 THEN coalesce(x, 0) / norm ELSE 0 END AS x FROM g LEFT JOIN p USING (doc_id, k) LEFT JOIN n USING (doc_id))
+           SELECT doc_id, max(round(x, 4)) AS x_max, min(round(x, 4)) AS x_min, round(sum(x * (k + 1)), 1) AS weighted FROM v GROUP BY 1""")
 def embedded_documents(t: Tables) -> DataFrame:
-    """Documents with vectors of the local embedding provider."""
-    return t.documents.select("doc_id", chunking.embed(F.col("text")).alias("embedding"))
+    """Documents with vectors of the local embedding provider, told by three figures of each."""
+    d = t.documents.where("text <> ''").select("doc_id", chunking.embed(F.col("text")).alias("e"))
+    x = F.transform("e", lambda v: v.cast("double"))
+    weighted = F.aggregate(F.transform(x, lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    near = lambda c: F.round(c, 4)
+    return d.select("doc_id", near(F.array_max(x)).alias("x_max"), near(F.array_min(x)).alias("x_min"), F.round(weighted, 1).alias("weighted"))

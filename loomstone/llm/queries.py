@@ -187,19 +187,9 @@ _USABLE = """
                 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         alike AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) > 0.72)"""
 
-ORACLE = {
-    "p1_found": _USABLE + """
-        SELECT DISTINCT least(a, b) AS signal_a, greatest(a, b) AS signal_b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM alike) WHERE r <= 5""",
-    "p6_found": _USABLE + """,
-        reach AS (SELECT a AS node, a AS other FROM alike UNION SELECT r.node, x.b FROM reach r JOIN alike x ON x.a = r.other),
-        g AS (SELECT node, min(other) AS first_signal_id, count(*) AS n FROM reach GROUP BY 1)
-        SELECT first_signal_id, node AS signal_id FROM g WHERE n >= 3""",
-    "p2_found": r"""
-        SELECT id AS signal_id FROM (SELECT id, any_value(redacted_text) AS t FROM capture_signals WHERE id IS NOT NULL GROUP BY id)
-        WHERE length(t) > 6000 OR len(regexp_extract_all(t, '[^ \t\r\n]+')) > 800""",
-    "p3_found": r"""
+_TURNS = r"""
         WITH m AS (
-          SELECT session_id, ts, path, uuid, replace(replace(lower(trim(kind)), '-', '_'), ' ', '_') AS k
+          SELECT session_id, ts, path, uuid, text, replace(replace(lower(trim(kind)), '-', '_'), ' ', '_') AS k
           FROM session_events
           WHERE depth = 0 AND regexp_matches(text, '[^ \t\r\n]')
             AND replace(replace(lower(trim(kind)), '-', '_'), ' ', '_') IN ('user_text', 'assistant_text')),
@@ -209,8 +199,29 @@ ORACLE = {
               WINDOW w AS (PARTITION BY session_id ORDER BY ts, path, uuid)),
         good AS (SELECT session_id FROM t GROUP BY 1
                  HAVING count(*) FILTER (k = 'user_text' AND coalesce(nxt, '') <> 'assistant_text') = 0
-                    AND count(*) FILTER (turn_no = 1 AND k = 'user_text') = 1)
+                    AND count(*) FILTER (turn_no = 1 AND k = 'user_text') = 1)"""
+
+ORACLE = {
+    "p1_found": _USABLE + """
+        SELECT DISTINCT least(a, b) AS signal_a, greatest(a, b) AS signal_b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM alike) WHERE r <= 5""",
+    "p6_found": _USABLE + """,
+        reach AS (SELECT a AS node, a AS other FROM alike UNION SELECT r.node, x.b FROM reach r JOIN alike x ON x.a = r.other),
+        g AS (SELECT node, min(other) AS first_signal_id, count(*) AS n FROM reach GROUP BY 1)
+        SELECT first_signal_id, node AS signal_id FROM g WHERE n >= 3""",
+    "p2_found": r"""
+        SELECT id AS signal_id FROM (SELECT id, any_value(redacted_text) AS t FROM capture_signals WHERE id IS NOT NULL GROUP BY id)
+        WHERE length(t) > 6000 OR len(regexp_extract_all(t, '[^ \t\r\n]+')) > 800""",
+    "p3_found": _TURNS + """
         SELECT session_id, CAST(turn_no AS INTEGER) AS turn_no, uuid FROM t SEMI JOIN good USING (session_id)""",
+    "p3_turns": _TURNS + """
+        SELECT session_id, CAST(turn_no AS INTEGER) AS turn_no, uuid, CASE k WHEN 'user_text' THEN 'user' ELSE 'assistant' END AS role, x.text FROM t SEMI JOIN good USING (session_id)
+        JOIN (SELECT session_id, uuid, arg_min(text, (ts, path, text)) AS text FROM m WHERE ts IS NOT NULL AND path IS NOT NULL AND uuid IS NOT NULL GROUP BY ALL) x USING (session_id, uuid)""",
+    "p6_past": _USABLE + """,
+        reach AS (SELECT a AS node, a AS other FROM alike UNION SELECT r.node, x.b FROM reach r JOIN alike x ON x.a = r.other),
+        g AS (SELECT node, min(other) AS first_id, count(*) AS n_now FROM reach GROUP BY 1 HAVING count(*) >= 3),
+        one AS (SELECT id AS cluster_id, max(cluster_label) AS cluster_label, max(signal_ids) AS s FROM synthesis_clusters WHERE id IS NOT NULL GROUP BY 1),
+        met AS (SELECT cluster_id, cluster_label, len(s) AS n_past, first_id, n_now, count(*) AS n_shared FROM (SELECT *, unnest(list_distinct(s)) AS id FROM one) JOIN g ON g.node = id GROUP BY ALL)
+        SELECT cluster_id, cluster_label, CAST(n_past AS INTEGER) AS n_past, first_id AS first_signal_id, n_now, n_shared FROM met QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n_shared DESC, first_id DESC) = 1""",
 }
 
 

@@ -45,5 +45,5 @@ class Tables:
 
 
 def now_of(df: DataFrame, ts: str) -> Column:
-    """The greatest time of a table as a literal: the anchor in place of a clock."""
-    return F.lit(df.agg(F.max(ts)).first()[0])
+    """The greatest time of a table as a literal: the anchor in place of a clock; null where there is none."""
+    return F.lit(df.agg(F.max(ts)).first()[0]).cast("timestamp")

@@ -566,3 +566,44 @@ def chat_commands(t: Tables) -> DataFrame:
     n = F.col("event_id") % 3
     text = F.when(n == 0, F.concat(F.lit("/"), F.upper("event_type"), F.lit("@bot now"))).when(n == 1, F.concat(F.lit(" /"), "event_type")).otherwise(F.col("event_type"))
     return t.events.select("event_id", A.command_of(text).alias("command"))
+
+
+# --- sinks, folders, dispatches --------------------------------------------------------------
+
+
+@query(f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY session_id, path ORDER BY uuid, kind) AS rn FROM session_events WHERE {_OK} AND depth = 0)
+           SELECT session_id, count(e.session_id) AS n_events FROM (SELECT DISTINCT session_id FROM cowork_sessions WHERE session_id IS NOT NULL) s LEFT JOIN (SELECT session_id FROM e WHERE rn = 1) e USING (session_id) GROUP BY 1""")
+def landed_documents(t: Tables) -> DataFrame:
+    """Session documents written as JSON lines to the shared folder, read back and judged."""
+    import uuid
+
+    from loomstone.storage import own_tables
+
+    e = t.session_events.where(_OK).where("depth = 0").groupBy("session_id", "path").agg(F.min(F.struct("uuid", "kind", "depth", "ts", "text", "tool", "summary", "subagent_slug", "parent_tool_use_id", "cwd", "git_branch")).alias("m")).select("session_id", "path", "m.*")
+    e = e.withColumn("summary", F.substring("summary", 1, 80))
+    s = t.cowork_sessions.where("session_id is not null").groupBy("session_id").agg(F.max(F.struct("created_at", "session_slug", "workspace_id", "title", "last_activity_at", "model", "account", "mcp_servers")).alias("m")).select("session_id", "m.*")
+    docs = files.judged(files.build_documents(s, e, max_depth=0).select(F.col("session_id").alias("path"), "doc"))
+    path = f"{own_tables(t.spark)}/documents-{uuid.uuid4().hex}"
+    files.write_documents(docs, path)
+    back = files.judged(t.spark.read.text(path).select(F.monotonically_increasing_id().alias("path"), F.col("value").alias("doc"))).where("error_kind is null")
+    n = F.size(F.from_json(F.get_json_object("doc", "$.events"), "array<string>"))
+    return back.select(F.get_json_object("doc", "$.sessionId").alias("session_id"), n.cast("long").alias("n_events"))
+
+
+@query("""WITH w AS (SELECT DISTINCT source AS display_name FROM mix_targets WHERE source IS NOT NULL), f AS (SELECT source AS display_name, min(doc_id) AS id FROM documents WHERE source IS NOT NULL GROUP BY 1)
+          SELECT display_name, CAST(id AS VARCHAR) AS id, id IS NOT NULL AS found FROM w LEFT JOIN f USING (display_name)""")
+def folder_ids(t: Tables) -> DataFrame:
+    """Wanted folders with their ids, and those that do not exist."""
+    wanted = t.mix_targets.where("source is not null").select(F.col("source").alias("display_name"))
+    folders = t.documents.where("source is not null").select(F.col("source").alias("display_name"), F.col("doc_id").alias("id"))
+    ok, missing = S.resolve_folders(wanted, folders)
+    return ok.select("display_name", F.col("id").cast("string").alias("id"), F.lit(True).alias("found")).unionByName(missing.select("display_name", F.lit(None).cast("string").alias("id"), F.lit(False).alias("found")))
+
+
+@query(f"""WITH {_LINES} SELECT path, uuid, uuid AS tool_use_id, 'Look around' AS prompt FROM good WHERE NOT meta AND NOT is_user AND uuid < '8'""")
+def dispatch_prompts(t: Tables) -> DataFrame:
+    """The agent calls in raw transcript lines, with what they were asked."""
+    lines, _ = files.parsed_lines(_raw_lines(t))
+    kept = S.kept_lines(lines)
+    named = F.transform("blocks", lambda b: b.withField("name", F.when((b["type"] == "tool_use") & (F.col("uuid") < "8"), "Task").otherwise(b["name"])))
+    return S.dispatches(kept.withColumn("blocks", named))

@@ -318,7 +318,7 @@ def dashboard_metrics(t: Tables) -> DataFrame:
         metric(recent, "signals_7d", F.count(F.lit(1))),
         metric(recent, "sources_7d", F.countDistinct("source")),
         metric(t.synthesis_clusters, "last_synthesis_epoch", F.max(F.unix_timestamp("created_at"))),
-        metric(i, "session_completion_rate", F.round(F.count_if(F.col("status") == "completed") / F.count(F.lit(1)), 6)),
+        metric(i, "session_completion_rate", F.round(F.try_divide(F.count_if(F.col("status") == "completed"), F.count(F.lit(1))), 6)),
         metric(i, "open_sessions", F.countDistinct(F.when(~F.col("status").isin("completed", "skipped", "timed_out"), F.col("id")))),
         t.article_candidates.where("status is not null").groupBy(F.concat(F.lit("candidates:"), "status").alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value")),
     ]

@@ -249,3 +249,26 @@ def test_replies_and_commands(spark):
     assert reply("voice", None, None, None, "u") == (None, None, None, "u", False, True)
     assert reply("text", None, "yes") == ("text", "yes", None, None, False, False) and reply(None)[0] == "text"
     assert one(spark, "/Skip@bot x", "string", A.command_of(V)) == "skip" and one(spark, " /skip", "string", A.command_of(V)) is None and one(spark, None, "string", A.command_of(V)) is None
+
+
+def test_pattern_pass_takes_and_leaves(spark):
+    def types(text):
+        return [kind for _, _, kind in pii.scan(text)]
+
+    for phone in ("(416) 555-0123", "416-555-0123", "416.555.0123", "4165550123", "+14165550123"):
+        assert types(f"ring {phone} today") == ["phone"]
+    assert types("a card 4242 4242 4242 4242, a number 1234 5678 9012 3456") == ["cc"]
+    assert types("SIN 046-454-286, ISBN 978-3-16-148") == ["sin"]
+    assert types("host 192.168.1.42 has v1.2.3") == ["ipv4"] and types("at 999.888.777.666") == []
+    assert types("a.b+c@sub.x.co.example and d@y.example") == ["email", "email"] and types("nothing to take") == []
+
+
+def test_windows_of_plain_words():
+    w = chunking.windows("word" + " word" * 2199)
+    assert [(s, e) for s, e, _ in w] == [(0, 650), (550, 1200), (1100, 1750), (1650, 2200)]
+    for (_, _, a), (_, _, b) in zip(w, w[1:]):
+        assert a[-500:] == b[:500]
+    w = chunking.windows("The clerk closes the ledger of the branch every single evening. " * 190)
+    assert len(w) > 2 and all(re.search(r"[.!?]\s*$", t) for _, _, t in w[:-1])
+    w = chunking.windows("word" + " word" * 1999 + ".")
+    assert w[0][:2] == (0, 650) and not w[0][2].endswith(".") and chunking.windows("") == [] and chunking.windows("short text.") == [(0, 3, "short text.")]

@@ -30,6 +30,11 @@ RARE = 5 / 12_000
 """A word written small in more than this share of the texts is a common one; five texts are no evidence in any case."""
 
 
+NAME_SHARE = 1e-6
+"""A word is learned as a name if it stands at a name's place in at least this share of the texts, once at least; so the names that
+every executor holds are bounded however many texts there are. Known people are always names."""
+
+
 class Entity(NamedTuple):
     start: int
     end: int
@@ -368,7 +373,7 @@ def fit_names(texts: DataFrame, text: str, known: DataFrame) -> NameModel:
     """A name model from ``known (given_name, family_name)``, a small fixed table, and all the texts.
 
     Each distinct text counts once. Words are counted where the texts lie and only words and their
-    counts move; the driver gets the names and the common words, which ``RARE`` bounds.
+    counts move; the driver gets the names and the common words, which ``NAME_SHARE`` and ``RARE`` bound.
     """
     one = texts.select(F.col(text).alias("t")).where(F.length("t") > 0).distinct()
 
@@ -382,7 +387,8 @@ def fit_names(texts: DataFrame, text: str, known: DataFrame) -> NameModel:
     sums = [F.sum(c).alias(c) for c in ("g", "f", "n")]
     words = cut(one.mapInArrow(run, "w string, g bigint, f bigint, n bigint").groupBy("w").agg(*sums), "words")
     n = sum(r.n for r in words.df.where("w = ''").collect())
-    kept = words.df.where("w <> ''").where((F.col("g") > 0) | (F.col("f") > 0) | (F.col("n") > _low(n)))
+    least = max(1, int(n * NAME_SHARE))
+    kept = words.df.where("w <> ''").where((F.col("g") >= least) | (F.col("f") >= least) | (F.col("n") > _low(n)))
     counts = [tuple(r) for r in kept.collect()]
     words.drop()
     pairs = [(r.given_name, r.family_name) for r in known.select("given_name", "family_name").toLocalIterator()]
@@ -390,7 +396,7 @@ def fit_names(texts: DataFrame, text: str, known: DataFrame) -> NameModel:
 
 
 def _mapped(df: DataFrame, key: str, text: str, model: NameModel, schema: str, each) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(model)  # the names and the common words
+    shared = df.sparkSession.sparkContext.broadcast(model)  # names and common words, bounded by NAME_SHARE and RARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -29,3 +29,13 @@ def test_queries(spark):
             assert len(rows) == len(set(rows)), name
         if name in Q.oracle_sql():
             assert sorted(rows) == sorted(tuple(map(str, r)) for r in con.sql(Q.oracle_sql()[name]).fetchall()), name
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_queries_over_empty_and_null_tables(spark, odd_tables):
+    from loomstone.llm import queries as Q
+
+    for folder in odd_tables.values():
+        for name, query in Q.queries().items():
+            rows = query(spark, folder).collect()
+            assert not rows or not name.endswith("_found"), name

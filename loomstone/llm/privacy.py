@@ -120,6 +120,8 @@ _HEADER = re.compile(
     rf"(?m)(?:^[>| \t]*\*?(?:From|To|De|À|Von|An|Cc)\s?:\*?[ \t]+({_W}) ({_W})[ \t]*(?:<|\r?$)"
     rf"|\bschrieb ({_W}) ({_W})(?= <|:)|\bGMT, ({_W}) ({_W})(?= <|:)|(?:\d, |^[>| \t]*)({_W}) ({_W})(?: <[^>\n]+>)? (?:wrote|a écrit)\b|\bDr\.? ({_W}) ({_W}))"
 )
+# What every match of the pattern above holds.
+_HEADER_MARK = re.compile(r"(?:From|To|De|À|Von|An|Cc)\s?:|schrieb|GMT,|wrote|a écrit|Dr\b")
 _WORDS = re.compile(r"[^\W\d_]+")
 _COMMON = re.compile(r"(?<![\w@＠.+-])[^\W\d_]+(?![\w@＠+-]|\.\w)")
 
@@ -137,7 +139,7 @@ def _count(texts: Iterable[str | None]) -> tuple[int, dict[str, list[int]]]:
         if not t:
             continue
         n += 1
-        for m in _HEADER.finditer(t):
+        for m in _HEADER.finditer(t) if _HEADER_MARK.search(t) else ():
             pair = [x for x in m.groups() if x]
             if len(pair) == 2 and "redacted" not in m[0].lower():
                 for i, w in enumerate(pair):
@@ -310,7 +312,7 @@ def find(text: str | None, model: NameModel) -> list[Entity]:
                 found.append(Entity(*m.span(), "ip"))
     if ":" in text and ("::" in text or text.count(":") >= 7):
         found += [Entity(*m.span(), "ip") for m in _IP6.finditer(text) if len(m[0]) > 4]
-    if not words.isdisjoint(_SPOKEN_MARKS):
+    if not words.isdisjoint(_SPOKEN_MARKS) and sum(map(low.count, DIGIT_WORDS)) >= 7:  # every match holds seven of them
         for m in _SPOKEN.finditer(text):
             d = spoken_digits(m[0])
             kind = "sin" if len(d) == 9 else "phone" if len(d) in (7, 10, 11, 12) else "cc" if 13 <= len(d) <= 19 else None

@@ -427,7 +427,7 @@ def test_the_gain_decides(monkeypatch):
     monkeypatch.setattr(mail.MailModel, "suspected", lambda *a: False)
     assert not any(s.kind != "quoted" for t in texts for s in mail.foreign(t, m))
     monkeypatch.setattr(mail.MailModel, "suspected", lambda *a: True)
-    monkeypatch.setattr(mail.MailModel, "verified", lambda *a: True)
+    monkeypatch.setattr(mail.MailModel, "overlap", lambda *a: 1.0)
     assert [mail.foreign(t, m) for t in texts] != found
 
 

@@ -8,16 +8,22 @@ a notice. Only what recurs at such places far more than elsewhere gets in; a few
 counting. A part that compresses abnormally better with a dictionary than without is suspected of its kind;
 the suspicion holds if an exact overlap of words with the dictionary verifies it. Marks at the beginning of lines and
 blocks of header lines show where an earlier message runs. All else is kept as newly written.
+
+Dictionaries are of any size. Their most usual lines are a page that every part is compressed with; of the lines behind
+it, those that share words with a part join the page for that part. Many such lines reach their mails by a join.
 """
 
 from __future__ import annotations
 
+import copy
+import hashlib
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +32,13 @@ from loomstone.llm.common import by_bytes, cut, kind_key
 
 KINDS = ("quoted", "signature", "disclaimer")
 DICTIONARY_BYTES = 12_288
-"""Of each dictionary; its most usual lines are kept."""
-RARE = 1 / 2_000
-"""What stands in a smaller share of the mails is in no dictionary; neither is what stands in fewer than three."""
+"""Of the page of a dictionary: its most usual lines, which every part is compressed with."""
+HELD_BYTES = 1 << 20
+"""Lines of all dictionaries up to this size are held with the pages; beyond it they reach their mails by a join, with the same result."""
+LEAST = 3
+"""What stands in fewer mails does not recur and is in no dictionary."""
+PIECE = 1_900
+"""Longer lines and texts are compressed in pieces of so many characters: page, lines and piece lie in one window of 32 KB."""
 GAIN = {"quoted": 0.20, "signature": 0.25, "disclaimer": 0.25}
 """The part of a part's compressed size that a dictionary must save for a suspicion."""
 OVERLAP, OVERLAP_LAST = 0.5, 0.3
@@ -131,21 +141,53 @@ def _short(line: str) -> bool:
     return 0 < len(line) <= BLOCK_CHARS and not (_SENTENCE.search(line) and not _PERSON.match(line)) and not _PREFIXED.match(line) and not line.startswith("```")
 
 
+def _grams(text: str) -> set[tuple[str, ...]]:
+    """What a text may share with lines: its word triples, and in short ones also pairs and words, which short lines are."""
+    words = _TOKEN.findall(text.lower())
+    sizes = (1, 2, 3) if len(text) <= BLOCK_CHARS else (3,)
+    return {tuple(words[i : i + k]) for k in sizes for i in range(len(words) - k + 1)}
+
+
+def _size(raw: bytes, preset: bytes = b"") -> int:
+    z = zlib.compressobj(6, zlib.DEFLATED, -15, 8, zlib.Z_DEFAULT_STRATEGY, preset) if preset else zlib.compressobj(6, zlib.DEFLATED, -15, 8)
+    return len(z.compress(raw)) + len(z.flush())
+
+
 class Dictionary:
-    """A preset compression dictionary, its lines and its word triples (shorter lines whole)."""
-
-    def __init__(self, lines: Iterable[str]):
-        kept, size = [], 0
-        for line in dict.fromkeys(lines):
-            b = len(line.encode()) + 1
-            if size + b > DICTIONARY_BYTES:
-                break
-            kept.append(line)
-            size += b
-        self.lines = set(kept)
-        self.triples = {x for line in kept if (words := _TOKEN.findall(line.lower())) for x in _triples(words)}
+    """A preset compression dictionary, its lines and its word triples (shorter lines whole): a page of the most usual
+    lines, and for the triples of the lines behind it the most usual line that has each."""
+
+    def __init__(self, lines: Iterable[str], weights: dict[str, int] | None = None):
+        ordered = list(dict.fromkeys(lines))
+        n, size = 0, 0
+        while n < len(ordered) and size + (b := len(ordered[n].encode("utf-8", "replace")) + 1) <= DICTIONARY_BYTES:
+            n, size = n + 1, size + b
+        self.page = set(ordered[:n])
+        self.triples = {x for line in ordered[:n] if (words := _TOKEN.findall(line.lower())) for x in _triples(words)}
         # The most usual lines stand last, where they are the nearest.
-        self.preset = "\n".join(reversed(kept)).encode()
+        self.preset = "\n".join(reversed(ordered[:n])).encode("utf-8", "replace")
+        self._hold([(-(weights or {}).get(x, 0), x) for x in ordered[n:]])
+
+    def _hold(self, behind: list[tuple[int, str]]) -> None:
+        self.behind = {line for _, line in behind}
+        self.held: dict[tuple[str, ...], tuple[int, str]] = {}
+        for x in sorted(behind):
+            if words := _TOKEN.findall(x[1].lower()):
+                for t in _triples(words):
+                    self.held.setdefault(t, x)
+
+    def with_lines(self, behind: list[tuple[int, str]]) -> Dictionary:
+        """This page with other lines behind it, ``(- mails, line)``."""
+        d = copy.copy(self)
+        d._hold(behind)
+        return d
+
+    @property
+    def lines(self) -> set[str]:
+        return self.page | self.behind
+
+    def __contains__(self, line: str) -> bool:
+        return line in self.page or line in self.behind
 
     def overlap(self, line: str) -> float:
         """The part of a masked line's words that stand in triples of the dictionary."""
@@ -154,17 +196,37 @@ class Dictionary:
             return 0.0
         covered = [False] * len(words)
         for i, x in enumerate(_triples(words)):
-            if x in self.triples:
+            if x in self.triples or x in self.held:
                 covered[i : i + 3] = [True] * len(x)
         return sum(covered) / len(words)
 
-    def gain(self, text: str) -> float:
+    def near(self, text: str) -> tuple[tuple[int, str], ...]:
+        """The lines behind the page that share words with the text, the most usual first."""
+        if not self.held:
+            return ()
+        return tuple(sorted({self.held[x] for line in text.split("\n") for x in _grams(line) if x in self.held}))
+
+    def _presets(self, near: tuple[tuple[int, str], ...]) -> Iterator[bytes]:
+        if not near:
+            yield self.preset
+        lo, size = 0, 0
+        for i, (_, line) in enumerate(near):
+            b = len(line.encode("utf-8", "replace")) + 1
+            if i > lo and size + b > DICTIONARY_BYTES:
+                yield b"\n".join([self.preset, *(x.encode("utf-8", "replace") for _, x in reversed(near[lo:i]))])
+                lo, size = i, 0
+            size += b
+        if near:
+            yield b"\n".join([self.preset, *(x.encode("utf-8", "replace") for _, x in reversed(near[lo:]))])
+
+    def gain(self, text: str, near: tuple[tuple[int, str], ...] | None = None) -> float:
         """The part of the text's compressed size that the dictionary saves."""
-        raw = text.encode("utf-8", "replace")
-        plain = zlib.compressobj(6, zlib.DEFLATED, -15, 8)
-        with_it = zlib.compressobj(6, zlib.DEFLATED, -15, 8, zlib.Z_DEFAULT_STRATEGY, self.preset)
-        a = len(plain.compress(raw)) + len(plain.flush())
-        b = len(with_it.compress(raw)) + len(with_it.flush())
+        a = b = 0
+        for lo in range(0, len(text), PIECE):
+            piece = text[lo : lo + PIECE]
+            raw = piece.encode("utf-8", "replace")
+            a += _size(raw)
+            b += min(_size(raw, p) for p in self._presets(near if near is not None and len(text) <= PIECE else self.near(piece)))
         return (a - b) / a if a else 0.0
 
 
@@ -215,20 +277,41 @@ def _seed(kind: str) -> Dictionary:
     return _seeds[kind]
 
 
-def _count(mails: Iterable[str | None]) -> tuple[int, dict[str, list[int]]]:
-    """How many mails there are, and in how many each masked line or sentence stands in each role."""
-    n, counts = 0, {}
+def _count(mails: Iterable[str | None]) -> dict[str, list[int]]:
+    """In how many mails each masked line or sentence stands in each role."""
+    counts: dict[str, list[int]] = {}
     for text in mails:
         if not text or not text.strip():
             continue
-        n += 1
         seen: set[tuple[str, int]] = set()
         if "\n" in text.strip():
             _roles(text, seen)
         for unit, role in seen:
-            if 2 < len(unit) < 400:
+            if unit:
                 counts.setdefault(unit, [0] * len(ROLES))[role] += 1
-    return n, counts
+    return counts
+
+
+def _lines(unit: str, quoted: int, opener: int, closing: int, lone: int, notice: int, n: int) -> Iterator[tuple[str, str, int, bool, bool]]:
+    """``(kind, line, mails, opens a block, stands alone)`` of a unit that belongs in a dictionary, by the mails in each role."""
+    n, words = max(n, 1), len(_TOKEN.findall(unit))
+    if quoted * 2 >= n and quoted > closing + lone:  # closings stand above headers too
+        kind, weight = "quoted", quoted
+    elif notice * 5 >= n * 3 and words >= 3:
+        kind, weight = "disclaimer", notice
+    elif (closing + lone) * 5 >= n * 4 or closing * 2 >= n:
+        kind, weight = "signature", closing + lone
+    else:
+        return
+    closes = kind == "signature"
+    for lo in range(0, len(unit), PIECE):
+        yield kind, unit[lo : lo + PIECE], weight, closes and opener * 2 >= n and not unit.startswith("[REDACTED"), closes and lone * 2 >= n and words >= 3
+
+
+def _head(line: str) -> str | None:
+    """The words that begin a notice, by which it is found where line breaks are lost."""
+    words = line.split()
+    return " ".join(words[:3]) if len(words) >= 4 else None
 
 
 def _roles(text: str, seen: set[tuple[str, int]]) -> None:
@@ -290,49 +373,63 @@ class MailModel:
     """The three dictionaries, and which of the closing lines open a block or stand alone."""
 
     def __init__(self, mails: Iterable[str | None] = ()):
-        n, counts = _count(mails)
-        low = _low(n)
-        self._settle((u, *c) for u, c in counts.items() if c[5] >= low)
+        self._settle(line for u, c in _count(mails).items() if c[5] >= LEAST for line in _lines(u, *c))
 
     @classmethod
-    def of_counts(cls, counts: Iterable[tuple]) -> MailModel:
-        """From ``(unit, *mails in each role)``."""
+    def of_lines(cls, lines: Iterable[tuple], behind: DataFrame | None = None) -> MailModel:
+        """From ``(kind, line, mails, opens a block, stands alone)``; ``behind`` are lines that reach their mails by a join."""
         model = cls.__new__(cls)
-        model._settle(counts)
+        model._settle(lines)
+        model.behind = behind
         return model
 
-    def _settle(self, counts: Iterable[tuple]) -> None:
-        self.suspicions: dict[tuple[str, str], float] = {}
-        lines: dict[str, Counter] = {k: Counter() for k in KINDS}
-        self.openers, self.lone = {mask(x) for x in SEEDS["signature"].split("\n")[:6]}, {mask(x) for x in SEEDS["signature"].split("\n")[-3:]}
-        for unit, quoted, opener, closing, lone, notice, n in counts:
-            n = max(n, 1)
-            if quoted * 2 >= n:
-                lines["quoted"][unit] = quoted
-            elif notice * 5 >= n * 3 and len(_TOKEN.findall(unit)) >= 3:
-                lines["disclaimer"][unit] = notice
-            elif (closing + lone) * 5 >= n * 4 or closing * 2 >= n:
-                lines["signature"][unit] = closing + lone
-                if opener * 2 >= n and not unit.startswith("[REDACTED"):
-                    self.openers.add(unit)
-                if lone * 2 >= n and len(_TOKEN.findall(unit)) >= 3:
-                    self.lone.add(unit)
-        self.of = {k: Dictionary([mask(x) for x in SEEDS[k].split("\n")] + [u for u, _ in sorted(lines[k].items(), key=lambda x: (-x[1], x[0]))]) for k in KINDS}
-        self._reflow()
-
-    def _reflow(self) -> None:
-        """Where a mail has lost its line breaks, it is cut again before what begins a foreign part."""
-        person = rf"(?:\[REDACTED_PERSON\]|{_NAME} {_NAME})"
-        opens = "|".join(re.escape(o) for o in sorted(self.openers, key=lambda o: (-len(o), o)) if o and not _RULER.match(o))
-        lone = "|".join(re.escape(o) for o in sorted(self.lone, key=lambda o: (-len(o), o)) if "0" not in o)
-        heads = {" ".join(u.split()[:3]) for u in self.of["disclaimer"].lines if len(u.split()) >= 4}
-        notes = "|".join(re.escape(h) for h in sorted(heads, key=lambda h: (-len(h), h)) if "0" not in h)
-        keys = "|".join(sorted({k.capitalize() for k in HEADER_KEYS}, key=lambda k: (-len(k), k)))
-        tail = r"(?: (?:[^.?!\[]{3,60} )?(?:\w{1,8}: )?\[REDACTED_(?:PHONE|EMAIL)\])"
-        self.begins = re.compile(
-            rf"[ \t](?=(?P<sender>(?:[-—_~*=]{{2,}}|{opens}) {person}{tail}?|{person}{tail})|(?:{lone})(?:\s|$)|(?:{notes})\s|\*?(?:{keys})\s?:\*? \S|-{{2,}} ?[^\W\d_][^\d-]{{3,40}}-{{2,}}|_{{20,}} "
-            rf"|[A-ZÀ-Þ]\w+(?: \w+){{0,3}}:(?= \*?(?:{keys})\s?:)|(?:On|Am|Le|El) [^.?!]{{0,20}}\d[^?!]{{3,160}}?:(?:\s|$)|\d{{4}}-\d\d-\d\d \d\d:\d\d [A-Z]{{3,4}}, [^:]{{3,90}}:|{person}(?: <[^>]+>)? \w+ \w+ \w+day:)"
-        )
+    def _settle(self, lines: Iterable[tuple]) -> None:
+        self.suspicions: dict[tuple, float] = {}
+        self.own = False  # whether the lines behind the pages are those of one mail
+        self.behind: DataFrame | None = None
+        rows = list(lines)
+        self.of = {}
+        for k in KINDS:
+            weights = Counter()
+            for kind, line, weight, *_ in rows:
+                if kind == k:
+                    weights[line] = max(weights[line], weight)
+            self.of[k] = Dictionary([mask(x) for x in SEEDS[k].split("\n")] + [u for u, _ in sorted(weights.items(), key=lambda x: (-x[1], x[0]))], weights)
+        seeds = [mask(x) for x in SEEDS["signature"].split("\n")]
+        page = self.of["signature"].page
+        self.page_openers = {*seeds[:6], *(x for _, x, _, opener, _ in rows if opener and x in page)}
+        self.page_lone = {*seeds[-3:], *(x for _, x, _, _, lone in rows if lone and x in page)}
+        self.page_heads = {h for x in self.of["disclaimer"].page if (h := _head(x))}
+        self.begins = _begins(self.page_openers, self.page_lone, self.page_heads)
+        self._behind([r for r in rows if r[1] not in self.of[r[0]].page])
+
+    def _behind(self, rows: list[tuple]) -> None:
+        """Take in the lines behind the pages."""
+        self.openers = self.page_openers | {x for _, x, _, opener, _ in rows if opener}
+        self.lone = self.page_lone | {x for _, x, _, _, lone in rows if lone}
+        self.starts: dict[tuple[str, ...], set[tuple[str, str]]] = {}
+        for kind, line, _, opener, lone in rows:
+            for what, x in _starts(kind, line, opener, lone):
+                self.starts.setdefault(tuple(_TOKEN.findall(x.lower())[:3]), set()).add((what, x))
+
+    def with_lines(self, rows: list[tuple]) -> MailModel:
+        """The pages with other lines behind them, ``(kind, line, mails, opens a block, stands alone)``."""
+        m = copy.copy(self)
+        m.own = True
+        m.of = {k: self.of[k].with_lines([(-w, x) for kind, x, w, *_ in rows if kind == k]) for k in KINDS}
+        m._behind(rows)
+        return m
+
+    def flat(self, text: str) -> MailModel:
+        """The model for a text that has lost its line breaks, with what may begin a foreign part in it."""
+        words = _TOKEN.findall(mask(text).lower()) if self.starts else []
+        met = {x for k in range(4) for i in range(len(words) - k + 1) for x in self.starts.get(tuple(words[i : i + k]), ())} if self.starts else set()
+        m = copy.copy(self)
+        m.openers = self.page_openers | {x for what, x in met if what == "opener"}
+        m.lone = self.page_lone | {x for what, x in met if what == "lone"}
+        if met:
+            m.begins = _begins(m.openers, m.lone, self.page_heads | {x for what, x in met if what == "head"})
+        return m
 
     def pieces(self, text: str) -> list[tuple[int, int]]:
         """The lines of a text that has lost its line breaks."""
@@ -348,11 +445,12 @@ class MailModel:
 
     def suspected(self, text: str, kind: str) -> bool:
         """Whether the text compresses abnormally better with the dictionary of the kind."""
-        key = (kind, text)
+        near = self.of[kind].near(text) if self.own else None  # else the same whenever the text is the same
+        key = (kind, text, near)
         g = self.suspicions.get(key)
         if g is None:
-            g = self.of[kind].gain(text)
-            if len(self.suspicions) > 200_000:  # a worker's cache of answers
+            g = self.of[kind].gain(text, near)
+            if len(self.suspicions) > 50_000:  # a worker's cache of answers
                 self.suspicions.clear()
             self.suspicions[key] = g
         return g >= GAIN[kind]
@@ -366,11 +464,27 @@ class MailModel:
         return self.overlap(text, kind) >= least
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"suspicions": {}}  # answers stay in the worker
+        return self.__dict__ | {"suspicions": {}, "behind": None}  # answers stay in the worker, tables with the driver
 
 
-def _low(n: int) -> float:
-    return max(3, n * RARE)
+def _starts(kind: str, line: str, opener: bool, lone: bool) -> list[tuple[str, str]]:
+    """What of a line begins a foreign part where line breaks are lost."""
+    head = _head(line) if kind == "disclaimer" else None
+    return [(what, x) for what, x, on in (("opener", line, opener), ("lone", line, lone), ("head", head, head)) if on]
+
+
+def _begins(openers: set[str], lone: set[str], heads: set[str]) -> re.Pattern:
+    """Where a mail has lost its line breaks, it is cut again before what begins a foreign part."""
+    person = rf"(?:\[REDACTED_PERSON\]|{_NAME} {_NAME})"
+    opens = "|".join(re.escape(o) for o in sorted(openers, key=lambda o: (-len(o), o)) if o and not _RULER.match(o))
+    alone = "|".join(re.escape(o) for o in sorted(lone, key=lambda o: (-len(o), o)) if "0" not in o)
+    notes = "|".join(re.escape(h) for h in sorted(heads, key=lambda h: (-len(h), h)) if "0" not in h)
+    keys = "|".join(sorted({k.capitalize() for k in HEADER_KEYS}, key=lambda k: (-len(k), k)))
+    tail = r"(?: (?:[^.?!\[]{3,60} )?(?:\w{1,8}: )?\[REDACTED_(?:PHONE|EMAIL)\])"
+    return re.compile(
+        rf"[ \t](?=(?P<sender>(?:[-—_~*=]{{2,}}|{opens}) {person}{tail}?|{person}{tail})|(?:{alone})(?:\s|$)|(?:{notes})\s|\*?(?:{keys})\s?:\*? \S|-{{2,}} ?[^\W\d_][^\d-]{{3,40}}-{{2,}}|_{{20,}} "
+        rf"|[A-ZÀ-Þ]\w+(?: \w+){{0,3}}:(?= \*?(?:{keys})\s?:)|(?:On|Am|Le|El) [^.?!]{{0,20}}\d[^?!]{{3,160}}?:(?:\s|$)|\d{{4}}-\d\d-\d\d \d\d:\d\d [A-Z]{{3,4}}, [^:]{{3,90}}:|{person}(?: <[^>]+>)? \w+ \w+ \w+day:)"
+    )
 
 
 # --- one mail ------------------------------------------------------------------------------
@@ -382,6 +496,7 @@ def foreign(text: str | None, model: MailModel) -> list[Span]:
         return []
     flat = "\n" not in text.strip()
     if flat:
+        model = model.flat(text)
         at = model.pieces(text)
         lines = [_line(text[a:b]) for a, b in at]
     else:
@@ -519,8 +634,8 @@ def _closings(lines: list[str], kind: list[str | None], flat: bool, model: MailM
         if flat:
             p = plain(lines[i])
             head = p[:BLOCK_CHARS]
-            begins = _RULER.match(head.split(" ")[0]) is not None or any(head.startswith(o) for o in model.openers | model.lone if o) or re.match(r"\[REDACTED_PERSON\].*\[REDACTED_(?:PHONE|EMAIL)\]", head)
-            first = next((o for o in sorted(model.openers, key=len, reverse=True) if o and head.startswith(o)), head.split(" ")[0] if _RULER.match(head.split(" ")[0]) else "")
+            begins = _RULER.match(head.split(" ")[0]) is not None or any(head.startswith(o) for o in model.openers | model.lone if not _RULER.match(o)) or re.match(r"\[REDACTED_PERSON\].*\[REDACTED_(?:PHONE|EMAIL)\]", head)
+            first = next((o for o in sorted(model.openers, key=len, reverse=True) if head.startswith(o) and not _RULER.match(o)), head.split(" ")[0] if _RULER.match(head.split(" ")[0]) else "")
             if first and (name := _TWO_NAMES.match(head, len(first))):  # a name that no dictionary knows
                 head = f"{first} [REDACTED_PERSON]{head[name.end() :]}"
             if i and begins and model.suspected(head, "signature"):
@@ -545,7 +660,7 @@ def _closings(lines: list[str], kind: list[str | None], flat: bool, model: MailM
         else:
             met = sum(_RULER.match(x) is not None or _CONTACT.match(x) is not None or d.overlap(x) >= OVERLAP for x in body)
             named = any(x.startswith("[REDACTED_") or _CONTACT.match(x) for x in body)
-            ok = met * 2 >= len(body) and (named or met > 1) and not (len(body) == 2 and opener and not named and body[1] not in d.lines) and model.suspected("\n".join(body), "signature")
+            ok = met * 2 >= len(body) and (named or met > 1) and not (len(body) == 2 and opener and not named and body[1] not in d) and model.suspected("\n".join(body), "signature")
         if ok:
             kind[i:end] = ["signature" if lines[k] else None for k in range(i, end)]
             i = end
@@ -567,35 +682,150 @@ def newly_written(text: str | None, model: MailModel) -> str | None:
 # --- over tables ---------------------------------------------------------------------------
 
 
+LINE = "kind string, line string, mails bigint, opener boolean, lone boolean"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
+    names = [x.split(" ") for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(names)], [n for n, _ in names])
+
+
 def fit_mails(mails: DataFrame, text: str) -> MailModel:
-    """Dictionaries from all the mails, each distinct text once. Lines are counted where the mails lie and only lines
-    and their counts move; the driver gets those that stand in a share of ``RARE`` of the mails, and so bounded many."""
+    """Dictionaries from all the mails, each distinct text once, of all lines that stand in ``LEAST`` mails. Lines are
+    counted where the mails lie and only lines and their counts move; the driver gets ``HELD_BYTES`` of them, or where
+    there are more the pages, and the lines behind them stay a table."""
     one = mails.select(F.col(text).alias("t")).where(F.length("t") > 0).distinct()
-    names = ["unit", *ROLES]
+    schema = "unit string, " + ", ".join(f"{r} bigint" for r in ROLES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, counts = 0, {}
-        for b in batches:
-            n, some = _count(b.column(0).to_pylist())
-            total += n
-            for u, c in some.items():
+        counts, size = {}, 0
+        for b in (part for batch in batches for part in by_bytes(batch, 0)):
+            for u, c in _count(b.column(0).to_pylist()).items():
                 known = counts.get(u)
                 counts[u] = [x + y for x, y in zip(known, c)] if known else c
-            if len(counts) > 200_000:
-                yield batch(counts)
-                counts = {}
-        counts[""] = [0] * (len(ROLES) - 1) + [total]  # no line: the mails
-        yield batch(counts)
+                size += 0 if known else len(u)
+            if len(counts) > 200_000 or size > 32 << 20:
+                yield _batch([(u, *c) for u, c in counts.items()], schema)
+                counts, size = {}, 0
+        yield _batch([(u, *c) for u, c in counts.items()], schema)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in by_bytes(batch, 0)):
+            yield _batch([x for row in zip(*(c.to_pylist() for c in b.columns)) for x in _lines(*row)], LINE)
+
+    units = one.mapInArrow(run, schema.replace("all bigint", "`all` bigint")).groupBy("unit").agg(*[F.sum(r).alias(r) for r in ROLES]).where(F.col("all") >= LEAST)
+    kept = cut(units.mapInArrow(lines, LINE), "lines")
+    if (kept.df.agg(F.sum(F.octet_length("line") + 1)).first()[0] or 0) <= HELD_BYTES:
+        rows = [tuple(r) for r in kept.df.collect()]
+        kept.drop()
+        return MailModel.of_lines(rows)
+    first: list[tuple] = []
+    for k in KINDS:  # a page has no more lines than that, and none longer
+        top = kept.df.where(F.col("kind") == k).orderBy(F.desc("mails"), "line").limit(DICTIONARY_BYTES // 2)
+        rows = [tuple(r) for r in top.collect()]
+        page = Dictionary([mask(x) for x in SEEDS[k].split("\n")] + [r[1] for r in rows]).page
+        first += [r for r in rows if r[1] in page]
+    model = MailModel.of_lines(first)
+    pages = {k: model.of[k].page for k in KINDS}
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1_000):
+                rows = zip(*(c.to_pylist() for c in b.slice(lo, 1_000).columns))
+                yield _batch([(key, group, *r) for r in rows if r[1] not in pages[r[0]] for key, group in _line_keys(*r)], f"key bigint, group string, {LINE}")
+
+    # Of the lines that have a triple the most usual stands for all.
+    best = F.min(F.struct((-F.col("mails")).alias("m"), "line", "opener", "lone")).alias("b")
+    near = cut(kept.df.mapInArrow(keyed, f"key bigint, group string, {LINE}").groupBy("key", "kind", "group").agg(best).select("key", "kind", "b.line", (-F.col("b.m")).alias("mails"), "b.opener", "b.lone").distinct(), "near")
+    kept.drop()
+    model.behind = near.df
+    return model
+
+
+_words: dict[str, int] = {}
+
+
+def _word(w: str) -> int:
+    h = _words.get(w)
+    if h is None:
+        h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        if len(_words) > 200_000:
+            _words.clear()
+        _words[w] = h
+    return h
+
+
+def _window_keys(words: list[str], sizes: Iterable[int]) -> np.ndarray:
+    """A key of each run of so many words."""
+    h = np.array([_word(w) for w in words], np.uint64)
+    out = [np.empty(0, np.uint64)]
+    for k in sizes:
+        if k <= len(h):
+            x = np.full(len(h) - k + 1, k, np.uint64)
+            for i in range(k):
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
+            out.append(x)
+    return np.concatenate(out).view(np.int64)
+
+
+def _line_keys(kind: str, line: str, mails: int, opener: bool, lone: bool) -> list[tuple[int, str]]:
+    """``(key, group)`` under which mails find a line: its triples; a closing line whole; what it begins with."""
+    words = _TOKEN.findall(line.lower())
+    keys = [(k, "") for k in set(_window_keys(words, (min(3, len(words)),)).tolist())] if words else []
+    if kind == "signature":
+        keys.append((_whole_key(line), "whole"))
+    for what, x in _starts(kind, line, opener, lone):
+        start = _TOKEN.findall(x.lower())[:3]
+        keys.append((_window_keys(start, (len(start),)).tolist()[0] if start else 0, f"{what} {x}"))
+    return keys
+
+
+def _whole_key(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=8, person=b"line").digest(), "little", signed=True)
+
+
+def mail_keys(text: str) -> np.ndarray:
+    """The keys of all lines that may bear upon a mail."""
+    _, lines = _split_lines(text)
+    keys = [np.zeros(1, np.int64), _window_keys(_TOKEN.findall(_mask_digits.sub("0", text).lower()), (1, 2, 3))]
+    masked = {p for line in lines if line and (p := plain(line)) != mask(line)}
+    for a, b in zip(lines, lines[1:]):
+        if b.endswith((":", "-")) and len(a) + len(b) < INTRO_CHARS:
+            masked.add(plain(f"{a} {b}"))
+    if len(lines) == 1 or "\n" not in text.strip():
+        masked |= {plain(text), _TWO_NAMES.sub(" [REDACTED_PERSON]", plain(text)), "[REDACTED_PERSON]"}
+    keys += [_window_keys(_TOKEN.findall(p.lower()), (1, 2, 3)) for p in masked]
+    keys.append(np.array([_whole_key(plain(line)) for line in lines if 0 < len(line) <= BLOCK_CHARS], np.int64))
+    return np.unique(np.concatenate(keys))
+
+
+def _with_lines(df: DataFrame, key: str, text: str, model: MailModel) -> DataFrame:
+    """``(k, t)``, and where lines lie behind the pages those that share words with the text."""
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    if model.behind is None:
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in by_bytes(batch, 1, 1 << 20)):
+            keys = [mail_keys(t) for t in b.column(1).to_pylist()]
+            at = np.repeat(np.arange(len(keys), dtype=np.int32), [len(x) for x in keys])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.concatenate(keys))], ["m", "key"])
+
+    mails = rows.where(F.length("t") > 0).select(F.xxhash64("t").alias("m"), "t").distinct()
+    line = F.struct("kind", "line", "mails", "opener", "lone")
+    near = mails.mapInArrow(run, "m bigint, key bigint").join(model.behind, "key").groupBy("m").agg(F.collect_set(line).alias("near"))
+    return rows.withColumn("m", F.xxhash64("t")).join(near, "m", "left").select("k", "t", "near")
 
-    def batch(counts: dict[str, list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in range(len(ROLES)))], names)
 
-    schema = "unit string, " + ", ".join(f"`{r}` bigint" for r in ROLES)
-    sums = cut(one.mapInArrow(run, schema).groupBy("unit").agg(*[F.sum(r).alias(r) for r in ROLES]), "lines")
-    n = sum(r["all"] for r in sums.df.where("unit = ''").collect())
-    rows = [tuple(r) for r in sums.df.where("unit <> ''").where(F.col("all") >= _low(n)).collect()]
-    sums.drop()
-    return MailModel.of_counts(rows)
+def _models(b: pa.RecordBatch, model: MailModel) -> Iterator[tuple[str | None, MailModel]]:
+    """Each text of a batch with the model for it."""
+    if b.num_columns < 3:
+        for t in b.column(1).to_pylist():
+            yield t, model
+        return
+    for t, near in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+        yield t, model.with_lines([tuple(r.values()) for r in near]) if near else model
 
 
 def is_mail(source):
@@ -605,19 +835,19 @@ def is_mail(source):
 def parts(df: DataFrame, key: str, text: str, model: MailModel) -> DataFrame:
     """``(key, foreign_part)``: each kind of foreign part in each row's text once. Rows without any have
     no row; keys may be null or repeated; other columns are not read; an empty table gives an empty one."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # three dictionaries of DICTIONARY_BYTES
+    shared = df.sparkSession.sparkContext.broadcast(model)  # HELD_BYTES of lines at most
     t = df.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in by_bytes(batch, 1)):
             at, found = [], []
-            for i, x in enumerate(b.column(1).to_pylist()):
-                for k in sorted({s.kind for s in foreign(x, shared.value)}):
+            for i, (x, m) in enumerate(_models(b, shared.value)):
+                for k in sorted({s.kind for s in foreign(x, m)}):
                     at.append(i)
                     found.append(k)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(found, pa.string())], ["k", "foreign_part"])
 
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {t.simpleString()}, foreign_part string").withColumnRenamed("k", key)
+    return _with_lines(df, key, text, model).mapInArrow(run, f"k {t.simpleString()}, foreign_part string").withColumnRenamed("k", key)
 
 
 def reduce(df: DataFrame, key: str, text: str, model: MailModel) -> DataFrame:
@@ -627,6 +857,6 @@ def reduce(df: DataFrame, key: str, text: str, model: MailModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in by_bytes(batch, 1)):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([newly_written(x, shared.value) for x in b.column(1).to_pylist()], pa.string())], ["k", "new_text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([newly_written(x, m) for x, m in _models(b, shared.value)], pa.string())], ["k", "new_text"])
 
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {t.simpleString()}, new_text string").withColumnRenamed("k", key)
+    return _with_lines(df, key, text, model).mapInArrow(run, f"k {t.simpleString()}, new_text string").withColumnRenamed("k", key)

@@ -438,6 +438,61 @@ def test_counts_over_a_table_equal_counts_over_texts(spark):
     assert a.openers == b.openers and a.lone == b.lone and all(a.of[k].lines == b.of[k].lines for k in mail.KINDS)
 
 
+def words_of(i, n):
+    """Words of no other number."""
+    return ["".join(chr(97 + (i * 16 + k) // 26**d % 26) for d in range(4)) + "qx" for k in range(n)]
+
+
+def many_closings_and_notices(n=450):
+    """Each notice and each closing in three mails, together more than a page holds."""
+    for i in range(n):
+        a, b, c, d, *more = words_of(i, 16)
+        notice = " ".join(more) + "."
+        for k in range(3):
+            new = f"The depot {a}{'xyz'[k]} got crates {b}{'xyz'[k]} before noon.\nNobody counted {c}{'xyz'[k]} twice."
+            yield f"{new}\n\n{a} {b} groet,\n[REDACTED_PERSON]\n{c} {d}\n\nIf you have received this e-mail in error, please notify the sender and delete it. {notice}"
+
+
+def asked(i):
+    a, b, c, d, *more = words_of(i, 16)
+    notice = " ".join(more)
+    yield f"We moved the shelf.\n\n{a} {b} groet,\nJan de Vries\n{c} {d}\n\n{notice}.", {"signature", "disclaimer"}
+    yield f"We moved the shelf. {a} {b} groet, Jan Vries {c} {d} T: [REDACTED_PHONE] {notice}.", {"signature", "disclaimer"}
+    yield f"We moved the shelf.\n\n{a} the shelf {d} is here", set()
+
+
+def test_no_line_is_left_out_of_a_dictionary():
+    m = mail.MailModel(many_closings_and_notices())
+    assert all(len(m.of[k].preset) <= mail.DICTIONARY_BYTES and m.of[k].behind for k in ("signature", "disclaimer"))
+    for i in range(0, 450, 7):
+        for text, want in asked(i):
+            assert {s.kind for s in mail.foreign(text, m)} == want, text
+            assert mail.newly_written(text, m) == (text if not want else "We moved the shelf.")
+
+
+def test_lines_of_a_small_share_and_long_lines_count():
+    long = " ".join(words_of(9_000, 16) * 60)  # no page and no window holds it
+    rare = [f"{t.replace('depot', f'depot {word}')} {long}." for t, word in zip(many_closings_and_notices(1), ("one", "two", "three"))]
+    m = mail.MailModel([*rare, *(" ".join(words_of(i, 3)) + "\n\nThe end" for i in range(10_000, 17_000))])
+    assert {s.kind for s in mail.foreign(next(asked(0))[0], m)} == {"signature", "disclaimer"}
+    assert mail.newly_written(f"We moved the shelf.\n\n{long}.", m) == "We moved the shelf."
+
+
+def test_lines_that_reach_their_mails_by_a_join(spark, monkeypatch):
+    mails = [*many_closings_and_notices(), *strange_mails()]
+    m = mail.MailModel(mails)
+    texts = [t for i in range(0, 450, 9) for t, _ in asked(i)] + mails[:300] + strange_mails(30) + [t for t, _ in CASES]
+    monkeypatch.setattr(mail, "HELD_BYTES", 0)
+    schema = "id string, redacted_text string"
+    joined = mail.fit_mails(spark.createDataFrame([("", t) for t in mails], schema), "redacted_text")
+    assert joined.behind is not None and all(joined.of[k].page == m.of[k].page and not joined.of[k].behind for k in mail.KINDS)
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], schema)
+    got = {(r.id, r.foreign_part) for r in mail.parts(df, "id", "redacted_text", joined).collect()}
+    assert got == {(str(i), s.kind) for i, t in enumerate(texts) for s in mail.foreign(t, m)}
+    assert {r.id: r.new_text for r in mail.reduce(df, "id", "redacted_text", joined).collect()} == {str(i): mail.newly_written(t, m) for i, t in enumerate(texts)}
+    assert mail.parts(df.limit(0), "id", "redacted_text", joined).count() == 0
+
+
 def test_mail_table(spark):
     df = spark.createDataFrame([(str(i), t, "clash") for i, (t, _) in enumerate(CASES)] + [(None, CASES[4][0], "c"), ("4", CASES[4][0], "c")], "id string, redacted_text string, foreign_part string")
     m = mail.fit_mails(df, "redacted_text")
